@@ -159,12 +159,9 @@ def _preagg(method: str) -> Query:
             lines_in_cents(spark, d), ["l_orderkey"], {"l_cents": rule}, "l_quantity", LINE_ORDER
         )
         orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-        joined = tw.equi_join(
+        return tw.equi_join(
             orders, lines, ["o_orderkey"], ["l_orderkey"], "left", right_unique=True
         )
-        if method == "formula":
-            joined = joined.withColumn("l_cents", F.round("l_cents", 3))
-        return joined
 
     return run
 
@@ -172,8 +169,6 @@ def _preagg(method: str) -> Query:
 def _preagg_sql(method: str) -> str:
     order = f"ROW({', '.join(LINE_ORDER)})"
     value = PREAGG_SQL[method].format(order=order)
-    if method == "formula":
-        value = f"round({value}, 3)"
     return f"""
         SELECT o_orderkey, o_orderdate, a.l_orderkey, a.l_cents
         FROM orders LEFT JOIN (
@@ -472,21 +467,23 @@ def ts_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 def ts_summary(spark: SparkSession, d: str) -> DataFrame:
     """Windows from a fixed start; earlier rows fall into windows before it."""
-    return tw.summarize(
+    long = tw.summarize(
         events_as_series(spark, d), "6h", ALL_FUNCTIONS, "2024-01-05 01:30:00"
-    ).withColumn("value", F.round("value", 4))
+    )
+    std = F.col("summary") == "std"
+    return long.withColumn("value", F.when(std, F.round("value", 4)).otherwise(F.col("value")))
 
 
 def ts_summary_first(spark: SparkSession, d: str) -> DataFrame:
     """Windows from the first timestamp of each tag."""
-    return tw.summarize(events_as_series(spark, d), "1d").withColumn("value", F.round("value", 4))
+    return tw.summarize(events_as_series(spark, d), "1d")
 
 
 def _summary_sql(anchor: str, micros: int, functions: list[str]) -> str:
     exact = {
         "average": "CAST(sum(value) AS DOUBLE) / count(value)", "min": "min(value)::DOUBLE",
         "max": "max(value)::DOUBLE", "sum": "coalesce(sum(value), 0)::DOUBLE",
-        "count": "count(value)::DOUBLE", "std": "stddev_samp(value)",
+        "count": "count(value)::DOUBLE", "std": "round(stddev_samp(value), 4)",
     }
     parts = " UNION ALL ".join(
         f"SELECT tag, w, '{f}' AS summary, {exact[f]} AS value FROM x GROUP BY tag, w"
@@ -500,7 +497,7 @@ def _summary_sql(anchor: str, micros: int, functions: list[str]) -> str:
                        * {micros}) AS w
                    FROM s JOIN a ON tag = atag)
         SELECT tag, w AS window_start, w + to_microseconds({micros}) AS window_end, summary,
-               round(value, 4) AS value, 'summary' AS source_type
+               value, 'summary' AS source_type
         FROM ({parts})
     """
 
@@ -512,11 +509,10 @@ def ts_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ts_interpolated(spark: SparkSession, d: str) -> DataFrame:
-    grid = tw.interpolate(
+    return tw.interpolate(
         events_as_series(spark, d), "2023-12-31 12:00:00", "2024-02-01", "90min",
         order_by=["event_id"],
     )
-    return grid.withColumn("value", F.round("value", 4))
 
 
 INTERPOLATED_SQL = f"""
@@ -529,9 +525,9 @@ INTERPOLATED_SQL = f"""
                FROM g ASOF LEFT JOIN s p ON g.tag = p.tag AND g.pit >= p.timestamp
                       ASOF LEFT JOIN s q ON g.tag = q.tag AND g.pit <= q.timestamp)
     SELECT tag, pit AS timestamp,
-           round(CASE WHEN pt = pit THEN pv
+           CASE WHEN pt = pit THEN pv
                       ELSE pv + (qv - pv) * (epoch_us(pit) - epoch_us(pt))
-                           / (epoch_us(qt) - epoch_us(pt)) END, 4) AS value,
+                           / (epoch_us(qt) - epoch_us(pt)) END AS value,
            'interpolated' AS source_type
     FROM j
 """

@@ -15,19 +15,22 @@ from ..errors import PlanError
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_PATTERN = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
-# Each value is tried against these, in order, after the ISO forms.
-DATETIME_PATTERNS = (
-    "y/M/d H:m:s",
-    "y/M/d H:m",
-    "y/M/d",
-    "M/d/y H:m:s",
-    "M/d/y H:m",
-    "M/d/y",
-    "yyyyMMddHHmmss",
-    "yyyyMMdd",
-    "d MMM y",
-    "MMM d, y",
+# Datetime forms beside ISO, tried in this order: the shape of a text and its
+# pattern. The shape test keeps texts that are no datetimes away from the parser,
+# which is slow to refuse them.
+DATETIME_FORMS = (
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "y/M/d H:m:s"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}$", "y/M/d H:m"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", "M/d/y H:m:s"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", "M/d/y H:m"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM y"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, y"),
 )
+ISO_SHAPE = r"^\d{4}(-\d|$)"
 
 MICROS_PER_SECOND = 1_000_000
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -154,8 +157,10 @@ def to_number(value: Column, dtype: T.DataType) -> Column:
         text = F.trim(F.regexp_replace(value, r"[\t\r\n]", " "))
         return (
             F.when(value.rlike(NUMBER_PATTERN), text.try_cast("double"))
-            .when(value.rlike(INFINITY_PATTERN) & text.startswith("-"), F.lit(float("-inf")))
-            .when(value.rlike(INFINITY_PATTERN), F.lit(float("inf")))
+            .when(
+                value.rlike(INFINITY_PATTERN),
+                F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")),
+            )
         )
     return F.lit(None).cast("double")
 
@@ -169,9 +174,11 @@ def to_datetime(value: Column, dtype: T.DataType) -> Column:
     if family(dtype) != "string":
         return F.lit(None).cast("timestamp")
     text = F.trim(value)
-    iso = F.when(text.rlike(r"^\d{4}(-\d|$)"), text.try_cast("timestamp"))
-    rest = [F.try_to_timestamp(text, F.lit(p)) for p in DATETIME_PATTERNS]
-    return F.coalesce(iso, *rest)
+    parsed = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
+    for shape, pattern in DATETIME_FORMS:
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    any_shape = "|".join(f"(?:{shape})" for shape in (ISO_SHAPE, *(s for s, _ in DATETIME_FORMS)))
+    return F.when(text.rlike(any_shape), parsed)
 
 
 def micros(value: Column, dtype: T.DataType) -> Column:

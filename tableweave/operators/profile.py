@@ -22,21 +22,35 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     if approx:
         return _approx_profile(df)
-    names = df.columns
+    fields = df.schema.fields
     pairs = _unpivot(df, [
         F.struct(
             F.lit(i).alias("pos"),
-            _comparable(df.schema[i]).alias("item"),
-            *(c.alias(n) for n, c in _parse_flags(df.schema[i]).items()),
+            _comparable(field).alias("item"),
+            *(
+                F.when(F.length(col(field.name).cast("string")) > LONG_VALUE, flag).alias(name)
+                if family(field.dataType) == "string"
+                else F.lit(None).cast("boolean").alias(name)
+                for name, flag in _parse_flags(field).items()
+            ),
         )
-        for i in range(len(names))
+        for i, field in enumerate(fields)
     ])
-    values = pairs.groupBy("pos", "item", "is_number", "is_datetime").agg(
-        F.count(F.lit(1)).alias("n")
+    # Values short enough to be kept as they are get parsed once per distinct value.
+    texts = [i for i, f in enumerate(fields) if family(f.dataType) == "string"]
+    is_text = F.col("pos").isin(texts) if texts else F.lit(False)
+    parsed = _parse_flags(T.StructField("item", T.StringType()))
+    values = (
+        pairs.groupBy("pos", "item", "is_number", "is_datetime")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumns({
+            name: F.coalesce(F.col(name), F.when(is_text, flag), F.lit(False))
+            for name, flag in parsed.items()
+        })
     )
     filled = F.col("item").isNotNull()
     # Every column appears, also when the table has no rows.
-    zero = df.sparkSession.range(len(names)).select(
+    zero = df.sparkSession.range(len(fields)).select(
         F.col("id").cast("int").alias("pos"), F.lit(None).cast("string").alias("item"),
         F.lit(False).alias("is_number"), F.lit(False).alias("is_datetime"),
         F.lit(0).cast("long").alias("n"),

@@ -17,9 +17,7 @@ from pyspark.sql.window import Window
 from ..errors import PlanError
 from ..functions.columns import INFINITY_PATTERN, NUMBER_PATTERN, col
 
-# Encodings tried in order, delimiters looked for, and the texts a
-# field may hold for "no value".
-ENCODINGS = ("utf-8", "utf-8-sig", "cp932", "shift_jis", "latin1")
+# Delimiters looked for, and the texts a field may hold for "no value".
 DELIMITERS = (",", "\t", ";", "|")
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -101,8 +99,9 @@ def detect_csv(spark: SparkSession, path: str) -> DataFrame:
     """Per file: encoding, delimiter and quote character.
 
     Encodings are tested on every line, so a file of any size is split over tasks;
-    only lines that are not valid UTF-8 pass through Python. Delimiter and quote
-    come from the first ten lines.
+    only lines that are not valid UTF-8 pass through Python. A byte-order mark needs
+    no name of its own: the readers drop it. Delimiter and quote come from the first
+    ten lines.
     """
     lines = _lines(spark, path)
     odd = lines.where(~F.is_valid_utf8(F.col("line").cast("string")))
@@ -118,11 +117,8 @@ def detect_csv(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("head"))
         .select("path", F.col("head.line").alias("head"))
     )
-    first = F.element_at("head", 1)
-    bom = F.hex(F.substring(first, 1, 3)) == "EFBBBF"
     encoding = (
-        F.when(F.col("cp932").isNull() & bom, "utf-8-sig")
-        .when(F.col("cp932").isNull(), "utf-8")
+        F.when(F.col("cp932").isNull(), "utf-8")
         .when(F.col("cp932"), "cp932")
         .when(F.col("shift_jis"), "shift_jis")
         .otherwise("latin1")
@@ -213,6 +209,8 @@ def _scan_detected(
 def _scan(
     spark: SparkSession, paths: list[str], options: CsvOptions, multiline: bool
 ) -> DataFrame:
+    if options.encoding.strip().lower() not in JAVA_CHARSETS:
+        raise PlanError(f"unknown encoding: {options.encoding}")
     names = _header(spark, paths, options)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     quote = "" if options.quotechar == "none" else options.quotechar

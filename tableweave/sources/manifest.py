@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -46,9 +47,10 @@ def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hash_file(path: str) -> str:
-    if path.startswith("file:/"):
-        path = "file:///" + path[len("file:"):].lstrip("/")
-    system, name = fs.FileSystem.from_uri(path)
+    if path.startswith("file:"):
+        system, name = fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    else:
+        system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
     digest = hashlib.sha256()
     with system.open_input_stream(name) as stream:
         while chunk := stream.read(CHUNK_BYTES):

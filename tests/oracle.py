@@ -34,7 +34,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return int(value) if value.is_integer() else float(f"{value:.12g}")
+        return int(value) if value.is_integer() else value
     if isinstance(value, decimal.Decimal):
         return plain(float(value))
     if isinstance(value, datetime.datetime):

@@ -1,0 +1,63 @@
+import pytest
+
+import tableweave as tw
+from tableweave.operators.match import catalog_of
+from tableweave.operators.union import DROP, KEEP_AS_NEW
+
+
+def best(lefts, rights):
+    return {s.right_column: (s.left_column, round(s.score, 4), s.reason) for s in tw.suggest_columns(lefts, rights)}
+
+
+def test_rules():
+    lefts = ["Customer_ID", "order date", "金額", "Temperature"]
+    found = best(lefts, ["customer_id", "order-date", "Ｔemperature", "金額 ", "temprature", "zzz"])
+    assert found["customer_id"] == ("Customer_ID", 1.0, "exact (case-insensitive)")
+    assert found["order-date"] == ("order date", 0.97, "canonical exact")
+    assert found["Ｔemperature"] == ("Temperature", 1.0, "exact (case-insensitive)")
+    assert found["金額 "] == ("金額", 1.0, "exact (case-insensitive)")
+    assert found["temprature"][0] is None  # its best partner is taken
+    assert found["zzz"][0] is None
+    assert best(["Temperature"], ["temprature"])["temprature"] == ("Temperature", 0.89, "string similarity")
+
+
+def test_tokens_and_aliases():
+    found = best(["customer_id", "order_date", "amount", "channel"],
+                 ["cust_id", "date", "amt", "sales_channel"])
+    assert found["cust_id"] == ("customer_id", 0.95, "token overlap (customer, id)")
+    assert found["amt"] == ("amount", 0.95, "token overlap (amount)")
+    assert found["date"] == ("order_date", 0.875, "token overlap (date)")
+    assert found["sales_channel"] == ("channel", 0.875, "token overlap (channel)")
+
+
+def test_two_rights_for_one_left():
+    found = best(["name"], ["NAME", "name "])
+    assert found["NAME"][0] == "name" and found["name "][0] is None
+
+
+def test_seed_mapping():
+    mapping = tw.seed_mapping(["customer_id", "note", "x"], ["cust_id", "note", "memo", "y"],
+                              {"note": DROP, "y": "gone", "memo": "x"})
+    assert mapping == {"cust_id": "customer_id", "note": DROP, "memo": "x", "y": KEEP_AS_NEW}
+
+
+def test_many_pairs_at_once(spark):
+    tables = {
+        "jan": spark.createDataFrame([], "customer_id string, order_date string"),
+        "feb": spark.createDataFrame([], "cust_id string, date string, memo string"),
+        "mar": spark.createDataFrame([], "CUSTOMER_ID string"),
+    }
+    catalog = spark.createDataFrame(list(catalog_of(tables)), "table_name string, column_name string, position int")
+    pairs = spark.createDataFrame([("jan", "feb"), ("jan", "mar"), ("feb", "mar")], "left_table string, right_table string")
+    found = {(r.left_table, r.right_table, r.right_column): r.left_column
+             for r in tw.suggest_mapping(catalog, pairs).collect()}
+    assert found == {
+        ("jan", "feb", "cust_id"): "customer_id", ("jan", "feb", "date"): "order_date",
+        ("jan", "feb", "memo"): None, ("jan", "mar", "CUSTOMER_ID"): "customer_id",
+        ("feb", "mar", "CUSTOMER_ID"): "cust_id",
+    }
+    alone = tw.suggest_columns(list(tables["jan"].columns), list(tables["feb"].columns))
+    assert [s.score for s in alone] == [
+        pytest.approx(r.score) for r in tw.suggest_mapping(catalog, pairs)
+        .where("left_table = 'jan' and right_table = 'feb'").collect()
+    ]

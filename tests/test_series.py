@@ -1,0 +1,211 @@
+import random
+
+import pytest
+
+import tableweave as tw
+from tableweave.errors import PlanError
+from tableweave.operators.series import resolve_time, rows_per_tag, summary_functions
+from tableweave.plans.series_query import SeriesQuery, series_rows, series_table
+
+from .conftest import at, rows
+
+LONG = "tag string, timestamp timestamp, value double"
+NTZ = "tag string, timestamp timestamp_ntz, value double"
+
+
+def minutes(n: float):
+    return at("2024-01-01") + (at("2024-01-01 00:01") - at("2024-01-01")) * n
+
+
+def long(spark, data, schema=LONG):
+    return spark.createDataFrame([(t, minutes(m), v) for t, m, v in data], schema)
+
+
+@pytest.mark.parametrize("strategy", ["direct", "split"])
+def test_recorded_keeps_the_first_rows_per_tag(spark, strategy):
+    rng = random.Random(1)
+    data = [("hot" if i % 3 else rng.choice("abc"), rng.randrange(0, 3000), float(i)) for i in range(1500)]
+    data += [("same", 77, float(i)) for i in range(300)]
+    out = tw.recorded(
+        long(spark, data), minutes(10), minutes(2900), 40, order_by=["value"], strategy=strategy
+    )
+    want = []
+    for tag in {t for t, _, _ in data}:
+        inside = sorted((m, v) for t, m, v in data if t == tag and 10 <= m <= 2900)
+        want += [(tag, minutes(m), v) for m, v in inside[:40]]
+    assert rows(out) == sorted(want)
+
+
+def test_recorded_bounds_are_inclusive_and_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    long(spark, [("a", 0, 1.0), ("a", 5, 2.0), ("a", 6, 3.0)], NTZ).write.parquet(path)
+    out = tw.recorded(spark.read.parquet(path), "2024-01-01 00:00:00", minutes(5), None, ["a"])
+    assert [r[2] for r in rows(out)] == [1.0, 2.0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(timestamp" in plan  # the rest of the list is cut off
+
+
+def test_snapshot(spark):
+    df = long(spark, [("a", 1, 1.0), ("a", 9, 2.0), ("a", 9, 5.0), ("b", 0, None)])
+    out = tw.snapshot(df, order_by=["value"])
+    assert out.columns == df.columns
+    assert rows(out) == [("a", minutes(9), 5.0), ("b", minutes(0), None)]
+    assert rows(tw.snapshot(df, ["b"])) == [("b", minutes(0), None)]
+
+
+@pytest.mark.parametrize("schema", [LONG, NTZ])
+def test_summary_windows(spark, schema):
+    df = long(spark, [("a", -7, 1.0), ("a", 0, 2.0), ("a", 9.5, 4.0), ("a", 10, None), ("b", 3, 7.0)], schema)
+    df = df.union(spark.createDataFrame([("a", None, 9.0), (None, minutes(0), 9.0)], schema))
+    out = tw.summarize(df, "10min", ["count", "sum", "STD", "average"], minutes(0))
+    assert [c for c, _ in out.dtypes] == ["tag", "window_start", "window_end", "summary", "value", "source_type"]
+    found = {(r.tag, r.window_start, r.summary): r.value for r in out.collect()}
+    assert found == {
+        ("a", minutes(-10), "average"): 1.0, ("a", minutes(-10), "sum"): 1.0,
+        ("a", minutes(-10), "count"): 1.0, ("a", minutes(-10), "std"): None,
+        ("a", minutes(0), "average"): 3.0, ("a", minutes(0), "sum"): 6.0,
+        ("a", minutes(0), "count"): 2.0, ("a", minutes(0), "std"): pytest.approx(2 ** 0.5),
+        ("a", minutes(10), "average"): None, ("a", minutes(10), "sum"): 0.0,
+        ("a", minutes(10), "count"): 0.0, ("a", minutes(10), "std"): None,
+        ("b", minutes(0), "average"): 7.0, ("b", minutes(0), "sum"): 7.0,
+        ("b", minutes(0), "count"): 1.0, ("b", minutes(0), "std"): None,
+    }
+    first = tw.summarize(df, "10min", ["count"])  # anchored at each tag's first timestamp
+    assert {(r.tag, r.window_start): r.value for r in first.collect()} == {
+        ("a", minutes(-7)): 1.0 + 1.0, ("a", minutes(3)): 1.0, ("b", minutes(3)): 1.0,
+    }
+    with pytest.raises(PlanError):
+        tw.summarize(df, "0s")
+
+
+def test_interpolation(spark):
+    df = long(spark, [
+        ("a", -3, 0.0), ("a", 2, 10.0), ("a", 5, 1.0), ("a", 5, 4.0), ("a", 7, None), ("a", 25, 20.0),
+        ("b", 1, 3.0),
+    ])
+    out = tw.interpolate(df, minutes(0), minutes(30), "5min", order_by=["value"])
+    found = {(r.tag, r.timestamp): r.value for r in out.collect()}
+    want = {0: 6.0, 5: 4.0, 10: 8.0, 15: 12.0, 20: 16.0, 25: 20.0, 30: None}
+    assert {m: found[("a", minutes(m))] for m in want} == want
+    assert all(found[("b", minutes(m))] is None for m in want)
+    assert tw.interpolate(df, minutes(0), minutes(30), "5min", 2).count() == 4
+    assert tw.interpolate(df, minutes(1), minutes(0), "5min").count() == 0
+
+
+def test_interpolation_against_brute_force(spark):
+    rng = random.Random(5)
+    data = sorted({(rng.choice("ab"), rng.randrange(-50, 400)) for _ in range(150)})
+    data = [(t, m, float(rng.randrange(100))) for t, m in data]
+    out = tw.interpolate(long(spark, data), minutes(0), minutes(350), "7min")
+    found = {(r.tag, r.timestamp): r.value for r in out.collect()}
+    assert len(found) == 2 * 51
+    for tag in "ab":
+        points = {m: v for t, m, v in data if t == tag}
+        for m in range(0, 351, 7):
+            before, after = [p for p in points if p <= m], [p for p in points if p >= m]
+            want = None
+            if before and after:
+                p, q = max(before), min(after)
+                want = points[p] if p == q else points[p] + (points[q] - points[p]) * (m - p) / (q - p)
+            assert found[(tag, minutes(m))] == (want if want is None else pytest.approx(want)), (tag, m)
+
+
+def test_wide(spark):
+    df = long(spark, [
+        ("b", 0, 2.0), ("a", 0, None), ("a", 0, 5.0), ("a", 0, 1.0), ("a", 1, None), ("c", 0, None),
+    ])
+    out = tw.to_wide(df, order_by=["value"])
+    assert out.columns == ["timestamp", "a", "b"]  # no row of minute 1, no tag c
+    assert rows(out) == [(minutes(0), 1.0, 2.0)]
+    assert tw.to_wide(df, ["b", "z"]).columns == ["timestamp", "b", "z"]
+    text = spark.createDataFrame([("t", minutes(0), "on")], "tag string, timestamp timestamp, value string")
+    assert rows(tw.to_wide(text)) == [(minutes(0), "on")]
+
+
+FRAMES = (
+    "event_frame string, template string, analysis array<string>, element string, "
+    "start_time timestamp, end_time timestamp"
+)
+
+
+def frames(spark):
+    return spark.createDataFrame([
+        ("in", "Batch", ["Trip Watch"], "P1", minutes(5), minutes(6.5)),
+        ("early", "Batch", ["Trip Watch"], "P1", minutes(-1), minutes(6)),
+        ("on the bound", "batch ", ["Trip"], None, minutes(0), minutes(1)),
+        ("late", "Batch", ["Trip Watch"], "P1", minutes(11), minutes(12)),
+        ("late but open", "", ["x", "Trip Watch"], "P1", minutes(11), None),
+        ("other template", "Lot", ["Trip Watch"], "P1", minutes(5), minutes(6)),
+        ("other analysis", "Batch", ["Level"], "P1", minutes(5), minutes(6)),
+        ("no analysis", "Batch", [], "P1", minutes(5), minutes(6)),
+    ], FRAMES)
+
+
+def test_event_frames(spark):
+    out = tw.event_frames(frames(spark), "BATCH", minutes(0), minutes(10), ["trip watch"])
+    found = {r.event_frame: r for r in out.collect()}
+    assert set(found) == {"in", "on the bound", "late but open"}
+    assert found["in"].duration_sec == 90.0 and found["late but open"].duration_sec is None
+    assert (found["late but open"].analysis, found["late but open"].analysis_count) == ("x; Trip Watch", 2)
+    assert found["on the bound"].element == "" and found["in"].source_type == "event_frame"
+    assert tw.event_frames(frames(spark)).count() == 8
+
+
+def test_parameters():
+    assert summary_functions(["unknown", "max"]) == ("max",)
+    assert summary_functions([]) == ("average", "min", "max")
+    assert [rows_per_tag(v) for v in (None, "", "x", 0, "25", 10**9)] == [10000, 10000, 10000, 1, 25, 500000]
+    now = at("2024-01-02 12:00")
+    assert resolve_time("*", now) == now and resolve_time("*-1d", now) == at("2024-01-01 12:00")
+    assert resolve_time("2024-01-01", now) == at("2024-01-01") and resolve_time("soon") is None
+
+
+def test_query_options_are_normalized():
+    query = SeriesQuery.from_options("af_attribute", {
+        "query_type": "Recorded", "af_element": "ライン１／装置Ａ", "af_attributes_text": "温度、圧力",
+        "start_time": "＊-１ｄ", "end_time": "＊", "interval": "１０ｍｉｎ",
+        "summary_functions": ["Average", "MAX"], "max_rows_per_tag": "２０００",
+    })
+    assert (query.element, query.names) == ("ライン1/装置A", ("温度", "圧力"))
+    assert (query.start_time, query.end_time, query.interval) == ("*-1d", "*", "10min")
+    assert (query.functions, query.max_rows) == (("average", "max"), 2000)
+    assert SeriesQuery.from_options("pi_da_tag", {"tags_text": "x"}, rows=25).max_rows == 25
+    for kind, options in (("pi_da_tag", {}), ("af_attribute", {"af_attributes_text": "a"}),
+                          ("af_event_frame", {"ef_analyses_text": "a"}), ("csv", {"tags_text": "x"})):
+        with pytest.raises(PlanError):
+            SeriesQuery.from_options(kind, options)
+
+
+def test_queries_over_a_long_table(spark):
+    df = long(spark, [("a", 0, 1.0), ("a", 1, 2.0), ("b", 1, 5.0), ("c", 1, 9.0)])
+    options = {"tags_text": "a;b", "start_time": "2024-01-01", "end_time": "2024-01-02"}
+    wide = series_table(df, SeriesQuery.from_options("pi_da_tag", options))
+    assert wide.columns == ["timestamp", "a", "b"] and wide.count() == 2
+    assert series_table(df, SeriesQuery.from_options("pi_da_tag", options, rows=1)).count() == 2
+    snap = series_rows(df, SeriesQuery.from_options("pi_da_tag", {**options, "query_type": "snapshot"}))
+    assert sorted((r.tag, r.value, r.source_type) for r in snap.collect()) == [
+        ("a", 2.0, "snapshot"), ("b", 5.0, "snapshot")]
+    summary = SeriesQuery.from_options(
+        "pi_da_tag", {**options, "query_type": "summary", "start_time": "*-1d", "interval": "10min"}
+    )
+    out = series_table(df, summary, now=at("2024-01-02"))
+    assert out.columns == ["window_start", "window_end", "summary", "a", "b"]
+    assert {r.window_start for r in out.collect()} == {minutes(0), minutes(1)}
+    grid = SeriesQuery.from_options(
+        "pi_da_tag", {**options, "query_type": "interpolated", "interval": "30s", "end_time": "2024-01-01 00:01:00"}
+    )
+    assert [r.a for r in series_table(df, grid).orderBy("timestamp").collect()] == [1.0, 1.5, 2.0]
+
+
+def test_attribute_rows_carry_their_element(spark):
+    df = spark.createDataFrame(
+        [("Line 1", "temp", minutes(0), 1.0), ("Line 2", "temp", minutes(0), 2.0)],
+        "element string, attribute string, timestamp timestamp, value double",
+    )
+    query = SeriesQuery.from_options("af_attribute", {
+        "af_element": "ＬＩＮＥ 1", "af_attributes_text": "temp", "start_time": "2024-01-01",
+        "end_time": "2024-01-02",
+    })
+    row = series_rows(df, query).first()
+    assert (row.tag, row.attribute, row.element, row.value, row.source_type) == (
+        "temp", "temp", "LINE 1", 1.0, "af_recorded")
