@@ -165,6 +165,11 @@ def to_number(value: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def is_number_text(value: Column) -> Column:
+    """Whether to_number gives a number for a text."""
+    return value.rlike(NUMBER_PATTERN) | value.rlike(INFINITY_PATTERN)
+
+
 def to_datetime(value: Column, dtype: T.DataType) -> Column:
     """Timestamp of a column; what does not parse becomes null."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

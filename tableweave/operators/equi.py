@@ -1,10 +1,15 @@
 """Null-safe equi joins and the rows they leave unmatched.
 
-A key may hold a large part of a table. An inner join can be split on both sides
-at run time (AQE), an outer join only on the side it keeps, so an outer join
-against a side that is neither small nor unique on the key is planned as the
-inner join plus the unmatched rows, which come from an anti join against the
-distinct keys.
+A key may hold a large part of a table. AQE splits such a key at run time, on both
+sides of an inner join and on the kept side of an outer or anti join, provided both
+sides come straight from a shuffle made for the join. Hence two rules here:
+
+* An outer join against a side that is neither small nor unique on the key is
+  planned as the inner join plus the unmatched rows, which come from an anti join
+  against the distinct keys.
+* Joins compare by ``<=>``. Spark shuffles for it by (value or default, is null), so
+  a side aggregated by the same key is shuffled once more. It is small by then, and
+  sharing the aggregation's shuffle would leave a hot key of the other side whole.
 """
 
 from __future__ import annotations

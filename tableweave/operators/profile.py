@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, family, nan_to_null, to_datetime, to_number
+from ..functions.columns import col, family, is_number_text, micros, nan_to_null, to_datetime
 
 INFER_SHARE = 0.9
 # Longer values are compared by their SHA-256, which keeps shuffled rows short.
 LONG_VALUE = 64
+# A value in one of three typed columns, which spares numbers the way through text,
+# and whether a long text is a number (it cannot be a datetime).
+ITEM_TYPES = {
+    "whole": "bigint", "real": "double", "text": "string", "long_number": "boolean",
+}
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -23,44 +28,29 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         return _approx_profile(df)
     fields = df.schema.fields
-    pairs = _unpivot(df, [
-        F.struct(
-            F.lit(i).alias("pos"),
-            _comparable(field).alias("item"),
-            *(
-                F.when(F.length(col(field.name).cast("string")) > LONG_VALUE, flag).alias(name)
-                if family(field.dataType) == "string"
-                else F.lit(None).cast("boolean").alias(name)
-                for name, flag in _parse_flags(field).items()
-            ),
-        )
-        for i, field in enumerate(fields)
-    ])
-    # Values short enough to be kept as they are get parsed once per distinct value.
-    texts = [i for i, f in enumerate(fields) if family(f.dataType) == "string"]
-    is_text = F.col("pos").isin(texts) if texts else F.lit(False)
-    parsed = _parse_flags(T.StructField("item", T.StringType()))
-    values = (
-        pairs.groupBy("pos", "item", "is_number", "is_datetime")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({
-            name: F.coalesce(F.col(name), F.when(is_text, flag), F.lit(False))
-            for name, flag in parsed.items()
-        })
-    )
-    filled = F.col("item").isNotNull()
+    pairs = _unpivot(df, [F.struct(F.lit(i).alias("pos"), *_item(f)) for i, f in enumerate(fields)])
     # Every column appears, also when the table has no rows.
     zero = df.sparkSession.range(len(fields)).select(
-        F.col("id").cast("int").alias("pos"), F.lit(None).cast("string").alias("item"),
-        F.lit(False).alias("is_number"), F.lit(False).alias("is_datetime"),
+        F.col("id").cast("int").alias("pos"),
+        *(F.lit(None).cast(t).alias(n) for n, t in ITEM_TYPES.items()),
         F.lit(0).cast("long").alias("n"),
     )
-    per_column = values.unionByName(zero).groupBy("pos").agg(
+    items = pairs.groupBy("pos", *ITEM_TYPES).agg(F.count(F.lit(1)).alias("n")).unionAll(zero)
+
+    # A text is parsed once per distinct value.
+    texts = [i for i, f in enumerate(fields) if family(f.dataType) == "string"]
+    is_text = F.col("pos").isin(texts) if texts else F.lit(False)
+    parsed = _parse_flags(T.StructField("text", T.StringType()))
+    number = F.coalesce("long_number", is_text & parsed["is_number"])
+    datetime = F.col("long_number").isNull() & is_text & parsed["is_datetime"]
+    filled = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
+    rows = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    per_column = items.groupBy("pos").agg(
         F.sum("n").alias("rows"),
-        F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("filled"),
-        F.count("item").alias("nunique_preview"),
-        F.sum(F.when(filled & F.col("is_number"), F.col("n")).otherwise(0)).alias("numbers"),
-        F.sum(F.when(filled & F.col("is_datetime"), F.col("n")).otherwise(0)).alias("datetimes"),
+        rows(filled).alias("filled"),
+        F.count_if(filled).alias("nunique_preview"),
+        rows(filled & number).alias("numbers"),
+        rows(filled & datetime).alias("datetimes"),
     )
     return _finish(df, per_column)
 
@@ -74,7 +64,8 @@ def _approx_profile(df: DataFrame) -> DataFrame:
             F.lit(i).alias("pos"),
             F.count(F.lit(1)).alias("rows"),
             F.count(value).alias("filled"),
-            F.approx_count_distinct(_comparable(field)).alias("nunique_preview"),
+            F.coalesce(*(F.nullif(F.approx_count_distinct(c), F.lit(0)) for c in _item(field)[:3]),
+                       F.lit(0).cast("long")).alias("nunique_preview"),
             F.count_if(flags["is_number"] & value.isNotNull()).alias("numbers"),
             F.count_if(flags["is_datetime"] & value.isNotNull()).alias("datetimes"),
         ))
@@ -105,28 +96,45 @@ def _unpivot(df: DataFrame, entries: list[Column]) -> DataFrame:
     return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def _comparable(field: T.StructField) -> Column:
-    """Text that is equal exactly when the values are equal."""
+def _item(field: T.StructField) -> list[Column]:
+    """The value of a column as an item: equal items are equal values."""
     value = nan_to_null(col(field.name), field.dataType)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        value = value + F.lit(0.0).cast(field.dataType)  # -0.0 equals 0.0
-    if isinstance(field.dataType, T.BinaryType):
+    kind = family(field.dataType)
+    found: dict[str, Column] = {}
+    if isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
+        found["whole"] = value
+    elif kind == "datetime":
+        found["whole"] = micros(value, field.dataType)
+    elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        found["real"] = value
+    else:
+        found["text"] = _short_text(value, field.dataType)
+        if kind == "string":
+            found["long_number"] = F.when(_is_long(value), is_number_text(value))
+    return [found.get(n, F.lit(None)).cast(t).alias(n) for n, t in ITEM_TYPES.items()]
+
+
+def _short_text(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.BinaryType):
         return F.sha2(value, 256)
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         value = F.to_json(value)
     text = value.cast("string")
-    return F.when(F.length(text) > LONG_VALUE, F.sha2(text, 256)).otherwise(text)
+    return F.when(_is_long(text), F.sha2(text, 256)).otherwise(text)
+
+
+def _is_long(text: Column) -> Column:
+    return F.length(F.trim(text)) > LONG_VALUE
 
 
 def _parse_flags(field: T.StructField) -> dict[str, Column]:
     """Whether a text value parses as a number or a datetime; typed columns need no test."""
     if family(field.dataType) != "string":
         return {"is_number": F.lit(False), "is_datetime": F.lit(False)}
-    # A number or datetime is short; the test spares long texts the parsing.
-    text = F.when(F.length(F.trim(col(field.name))) <= 400, col(field.name))
+    text = col(field.name)
     return {
-        "is_number": to_number(text, field.dataType).isNotNull(),
-        "is_datetime": to_datetime(text, field.dataType).isNotNull(),
+        "is_number": is_number_text(text),
+        "is_datetime": to_datetime(F.when(~_is_long(text), text), field.dataType).isNotNull(),
     }
 
 

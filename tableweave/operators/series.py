@@ -313,7 +313,8 @@ def summarize(
         origin = _bound_micros(rows, anchor, dtype)
     else:
         firsts = rows.groupBy(F.col("tag").alias("first_tag")).agg(F.min("ts").alias("first_ts"))
-        rows = rows.join(firsts, F.col("tag") == F.col("first_tag"), "inner")
+        # <=> has its own shuffle, without which a hot tag could not be split
+        rows = rows.join(firsts, F.col("tag").eqNullSafe(F.col("first_tag")), "inner")
         origin = micros(F.col("first_ts"), dtype)
     into = F.pmod(micros(F.col("ts"), dtype) - origin, F.lit(step))
     width = micros_interval(F.lit(step))

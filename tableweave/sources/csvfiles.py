@@ -7,6 +7,7 @@ import csv
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +60,7 @@ def java_charset(spark: SparkSession, encoding: str) -> str:
 # --------------------------------------------------------------------- detection
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines that are not blank, as raw bytes, with their file and block."""
     return spark.read.text(path).select(
         F.col("value").cast("binary").alias("line"),
@@ -187,22 +188,21 @@ def _scan_detected(
     pick = lambda name: (
         F.col(name) if getattr(options, name) == "auto" else F.lit(getattr(options, name)).alias(name)
     )
-    groups = (
-        detect_csv(spark, path)
-        .select("path", pick("encoding"), pick("delimiter"), pick("quotechar"))
-        .groupBy("encoding", "delimiter", "quotechar")
-        .agg(F.collect_list("path").alias("paths"))
-        .collect()
+    found = detect_csv(spark, path).select(
+        "path", pick("encoding"), pick("delimiter"), pick("quotechar")
     )
-    if not groups:
+    forms = found.select("encoding", "delimiter", "quotechar").distinct().collect()
+    if not forms:
         raise PlanError(f"no CSV lines under {path}")
-    scans = [
-        _scan(
-            spark, list(g.paths), CsvOptions(g.encoding, g.delimiter, g.quotechar, options.header_row),
-            multiline,
-        )
-        for g in groups
-    ]
+    scans = []
+    for form in forms:
+        paths = [path]
+        if len(forms) > 1:
+            # The reader needs the names of its files, as any file listing does.
+            same = [F.col(n).eqNullSafe(F.lit(v)) for n, v in form.asDict().items()]
+            paths = [r.path for r in found.where(reduce(and_, same)).select("path").collect()]
+        chosen = CsvOptions(form.encoding, form.delimiter, form.quotechar, options.header_row)
+        scans.append(_scan(spark, paths, chosen, multiline))
     return reduce(lambda a, b: a.unionByName(b), scans)
 
 
@@ -231,7 +231,7 @@ def _scan(
 
 def _header(spark: SparkSession, paths: list[str], options: CsvOptions) -> list[str]:
     """Names on the header row of the first file, made unique as a.1, a.2, …"""
-    first = sorted(f for p in paths for f in spark.read.text(p).inputFiles())[:1]
+    first = sorted(spark.read.text(paths).inputFiles())[:1]
     if not first:
         raise PlanError(f"no files under {', '.join(paths)}")
     lines = _lines(spark, first[0]).where(F.col("block") == 0).limit(options.header_row).collect()
@@ -272,8 +272,7 @@ def _rows_below(spark: SparkSession, paths: list[str], options: CsvOptions) -> D
             lines = batch.loc[keep, "line"]
             yield pd.DataFrame({"line": [bytes(b).decode(codec, "replace") for b in lines]})
 
-    lines = reduce(lambda a, b: a.unionByName(b), [_lines(spark, p) for p in paths])
-    return lines.mapInPandas(below, "line string")
+    return _lines(spark, paths).mapInPandas(below, "line string")
 
 
 def infer_columns(df: DataFrame) -> DataFrame:
