@@ -311,9 +311,8 @@ def _split(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
     both = right_keys.select(*group, "k", F.lit(0).alias("s"), *values).unionAll(
         left_keys.select(*group, "k", F.lit(1).alias("s"), *(_null(right_keys, v) for v in values))
     )
-    entering = _carried(both, bys, rule) if cuts else []
-    for rows in entering:
-        both = both.unionByName(rows)
+    if cuts:
+        both = both.unionByName(_carried(both, bys, rule))
     matches = _windowed(both, group, rule, ranked=False).select(
         *(F.col(b).alias(f"m_{b}") for b in bys), F.col("k").alias("m_k"), rule.pick().alias("hit")
     )
@@ -347,36 +346,38 @@ def _ranged(df: DataFrame, cuts: list[float]) -> DataFrame:
     return ranger.transform(df.withColumn("kd", F.col("k").cast("double"))).drop("kd")
 
 
-def _carried(both: DataFrame, bys: Sequence[str], rule: _Rule) -> list[DataFrame]:
-    """Per direction, the right row that enters each range holding left rows."""
-    ends = {
-        "bwd": (F.max_by, F.col("g").asc()),
-        "fwd": (F.min_by, F.col("g").desc()),
-    }
-    aggregates = []
-    for name in rule.sides:
-        row = F.col(f"{name}_v")
-        end = ends[name][0](F.struct(F.col("k"), row.alias("v")), F.when(row.isNotNull(), F.col("k")))
-        aggregates.append(end.alias(f"{name}_end"))
-    per_range = both.groupBy(*bys, "g").agg(F.max("s").alias("has_left"), *aggregates)
-    out = []
+def _carried(both: DataFrame, bys: Sequence[str], rule: _Rule) -> DataFrame:
+    """The right rows that enter each range holding left rows, one per direction.
+
+    All directions come from one pass, so the plan uses the same reduced right table
+    here and in the union it is added to.
+    """
+    ends, entries, rows = [], {}, []
     for name in rule.sides:
+        pick, order = (
+            (F.max_by, F.col("g").asc()) if name == "bwd" else (F.min_by, F.col("g").desc())
+        )
+        value = F.col(f"{name}_v")
+        here = F.when(value.isNotNull(), F.col("k"))
+        ends.append(pick(F.struct(F.col("k"), value.alias("v")), here).alias(f"{name}_end"))
         # One row per range here, so a partition holds at most MAX_RANGES rows.
         window = (
-            Window.partitionBy(*bys)
-            .orderBy(ends[name][1])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        entry = F.last(f"{name}_end", ignorenulls=True).over(window)
-        rows = per_range.withColumn("entry", entry).where(
-            (F.col("has_left") == 1) & F.col("entry").isNotNull()
+            Window.partitionBy(*bys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         )
+        entries[name] = F.last(f"{name}_end", ignorenulls=True).over(window)
         values = [
-            F.col("entry.v").alias(f"{n}_v") if n == name else _null(both, f"{n}_v")
+            F.col(f"{name}.v").alias(f"{n}_v") if n == name else _null(both, f"{n}_v")
             for n in rule.sides
         ]
-        out.append(rows.select(*bys, "g", F.col("entry.k").alias("k"), F.lit(0).alias("s"), *values))
-    return out
+        rows.append(F.struct(F.col(f"{name}.k").alias("k"), F.lit(0).alias("s"), *values))
+    ranges = both.groupBy(*bys, "g").agg(F.max("s").alias("has_left"), *ends)
+    return (
+        ranges.withColumns(entries)
+        .where(F.col("has_left") == 1)
+        .select(*bys, "g", F.explode(F.array(*rows)).alias("row"))
+        .where(F.col("row.k").isNotNull())
+        .select(*bys, "g", "row.*")
+    )
 
 
 # -------------------------------------------------------------------- parameters
