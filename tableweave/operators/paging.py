@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
@@ -14,6 +15,10 @@ from ..functions.columns import col, require_columns
 
 DEFAULT_PAGE_SIZE = 200
 MAX_PAGE_SIZE = 1000
+# A page that ends within so many rows is found by the sort alone.
+DIRECT_ROWS = 1_000_000
+SAMPLE_ROWS = 2_000
+CUTS = 64
 
 
 def page_size(value: object) -> int:
@@ -39,9 +44,9 @@ def page(
 ) -> DataFrame:
     """Page ``number`` (from 0) in the order of ``order_by``, which must be total.
 
-    Without ``after`` each task keeps the rows up to the page's end, so the cost
-    grows with the page number. To walk far, pass the order values of the last row
-    seen as ``after``: the page then starts behind it and costs one page only.
+    The start of a page far from the first is found by counting, in jobs run when the
+    page is planned. To walk on from a page at hand, pass the order values of its last
+    row as ``after``: the next page then needs no counting.
     """
     if not order_by:
         raise PlanError("paging needs an order")
@@ -52,7 +57,77 @@ def page(
         if len(after) != len(order_by):
             raise PlanError("after needs one value per order column")
         return df.where(_behind(order_by, after)).orderBy(*order).limit(rows)
-    return df.orderBy(*order).offset(page_number(number) * rows).limit(rows)
+    pieces = [
+        part.orderBy(*order).offset(skip).limit(take)
+        for part, skip, take in _locate(df, list(order_by), page_number(number) * rows, rows)
+    ]
+    return reduce(lambda a, b: a.unionAll(b), pieces)
+
+
+def _locate(
+    df: DataFrame, names: list[str], skip: int, take: int
+) -> list[tuple[DataFrame, int, int]]:
+    """Parts of ``df`` that hold the page, each with the rows to skip and take in it.
+
+    A sort that skips many rows keeps them all in one task. So the table is narrowed
+    first: exact counts at a few values of the leading order column say which of them
+    lie before and behind the page. A value that fills the part alone hands over to
+    the next order column; a page that crosses such a value falls into two pieces.
+    """
+    while names and skip + take > DIRECT_ROWS:
+        name, dtype = names[0], df.schema[names[0]].dataType
+        bounds, total = _bounds(df, name, dtype)
+        below = [b for b in bounds if b.rows <= skip]
+        above = [b for b in bounds if b.rows >= skip + take]
+        low, high = below[-1], above[0] if above else None
+        if high and low.value == high.value and not low.through and high.through:
+            value = F.lit(low.value).cast(dtype)
+            df, skip, names = df.where(col(name).eqNullSafe(value)), skip - low.rows, names[1:]
+            continue
+        inside = [b for b in bounds if skip < b.rows < skip + take]
+        if inside:
+            cut = inside[0].rows - skip
+            return _locate(df.where(inside[0].before(name, dtype)), names, skip, cut) + _locate(
+                df.where(~inside[0].before(name, dtype)), names, 0, take - cut
+            )
+        if low.rows == 0 and (high is None or high.rows == total):
+            break  # no value seen divides what is left
+        df = df.where(~low.before(name, dtype))
+        if high:
+            df = df.where(high.before(name, dtype))
+        skip -= low.rows
+    return [(df, skip, take)]
+
+
+class _Bound(NamedTuple):
+    """A place in the order: before a value, or through it. Nulls come first."""
+
+    value: object
+    through: bool
+    rows: int  # rows of the part before this place
+
+    def before(self, name: str, dtype) -> Column:
+        if self.value is None:
+            return col(name).isNull() if self.through else F.lit(False)
+        value = F.lit(self.value).cast(dtype)
+        within = col(name) <= value if self.through else col(name) < value
+        return col(name).isNull() | within
+
+
+def _bounds(df: DataFrame, name: str, dtype) -> tuple[list[_Bound], int]:
+    """Places at some values of a column, in order, with exact counts, and the number
+    of all rows. Which values are chosen is left to chance; it has no bearing on the
+    rows of the page."""
+    some = df.select(col(name).alias("v")).where(F.col("v").isNotNull())
+    sample = [r.v for r in some.orderBy(F.rand()).limit(SAMPLE_ROWS).collect()]
+    values = sorted({v for v in sample if v == v})
+    chosen = [None, *values[:: max(1, len(values) // CUTS)], *values[-1:]]
+    places = [_Bound(v, t, 0) for v in dict.fromkeys(chosen) for t in (False, True)]
+    counts = df.agg(
+        *(F.count_if(p.before(name, dtype)).alias(f"n{i}") for i, p in enumerate(places)),
+        F.count(F.lit(1)).alias("total"),
+    ).first()
+    return [p._replace(rows=n) for p, n in zip(places, counts)], counts.total
 
 
 def _behind(names: Sequence[str], values: Sequence[object]):

@@ -212,7 +212,7 @@ def _scan(
     if options.encoding.strip().lower() not in JAVA_CHARSETS:
         raise PlanError(f"unknown encoding: {options.encoding}")
     names = _header(spark, paths, options)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
     quote = "" if options.quotechar == "none" else options.quotechar
     reading = {"sep": options.delimiter, "quote": quote}
     if quote:
@@ -224,7 +224,7 @@ def _scan(
         )
         return reader.csv(paths).toDF(*names)
     parsed = _rows_below(spark, paths, options).select(
-        F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), reading).alias("c")
+        F.from_csv("line", schema, reading).alias("c")
     )
     return parsed.select("c.*").toDF(*names)
 

@@ -1,9 +1,10 @@
-import datetime
+import random
 
 import pytest
 
 import tableweave as tw
 from tableweave.errors import PlanError
+from tableweave.operators import paging
 from tableweave.functions.names import matches_any_name, match_keys_column, parse_name_list
 
 from .conftest import at, only, rows
@@ -100,6 +101,22 @@ def test_pages_behind_a_row_with_nulls(spark):
         assert rest == whole[i + 1:]
 
 
+def test_pages_far_from_the_first(spark, monkeypatch):
+    """Hot values, nulls and pages across their edges; tiny limits force the counting."""
+    monkeypatch.setattr(paging, "DIRECT_ROWS", 30)
+    monkeypatch.setattr(paging, "CUTS", 4)
+    rng = random.Random(2)
+    day = lambda: rng.choice([None, "2024-01-05", "2024-01-05", f"2024-02-{rng.randrange(10, 28)}"])
+    data = [(day(), rng.choice([None, 7.0, 7.0, rng.random()]), i) for i in range(400)]
+    df = spark.createDataFrame(data, "d string, x double, id long")
+    whole = sorted(data, key=lambda r: [(r[0] is not None, r[0] or ""), (r[1] is not None, r[1] or 0), r[2]])
+    for number in (0, 5, 13, 17, 22, 39, 40):
+        found = [tuple(r) for r in tw.page(df, ["d", "x", "id"], number, 10).collect()]
+        assert sorted(found, key=lambda r: r[2]) == sorted(
+            whole[number * 10:number * 10 + 10], key=lambda r: r[2]
+        ), number
+
+
 def test_name_lists():
     assert parse_name_list("温度、圧力， 流量；ﾚﾍﾞﾙ\n温度") == ("温度", "圧力", "流量", "レベル")
     assert parse_name_list("a\tA;b,,") == ("a", "b")
