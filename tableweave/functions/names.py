@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,16 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def header_names(cells: Iterable[str | None]) -> list[str]:
+    """Unique column names of a header row: a, a.1, a.2, …; blank cells get a name."""
+    names: list[str] = []
+    for i, cell in enumerate(cells):
+        base = cell or f"Unnamed: {i}"
+        tries = (base if n == 0 else f"{base}.{n}" for n in count())
+        names.append(next(t for t in tries if t not in names))
+    return names
+
+
 def clean_text(value: object) -> str:
     text = unicodedata.normalize("NFKC", "" if value is None else str(value))
     for sign in YEN_SIGNS:

@@ -234,7 +234,7 @@ def asof_matches(
         return [F.col(n).cast(t).alias(b) for n, t, b in zip(names, by_types, bys)]
 
     fields = {f.name: f.dataType for f in layout.right.schema.fields}
-    ranks = [layout.r(n) for n in order_by]
+    ranks = list(dict.fromkeys(layout.r(n) for n in order_by))
     ranks += [n for n, t in fields.items() if orderable(t) and n not in ranks]
     rest = [n for n in fields if n not in ranks]
     parts = [F.struct(*(F.col(n) for n in ranks)).alias("o")]

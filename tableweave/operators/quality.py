@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, type_of
+from ..functions.columns import col
 from .asof import AsofMatches
 from .equi import check_keys
 from .union import UnionLayout

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import PlanError
-from ..functions.columns import INFINITY_PATTERN, NUMBER_PATTERN, col
+from ..functions.columns import col, is_number_text
+from ..functions.names import header_names
 
 # Delimiters looked for, and the texts a field may hold for "no value".
 DELIMITERS = (",", "\t", ";", "|")
@@ -200,7 +202,8 @@ def _scan_detected(
         if len(forms) > 1:
             # The reader needs the names of its files, as any file listing does.
             same = [F.col(n).eqNullSafe(F.lit(v)) for n, v in form.asDict().items()]
-            paths = [r.path for r in found.where(reduce(and_, same)).select("path").collect()]
+            rows = found.where(reduce(and_, same)).select("path").collect()
+            paths = [unquote(r.path) for r in rows]
         chosen = CsvOptions(form.encoding, form.delimiter, form.quotechar, options.header_row)
         scans.append(_scan(spark, paths, chosen, multiline))
     return reduce(lambda a, b: a.unionByName(b), scans)
@@ -231,7 +234,7 @@ def _scan(
 
 def _header(spark: SparkSession, paths: list[str], options: CsvOptions) -> list[str]:
     """Names on the header row of the first file, made unique as a.1, a.2, …"""
-    first = sorted(spark.read.text(paths).inputFiles())[:1]
+    first = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())[:1]
     if not first:
         raise PlanError(f"no files under {', '.join(paths)}")
     lines = _lines(spark, first[0]).where(F.col("block") == 0).limit(options.header_row).collect()
@@ -244,15 +247,7 @@ def _header(spark: SparkSession, paths: list[str], options: CsvOptions) -> list[
         else {"quotechar": options.quotechar}
     )
     raw = next(csv.reader([text], delimiter=options.delimiter, **form))
-    names: list[str] = []
-    for i, name in enumerate(raw):
-        base, number = name or f"Unnamed: {i}", 0
-        name = base
-        while name in names:
-            number += 1
-            name = f"{base}.{number}"
-        names.append(name)
-    return names
+    return header_names(raw)
 
 
 def _rows_below(spark: SparkSession, paths: list[str], options: CsvOptions) -> DataFrame:
@@ -279,7 +274,7 @@ def infer_columns(df: DataFrame) -> DataFrame:
     """Type text columns whose filled values are all integers, numbers or booleans."""
     tests = {
         "bigint": lambda c: c.rlike(r"^\s*[+-]?\d{1,18}\s*$"),
-        "double": lambda c: c.rlike(NUMBER_PATTERN) | c.rlike(INFINITY_PATTERN),
+        "double": is_number_text,
         "boolean": lambda c: c.isin("True", "TRUE", "true", "False", "FALSE", "false"),
     }
     counts = []

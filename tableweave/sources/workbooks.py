@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
+from ..functions.names import header_names
 from .csvfiles import NULL_TOKENS, infer_columns
 
 # Fixed values of the file format: number formats that show a date, and day zero.
@@ -69,14 +70,7 @@ def read_workbooks(
     found = cells.where(F.col("row_number") == header_row).orderBy("path").limit(1).collect()
     if not found:
         raise PlanError(f"no header row {header_row} in the workbooks under {path}")
-    names: list[str] = []
-    for i, name in enumerate(found[0].cells):
-        base, number = name or f"Unnamed: {i}", 0
-        name = base
-        while name in names:
-            number += 1
-            name = f"{base}.{number}"
-        names.append(name)
+    names = header_names(found[0].cells)
     body = cells.where(F.col("row_number") > header_row)
     values = [F.get("cells", F.lit(i)) for i in range(len(names))]
     df = body.select(*(

@@ -39,6 +39,15 @@ def test_types_null_texts_and_quotes(spark, tmp_path):
     assert read_csv(spark, path, PLAIN, rows=2).count() == 2
 
 
+def test_file_names_with_blanks(spark, tmp_path):
+    folder = tmp_path / "my files"
+    folder.mkdir()
+    write(folder / "a 1%.csv", "id,v\n1,x\n")
+    assert rows(read_csv(spark, str(folder), PLAIN)) == [(1, "x")]
+    write(folder / "b é.csv", "id;v\n2;y\n3;z\n")
+    assert rows(read_csv(spark, str(folder))) == [(1, "x"), (2, "y"), (3, "z")]
+
+
 def test_header_names(spark, tmp_path):
     path = write(tmp_path / "a.csv", "﻿a,a,,b.c,a\n1,2,3,4,5\n")
     df = read_csv(spark, path, PLAIN)
