@@ -28,6 +28,7 @@ from ..operators.quality import (
     union_report,
 )
 from ..operators.union import DEFAULT_SOURCE_COLUMN, union_layout, union_mapped
+from ..session import checkpointed
 from ..sources.csvfiles import read_csv, write_csv
 from ..sources.jdbc import Database, read_sql
 from ..sources.workbooks import read_workbooks
@@ -149,9 +150,15 @@ def run_plan(
     tables: Mapping[str, DataFrame] | Callable[[str], DataFrame],
     plan: PlanSpec,
     persist: bool = False,
+    checkpoint: bool = False,
 ) -> PlanResult:
-    """Apply the steps in order. ``persist`` keeps a table used more than once, and
-    the result of each step that the next one reads, on the executors' disks."""
+    """Apply the steps in order, lazily.
+
+    ``persist`` keeps a table used more than once, and the result of each step that
+    the next one reads, on the executors' disks. ``checkpoint`` writes those results
+    to the shared checkpoint folder instead, at once: for long plans, whose steps and
+    reports would otherwise start from the sources again when an executor is lost.
+    """
     plan.check()
     load = tables if callable(tables) else tables.__getitem__
     ids = plan.table_ids()
@@ -170,8 +177,11 @@ def run_plan(
             current, loaded[step.right_table_id], step, plan.row_explosion_warn_ratio
         )
         current = result.output
-        if persist and number < len(plan.steps):
-            current = result.output = current.persist(StorageLevel.DISK_ONLY)
+        if number < len(plan.steps):
+            if checkpoint:
+                current = result.output = checkpointed(current)
+            elif persist:
+                current = result.output = current.persist(StorageLevel.DISK_ONLY)
         steps.append(result)
     return PlanResult(current, steps)
 
@@ -224,6 +234,7 @@ def run_recipe(
     rows: int | None = None,
     now: datetime | None = None,
     persist: bool = False,
+    checkpoint: bool = False,
 ) -> PlanResult:
     """Run a recipe; ``locations`` says where each table id is found, ``rows`` reads
     only the first rows of each table for a preview."""
@@ -235,7 +246,7 @@ def run_recipe(
     def load(table_id: str) -> DataFrame:
         return load_table(spark, recipe.table(table_id), locations.get(table_id), rows, now)
 
-    return run_plan(load, recipe.join_plan, persist)
+    return run_plan(load, recipe.join_plan, persist, checkpoint)
 
 
 def write_result(result: DataFrame, recipe: Recipe, path: str, mode: str = "errorifexists") -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .errors import PlanError
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,11 +23,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the cluster's checkpoint folder; set ``fallback`` only where none is named."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or fallback)
-    return named or fallback
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the cluster's checkpoint folder, its lineage cut.
+
+    The folder is the one the session has or ``spark.checkpoint.dir`` names; it must
+    be shared by all executors, so none is made up here.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise PlanError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

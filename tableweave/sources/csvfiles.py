@@ -32,8 +32,7 @@ SNIFF_LINES = 10
 JAVA_CHARSETS = {
     "utf-8": "UTF-8", "utf8": "UTF-8", "utf_8": "UTF-8", "utf-8-sig": "UTF-8",
     "utf_8_sig": "UTF-8", "ascii": "US-ASCII", "latin1": "ISO-8859-1",
-    "iso-8859-1": "ISO-8859-1", "utf-16": "UTF-16", "utf-16le": "UTF-16LE",
-    "utf-16be": "UTF-16BE", "cp932": "windows-31j", "shift_jis": "Shift_JIS",
+    "iso-8859-1": "ISO-8859-1", "cp932": "windows-31j", "shift_jis": "Shift_JIS",
 }
 LEGACY_CHARSETS = ("windows-31j", "Shift_JIS")
 

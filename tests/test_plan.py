@@ -65,6 +65,17 @@ def test_preview_and_persist(spark, tmp_path):
     assert tw.preview_plan(tables, plan).output.count() == 200
 
 
+def test_checkpoint_between_steps(spark, tmp_path):
+    locations = folder(tmp_path)
+    if not spark.sparkContext.getCheckpointDir():
+        with pytest.raises(PlanError, match="spark.checkpoint.dir"):
+            tw.run_recipe(spark, json.dumps(recipe()), locations, checkpoint=True)
+        spark.sparkContext.setCheckpointDir(str(tmp_path / "cut"))
+    result = tw.run_recipe(spark, json.dumps(recipe()), locations, checkpoint=True)
+    assert result.output.count() == 4
+    assert "ExistingRDD" in result.steps[0].output._jdf.queryExecution().executedPlan().toString()
+
+
 def test_round_trip():
     one = tw.recipe_from_json(json.dumps(recipe()))
     again = tw.recipe_from_json(tw.recipe_to_json(one))
