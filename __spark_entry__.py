@@ -12,6 +12,12 @@ import tableweave as tw
 from tableweave.operators.union import DROP, KEEP_AS_NEW
 from tableweave.plans.series_query import SeriesQuery, series_table
 
+try:  # the training-data operators come and go as one part
+    import corpus_pipeline
+    from tableweave.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -719,7 +725,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return plan_three_steps(spark, FLAGSHIP_DIR)
 
 
-def queries() -> dict[str, Query]:
+def own_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "equi_inner": _documents_labels("inner"),
         "equi_left": _documents_labels("left"),
@@ -778,7 +784,7 @@ def queries() -> dict[str, Query]:
     return {name: configured(query) for name, query in found.items()}
 
 
-def oracle_sql() -> dict[str, str]:
+def own_oracle_sql() -> dict[str, str]:
     within = "l.ts - r.buy_ts <= INTERVAL '6 hours 30 minutes'"
     matched_12h = f"""
         SELECT l.event_id, l.ts, l.user_id, l.event_type,
@@ -921,3 +927,16 @@ def oracle_sql() -> dict[str, str]:
         "plan_reports": PLAN_REPORTS_SQL,
         "recipe_run": RECIPE_SQL,
     }
+
+
+def queries() -> dict[str, Query]:
+    if llm is None:
+        return own_queries()
+    return {**own_queries(), **llm.QUERIES, "pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    if llm is None:
+        return own_oracle_sql()
+    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**own_oracle_sql(), **llm.ORACLE_SQL, **pipeline}

@@ -18,12 +18,12 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.own_queries()) == set(entry.own_oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.own_queries()))
 def test_query(spark, duck, name):
-    assert compare(entry.queries()[name](spark, DATA), duck, entry.oracle_sql()[name]) is None
+    assert compare(entry.own_queries()[name](spark, DATA), duck, entry.own_oracle_sql()[name]) is None
 
 
 def test_flagship(spark):
