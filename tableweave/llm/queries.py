@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import jaccard, sanitise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, d, "documents"))
 
 
+def op5_pii_sanitisation(spark: SparkSession, d: str) -> DataFrame:
+    return sanitise.personal_data(table(spark, d, "documents"))
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_pii_sanitisation": op5_pii_sanitisation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
