@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, sanitise
+from . import jaccard, mixing, packing, sanitise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, d, "documents"))
 
 
+def op4_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.taken_by_document(table(spark, d, "documents"))
+
+
 def op5_pii_sanitisation(spark: SparkSession, d: str) -> DataFrame:
     return sanitise.personal_data(table(spark, d, "documents"))
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_source_mix": op4_source_mix,
     "op5_pii_sanitisation": op5_pii_sanitisation,
 }
 
