@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, sanitise
+from . import jaccard, mixing, packing, quality, sanitise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,11 +27,17 @@ def op5_pii_sanitisation(spark: SparkSession, d: str) -> DataFrame:
     return sanitise.personal_data(table(spark, d, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mix": op4_source_mix,
     "op5_pii_sanitisation": op5_pii_sanitisation,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
