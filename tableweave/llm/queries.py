@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality, sanitise
+from . import jaccard, mixing, packing, quality, sanitise, tokencount, tokenfile
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,12 +33,22 @@ def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
 
 
+def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_token_id_output(spark: SparkSession, d: str) -> DataFrame:
+    return tokenfile.token_records(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mix": op4_source_mix,
     "op5_pii_sanitisation": op5_pii_sanitisation,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_counts": op9_token_counts,
+    "op10_token_id_output": op10_token_id_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
