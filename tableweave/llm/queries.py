@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality, sanitise, tokencount, tokenfile
+from . import ann, jaccard, mixing, packing, quality, sanitise, tokencount, tokenfile, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ann_rotated_bits(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest(table(spark, d, "embeddings"), "id % 20 = 0")
+
+
 def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -28,6 +32,10 @@ def op5_pii_sanitisation(spark: SparkSession, d: str) -> DataFrame:
     return sanitise.personal_data(table(spark, d, "documents"))
 
 
+def op6_threshold_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_scores(table(spark, d, "embeddings"), "id % 20 = 0")
+
+
 def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
@@ -42,13 +50,31 @@ def op10_token_id_output(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann_rotated_bits": op1_ann_rotated_bits,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_source_mix": op4_source_mix,
     "op5_pii_sanitisation": op5_pii_sanitisation,
+    "op6_threshold_top_k": op6_threshold_top_k,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_token_id_output": op10_token_id_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL = {
+    "op6_threshold_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
