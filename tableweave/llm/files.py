@@ -27,7 +27,7 @@ class Writer:
         fs, path = opened(folder)
         fs.create_dir(path, recursive=True)
         self.name = f"{stem}-{uuid.uuid4().hex}.{ending}"
-        self.out = fs.open_output_stream(f"{path}/{self.name}")
+        self.out = fs.open_output_stream(f"{path}/{self.name}", compression=None)  # not by its ending
         self.at = 0
 
     def write(self, raw) -> int:

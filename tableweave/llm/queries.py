@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, mixing, packing, quality, sanitise, tokencount, tokenfile, topk
+from . import ann, jaccard, mixing, packing, quality, sanitise, tokencount, tokenfile, topk, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_threshold_top_k(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_scores(table(spark, d, "embeddings"), "id % 20 = 0")
 
 
+def op7_warc_capture_index(spark: SparkSession, d: str) -> DataFrame:
+    return warc.page_records(table(spark, d, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
@@ -56,6 +60,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_pii_sanitisation": op5_pii_sanitisation,
     "op6_threshold_top_k": op6_threshold_top_k,
+    "op7_warc_capture_index": op7_warc_capture_index,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_token_id_output": op10_token_id_output,
@@ -66,12 +71,12 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
     "op6_threshold_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scores AS (
             SELECT q.vec_id AS query_id, c.vec_id,
-                   list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2]))::BIGINT AS score
+                   list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
         ), ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores
