@@ -11,21 +11,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableweave.llm import jaccard
+from tableweave.llm import jaccard, mixing, packing, quality, sanitise
 from tableweave.llm.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, quality.train(docs, labels))
+
+
 def first_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies (five words, similarity of 0.8 or more) leave the smallest doc_id of each group."""
+    """Near copies (five words, similarity of 0.8 or more) leave the smallest doc_id of each group.
+
+    Documents without a doc_id are kept.
+    """
     found = jaccard.similar_documents(docs, words=5, percent=80)
-    kept = found.where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = found.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are replaced; n_chars follows the text."""
+    return sanitise.sanitised(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document taken twice comes twice."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's words in sequences of the permitted lengths."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_documents),
     ("n-gram Jaccard join", first_of_each_group),
+    ("personal data", without_personal_data),
+    ("mix of sources", mixed_by_weight),
+    ("best-fit packing", packed),
 ]
 
 #: The classifier and the mix have no SQL form; the stages are tested one by one.
