@@ -454,7 +454,7 @@ def ts_recorded_split(spark: SparkSession, d: str) -> DataFrame:
     """The plan used for large inputs."""
     return tw.recorded(
         events_as_series(spark, d), "2024-01-03", "2024-01-28 12:00:00", 150,
-        order_by=["event_id"], strategy="split",
+        order_by=["event_id"],
     )
 
 
@@ -577,7 +577,7 @@ def series_query(spark: SparkSession, d: str) -> DataFrame:
     query = SeriesQuery.from_options("pi_da_tag", {
         "query_type": "Summary", "tags_text": "error、purchase；ｃｌｉｃｋ\nCLICK, view",
         "start_time": "2024-01-02", "end_time": "2024-01-25", "interval": "１２ｈ",
-        "summary_functions": ["MAX", "count"], "max_rows_per_tag": "500000",
+        "summary_functions": ["MAX", "count"],
     })
     return series_table(events_as_series(spark, d), query)
 

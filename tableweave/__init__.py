@@ -3,7 +3,6 @@
 from .errors import PlanError
 from .operators.asof import asof_join, asof_matches, asof_output
 from .operators.equi import equi_join, unmatched
-from .operators.match import seed_mapping, suggest_columns, suggest_mapping
 from .operators.paging import page, page_count
 from .operators.preagg import pre_aggregate
 from .operators.prepare import override_types, prepare, project

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from ..errors import PlanError
 from ..functions.columns import (
     MICROS_PER_SECOND,
     col,
-    estimated_bytes,
     family,
     micros,
     micros_interval,
@@ -29,24 +29,25 @@ from .asof import span_micros
 
 SUMMARY_FUNCTIONS = ("average", "min", "max", "sum", "count", "std")
 DEFAULT_SUMMARY = ("average", "min", "max")
-DEFAULT_ROWS_PER_TAG = 10_000
-MAX_ROWS_PER_TAG = 500_000
-DIRECT_BYTES = 64 << 20
-SALTS = 1024
-SLOT_MICROS = 3_600 * MICROS_PER_SECOND
-MAX_WIDE_COLUMNS = 10_000
+# Hours, seconds, microseconds: each step looks into one slot of the step before.
+EDGE_WIDTHS = (3_600 * MICROS_PER_SECOND, MICROS_PER_SECOND, 1)
+RANGE_CELLS = 4_096  # grid cells in one window of an interpolation
 
+_TIME_FORMS = tuple(
+    day + clock for day in ("%Y/%m/%d", "%m/%d/%Y") for clock in (" %H:%M:%S", " %H:%M", "")
+) + ("%Y%m%d%H%M%S",)
 _RELATIVE = re.compile(r"\*\s*(?:([+-])\s*(\d+(?:\.\d+)?)\s*([a-z]+))?", re.IGNORECASE)
 
 
 # -------------------------------------------------------------------- parameters
 
 
-def rows_per_tag(value: object, default: int = DEFAULT_ROWS_PER_TAG) -> int:
+def rows_per_tag(value: object) -> int | None:
+    """A cap as given, 1 at least; None, no cap, where none is given or it is no number."""
     try:
-        return max(1, min(int(value), MAX_ROWS_PER_TAG))
+        return max(1, int(value))
     except (TypeError, ValueError):
-        return default
+        return None
 
 
 def summary_functions(names: Iterable[str] | None) -> tuple[str, ...]:
@@ -56,21 +57,48 @@ def summary_functions(names: Iterable[str] | None) -> tuple[str, ...]:
 
 
 def resolve_time(text: object, now: datetime | None = None) -> datetime | None:
-    """A time bound: a datetime, an ISO text, ``*`` (now) or ``*-1d``; None if unreadable."""
+    """A time bound: a datetime, a text, ``*`` (now) or ``*-1d``; None if unreadable.
+
+    Now has an offset. Texts may be ISO, with or without one, or ``2024/01/05`` and
+    ``1/5/2024`` with a clock time or without.
+    """
     if text is None or isinstance(text, datetime):
         return text
     body = str(text).strip()
     relative = _RELATIVE.fullmatch(body)
     if relative:
         sign, amount, unit = relative.groups()
-        moment = now or datetime.now(timezone.utc).replace(tzinfo=None)
+        moment = now or datetime.now(timezone.utc)
         if sign is None:
             return moment
         return moment + timedelta(microseconds=span_micros(f"{sign}{amount}{unit}"))
     try:
         return datetime.fromisoformat(body)
     except ValueError:
-        return None
+        pass
+    for form in _TIME_FORMS:
+        try:
+            return datetime.strptime(body, form)
+        except ValueError:
+            continue
+    return None
+
+
+def wall_clock(df: DataFrame, moment: datetime) -> datetime:
+    """The moment without its offset, as clocks show it in the session's time zone."""
+    if moment.tzinfo is None:
+        return moment
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    try:
+        place = ZoneInfo(zone)
+    except (KeyError, ValueError):  # an offset such as +09:00 or GMT+9
+        found = re.fullmatch(r"(?:UTC|GMT|UT)?([+-])(\d{1,2})(?::?(\d{2}))?(?::\d{2})?", zone)
+        if not found:
+            raise PlanError(f"cannot read the session time zone {zone!r}") from None
+        sign, hours, minutes = found.groups()
+        away = timedelta(hours=int(hours), minutes=int(minutes or 0))
+        place = timezone(-away if sign == "-" else away)
+    return moment.astimezone(place).replace(tzinfo=None)
 
 
 def _bound(moment: datetime, dtype: T.DataType) -> Column:
@@ -89,7 +117,7 @@ def _in_range(df: DataFrame, ts: str, start, end, now) -> DataFrame:
         if text is not None and moment is None:
             raise PlanError(f"cannot read the time {text!r}")
         if moment is not None:
-            df = df.where(test(col(ts), _bound(moment, dtype)))
+            df = df.where(test(col(ts), _bound(wall_clock(df, moment), dtype)))
     return df
 
 
@@ -122,56 +150,64 @@ def recorded(
     df: DataFrame,
     start=None,
     end=None,
-    max_rows: int | None = DEFAULT_ROWS_PER_TAG,
+    max_rows: int | None = None,
     tags: Sequence[str] | None = None,
     tag: str = "tag",
     ts: str = "timestamp",
     order_by: Sequence[str] = (),
     now: datetime | None = None,
-    strategy: str = "auto",
 ) -> DataFrame:
-    """Rows inside [start, end], at most the first ``max_rows`` per tag.
+    """Rows inside [start, end]; with ``max_rows``, the first ones of each tag only.
 
-    A tag may hold most rows. Beyond ``DIRECT_BYTES`` the cap therefore works in
-    steps: counts per (tag, hour), combined on the map side, say in which hour a
-    tag reaches the cap; rows of later hours are dropped without a shuffle of
-    their own; the rest is ranked per (tag, salt), then per tag.
+    A tag may hold most rows, so none is sorted to apply the cap. Counts per tag and
+    hour, combined on the map side, say in which hour a tag reaches it; counts of the
+    seconds of that hour and of the microseconds of that second say at which timestamp.
+    Earlier rows are kept, later ones dropped; only rows of that timestamp are ranked.
     """
     _check(df, tag, ts)
     rows = _in_range(_only_tags(df, tag, tags), ts, start, end, now).where(col(ts).isNotNull())
     if max_rows is None:
         return rows
-    cap = rows_per_tag(max_rows)
     names = rows.columns
-    rank = _ranking(rows, order_by, (tag, ts))
-    if strategy == "auto":
-        size = estimated_bytes(df)
-        strategy = "direct" if size is not None and size <= DIRECT_BYTES else "split"
-
-    def first_rows(frame: DataFrame, *part: Column) -> DataFrame:
-        window = Window.partitionBy(*part).orderBy(col(ts), F.col("__rank"))
-        return frame.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= cap)
-
-    ranked = rows.withColumn("__rank", rank)
-    if strategy == "split":
-        slot = F.floor(micros(col(ts), type_of(rows, ts)) / SLOT_MICROS)
-        counts = rows.groupBy(col(tag).alias("__tag"), slot.alias("__slot")).count()
-        before = Window.partitionBy("__tag").orderBy("__slot").rowsBetween(
-            Window.unboundedPreceding, -1
+    at = micros(col(ts), type_of(rows, ts))
+    edges = _cap_edges(rows.select(col(tag).alias("__tag"), at.alias("__t")), rows_per_tag(max_rows))
+    placed = rows.withColumns({"__t": at, "__rank": _ranking(rows, order_by, (tag, ts))}).join(
+        edges, col(tag).eqNullSafe(F.col("__tag")), "left"
+    )
+    edge = F.col("__edge")
+    inside = placed.where(edge.isNull() | (F.col("__t") < edge))
+    window = Window.partitionBy(col(tag)).orderBy("__rank")
+    tied = placed.where(F.col("__t") == edge).withColumn("__n", F.row_number().over(window))
+    tied = tied.where(F.col("__n") <= F.col("__quota"))
+    return inside.select(*(col(n) for n in names)).unionAll(tied.select(*(col(n) for n in names)))
+
+
+def _cap_edges(times: DataFrame, cap: int) -> DataFrame:
+    """(__tag, __edge, __quota) of tags with at least ``cap`` rows: the timestamp at which
+    the cap is reached, and how many rows of that timestamp are still inside it."""
+    still = times.withColumn("__quota", F.lit(cap).cast("long"))
+    for width in EDGE_WIDTHS:
+        slot = F.floor(F.col("__t") / width) if width > 1 else F.col("__t")
+        slots = still.groupBy("__tag", slot.alias("__slot")).agg(
+            F.count("*").alias("__n"), F.max("__quota").alias("__quota")
         )
-        # The last hour a tag needs: all hours before it hold fewer rows than the cap.
-        last = (
-            counts.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-            .where(F.col("__before") < cap)
-            .groupBy("__tag")
-            .agg(F.max("__slot").alias("__last"))
+        upto = Window.partitionBy("__tag").orderBy("__slot").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
         )
-        ranked = ranked.join(
-            last, col(tag).eqNullSafe(F.col("__tag")) & (slot <= F.col("__last")), "left_semi"
+        before = F.sum("__n").over(upto) - F.col("__n")
+        reached = (
+            slots.withColumn("__before", before)
+            .where((F.col("__before") < F.col("__quota")) & (F.col("__before") + F.col("__n") >= F.col("__quota")))
+            .select(
+                F.col("__tag").alias("__in"), F.col("__slot").alias("__at"),
+                (F.col("__quota") - F.col("__before")).alias("__rest"),
+            )
         )
-        salt = F.pmod(F.xxhash64(col(ts), F.col("__rank")), F.lit(SALTS))
-        ranked = first_rows(ranked.withColumn("__salt", salt), col(tag), F.col("__salt"))
-    return first_rows(ranked, col(tag)).select(*(col(n) for n in names))
+        if width == 1:
+            break
+        within = F.col("__tag").eqNullSafe(F.col("__in")) & (slot == F.col("__at"))
+        still = still.join(reached, within).select("__tag", "__t", F.col("__rest").alias("__quota"))
+    return reached.select(F.col("__in").alias("__tag"), F.col("__at").alias("__edge"), F.col("__rest").alias("__quota"))
 
 
 def snapshot(
@@ -198,7 +234,7 @@ def interpolate(
     start,
     end,
     interval: str,
-    max_points: int = DEFAULT_ROWS_PER_TAG,
+    max_points: int | None = None,
     tags: Sequence[str] | None = None,
     tag: str = "tag",
     ts: str = "timestamp",
@@ -209,18 +245,22 @@ def interpolate(
     """Values at start, start + interval, … ≤ end, linear between the samples around.
 
     A grid cell only needs its first and last sample, so samples are reduced per
-    (tag, cell) on the map side first. What is left per tag is bounded by the
-    number of grid points, whatever number of samples the tag has.
+    (tag, cell) on the map side first. Windows see ``RANGE_CELLS`` cells of a tag;
+    the samples before and after them come from one row per (tag, range).
+    ``max_points`` keeps the first points of the grid only.
     """
     _check(df, tag, ts, value)
     first, last = resolve_time(start, now), resolve_time(end, now)
     if first is None or last is None:
         raise PlanError("interpolation needs a start and an end")
+    first, last = wall_clock(df, first), wall_clock(df, last)
     step = span_micros(interval)
     if step <= 0:
         raise PlanError("the interval must be positive")
     span = (last - first) // timedelta(microseconds=1)
-    points = min(rows_per_tag(max_points), span // step + 1) if span >= 0 else 0
+    points = span // step + 1 if span >= 0 else 0
+    if max_points is not None:
+        points = min(points, rows_per_tag(max_points) or points)
 
     rows = _only_tags(df, tag, tags).where(col(tag).isNotNull())
     dtype = type_of(rows, ts)
@@ -250,26 +290,46 @@ def interpolate(
         )
         .withColumn("s", F.lit(1))
     )
-    # The count is a column, not a constant, so no array of all points enters the plan.
+    # Ranges first, then the points of each: no array holds more than one of the two.
+    ranges = -(-points // RANGE_CELLS)
     grid = (
         rows.groupBy(col(tag).alias("tag"))
-        .agg(F.max(F.lit(points)).alias("points"))
-        .where(F.col("points") > 0)
-        .select("tag", F.explode(F.sequence(F.lit(0), F.col("points") - 1)).alias("cell"))
-        .select("tag", F.col("cell").cast("long"), F.lit(0).alias("s"))
+        .agg(F.max(F.lit(ranges)).alias("ranges"))
+        .where(F.col("ranges") > 0)
+        .select("tag", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)).alias("r"))
+        .select("tag", F.explode(F.sequence(F.lit(0), F.lit(RANGE_CELLS - 1))).alias("i"), "r")
+        .select("tag", (F.col("r").cast("long") * RANGE_CELLS + F.col("i")).alias("cell"), F.lit(0).alias("s"))
+        .where(F.col("cell") < points)
     )
     both = cells.unionByName(grid, allowMissingColumns=True)
+    both = both.withColumn("r", F.floor(F.col("cell") / RANGE_CELLS))
     # Upwards the grid point comes before the samples of its own cell, downwards
     # after them, so ``prev`` ends at the cell before and ``next`` includes its own.
-    up = Window.partitionBy("tag").orderBy("cell", "s")
-    down = Window.partitionBy("tag").orderBy(F.col("cell").desc(), F.col("s").desc())
+    up = Window.partitionBy("tag", "r").orderBy("cell", "s")
+    down = Window.partitionBy("tag", "r").orderBy(F.col("cell").desc(), F.col("s").desc())
     frame = (Window.unboundedPreceding, Window.currentRow)
     following = F.when(F.col("s") == 1, F.struct("head", "hit"))
+    # What enters a range from the ranges around it.
+    sampled = F.when(F.col("s") == 1, F.col("cell"))
+    ends = both.groupBy("tag", "r").agg(
+        F.max_by("tail", sampled).alias("end"), F.min_by(F.struct("head", "hit"), sampled).alias("begin"),
+        F.max("s").alias("any"),
+    ).withColumn("begin", F.when(F.col("any") == 1, F.col("begin")))
+    earlier = Window.partitionBy("tag").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("tag").orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    entering = ends.select(
+        F.col("tag").alias("e_tag"), F.col("r").alias("e_r"),
+        F.last("end", ignorenulls=True).over(earlier).alias("before"),
+        F.last("begin", ignorenulls=True).over(later).alias("after"),
+    )
     at = origin + F.col("cell") * step
     placed = (
         both.withColumn("prev", F.last("tail", ignorenulls=True).over(up.rowsBetween(*frame)))
         .withColumn("next", F.last(following, ignorenulls=True).over(down.rowsBetween(*frame)))
         .where(F.col("s") == 0)
+        .join(entering, (F.col("tag") == F.col("e_tag")) & (F.col("r") == F.col("e_r")))
+        .withColumn("prev", F.coalesce("prev", "before"))
+        .withColumn("next", F.coalesce("next", "after"))
         .withColumn("at", at)
     )
     p, q = F.col("prev"), F.col("next.head")
@@ -310,7 +370,7 @@ def summarize(
     )
     anchor = resolve_time(start, now)
     if anchor is not None:
-        origin = _bound_micros(rows, anchor, dtype)
+        origin = _bound_micros(rows, wall_clock(df, anchor), dtype)
     else:
         firsts = rows.groupBy(F.col("tag").alias("first_tag")).agg(F.min("ts").alias("first_ts"))
         # <=> has its own shuffle, without which a hot tag could not be split
@@ -375,10 +435,8 @@ def to_wide(
         order.alias("__order"),
     )
     if tags is None:
-        found = rows.select("__tag").distinct().limit(MAX_WIDE_COLUMNS + 1).collect()
-        if len(found) > MAX_WIDE_COLUMNS:
-            raise PlanError(f"more than {MAX_WIDE_COLUMNS} tags cannot become columns; name them")
-        tags = sorted(r[0] for r in found)
+        # One name per column of the result.
+        tags = sorted(r[0] for r in rows.select("__tag").distinct().collect())
     else:
         rows = rows.where(F.col("__tag").isin(list(tags)))
     if not tags:
@@ -411,7 +469,10 @@ def event_frames(
     )
     dtype = type_of(df, "start_time")
     begin, finish = F.col("start_time"), F.col("end_time")
-    lower, upper = resolve_time(start, now), resolve_time(end, now)
+    lower, upper = (
+        None if moment is None else wall_clock(df, moment)
+        for moment in (resolve_time(start, now), resolve_time(end, now))
+    )
     rows = df
     if lower is not None:
         rows = rows.where(begin.isNull() | (begin >= _bound(lower, dtype)))

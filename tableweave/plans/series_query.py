@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 from ..functions.names import clean_text, match_key, match_key_column, parse_name_list, require_names
 from ..operators.series import (
-    DEFAULT_ROWS_PER_TAG,
     event_frames,
     interpolate,
     recorded,
@@ -40,14 +39,14 @@ class SeriesQuery:
     end_time: str
     interval: str
     functions: tuple[str, ...]
-    max_rows: int
+    max_rows: int | None
     template: str
 
     @classmethod
     def from_options(
         cls, source_kind: str, options: Mapping[str, object], rows: int | None = None
     ) -> "SeriesQuery":
-        """``rows`` lowers the cap per tag for a preview."""
+        """No cap per tag unless the options name one; ``rows`` lowers it for a preview."""
         if source_kind not in SERIES_KINDS:
             raise PlanError(f"not a series source: {source_kind}")
         text = lambda name, default="": clean_text(options.get(name) or default) or default
@@ -60,7 +59,7 @@ class SeriesQuery:
         wanted = options.get("summary_functions") or ()
         if isinstance(wanted, str):
             wanted = parse_name_list(wanted)
-        cap = rows_per_tag(options.get("max_rows_per_tag"), DEFAULT_ROWS_PER_TAG)
+        caps = [c for c in (rows_per_tag(options.get("max_rows_per_tag")), rows_per_tag(rows)) if c]
         query = cls(
             source_kind=source_kind,
             query_type=kind if kind in QUERY_TYPES else "recorded",
@@ -70,7 +69,7 @@ class SeriesQuery:
             end_time=text("end_time", DEFAULT_END),
             interval=text("interval", DEFAULT_INTERVAL),
             functions=summary_functions(wanted),
-            max_rows=cap if rows is None else min(cap, max(1, int(rows))),
+            max_rows=min(caps, default=None),
             template=text("ef_template"),
         )
         if source_kind == "af_attribute" and not query.element:
@@ -97,7 +96,9 @@ def series_rows(df: DataFrame, query: SeriesQuery, now: datetime | None = None)
             rows, query.start_time, query.end_time, query.interval, query.max_rows, names, now=now
         )
     else:
-        rows = recorded(rows, query.start_time, query.end_time, query.max_rows, names, now=now)
+        # A summary is one of all rows.
+        cap = None if query.query_type == "summary" else query.max_rows
+        rows = recorded(rows, query.start_time, query.end_time, cap, names, now=now)
         if query.query_type == "summary":
             # A relative start does not anchor the windows; the first value does.
             start = query.start_time if "*" not in query.start_time else None

@@ -21,18 +21,18 @@ def long(spark, data, schema=LONG):
     return spark.createDataFrame([(t, minutes(m), v) for t, m, v in data], schema)
 
 
-@pytest.mark.parametrize("strategy", ["direct", "split"])
-def test_recorded_keeps_the_first_rows_per_tag(spark, strategy):
+@pytest.mark.parametrize("cap", [1, 40, 299, 100_000])
+def test_recorded_keeps_the_first_rows_per_tag(spark, cap):
     rng = random.Random(1)
     data = [("hot" if i % 3 else rng.choice("abc"), rng.randrange(0, 3000), float(i)) for i in range(1500)]
     data += [("same", 77, float(i)) for i in range(300)]
     out = tw.recorded(
-        long(spark, data), minutes(10), minutes(2900), 40, order_by=["value"], strategy=strategy
+        long(spark, data), minutes(10), minutes(2900), cap, order_by=["value"]
     )
     want = []
     for tag in {t for t, _, _ in data}:
         inside = sorted((m, v) for t, m, v in data if t == tag and 10 <= m <= 2900)
-        want += [(tag, minutes(m), v) for m, v in inside[:40]]
+        want += [(tag, minutes(m), v) for m, v in inside[:cap]]
     assert rows(out) == sorted(want)
 
 
@@ -154,8 +154,9 @@ def test_event_frames(spark):
 def test_parameters():
     assert summary_functions(["unknown", "max"]) == ("max",)
     assert summary_functions([]) == ("average", "min", "max")
-    assert [rows_per_tag(v) for v in (None, "", "x", 0, "25", 10**9)] == [10000, 10000, 10000, 1, 25, 500000]
+    assert [rows_per_tag(v) for v in (None, "", "x", 0, "25", 10**9)] == [None, None, None, 1, 25, 10**9]
     now = at("2024-01-02 12:00")
+    assert resolve_time("2024/01/05") == at("2024-01-05") and resolve_time("1/5/2024 07:30") == at("2024-01-05 07:30")
     assert resolve_time("*", now) == now and resolve_time("*-1d", now) == at("2024-01-01 12:00")
     assert resolve_time("2024-01-01", now) == at("2024-01-01") and resolve_time("soon") is None
 
@@ -209,3 +210,51 @@ def test_attribute_rows_carry_their_element(spark):
     row = series_rows(df, query).first()
     assert (row.tag, row.attribute, row.element, row.value, row.source_type) == (
         "temp", "temp", "LINE 1", 1.0, "af_recorded")
+
+
+def test_nothing_is_capped_unless_asked(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(600_000).select(
+        F.lit("a").alias("tag"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 10)).alias("timestamp"),
+        F.col("id").cast("double").alias("value"),
+    )
+    assert tw.recorded(many).count() == 600_000
+    query = SeriesQuery.from_options("pi_da_tag", {
+        "tags_text": "a", "query_type": "summary", "start_time": "2024-01-01", "end_time": "2024-01-03",
+        "interval": "1d", "summary_functions": ["count", "max"], "max_rows_per_tag": "10",
+    })
+    assert query.max_rows == 10
+    assert {(r.summary, r.value) for r in series_rows(many, query).collect()} == {("count", 600_000.0), ("max", 599_999.0)}
+    assert tw.recorded(many, max_rows=510_000).agg(F.max("value")).first()[0] == 509_999.0
+
+
+def test_interpolation_over_many_ranges(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    data = sorted({(t, rng.randrange(-500, 14_000)) for t in "ab" for _ in range(40 if t == "a" else 4_000)})
+    rows_in = [(t, m, float(rng.randrange(100))) for t, m in data]
+    out = tw.interpolate(long(spark, rows_in), minutes(0), minutes(11_999), "1min")
+    got = {(r.tag, r.timestamp): r.value for r in out.collect()}
+    assert len(got) == 24_000
+    for tag in "ab":
+        x, y = zip(*[(m, v) for t, m, v in rows_in if t == tag])
+        for m in range(0, 12_000, 7):
+            inside = x[0] <= m <= x[-1]
+            assert got[tag, minutes(m)] == (pytest.approx(np.interp(m, x, y)) if inside else None)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York", "+05:30"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_now_in_any_zone(spark, zone, kind):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql(f"""
+            SELECT 'a' AS tag, CAST(now() - make_dt_interval(0, 0, m) AS {kind}) AS timestamp, 1.0D AS value
+            FROM VALUES (1), (50), (70), (-5) AS t(m)""")
+        assert tw.recorded(df, "*-1h", "*").count() == 2
+        assert tw.interpolate(df, "2024-01-01T00:00:00Z", "*", "30d").count() > 20
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
