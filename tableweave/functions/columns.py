@@ -217,18 +217,3 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # a Spark Connect session has no local plan
         return None
-
-
-def size_setting(df: DataFrame, key: str, default: str) -> int:
-    """A byte-size setting such as '10MB' as a number."""
-    text = df.sparkSession.conf.get(key, default).strip().lower().rstrip("b")
-    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(text[-1:], 1)
-    return int(float(text.rstrip("kmgt")) * factor)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when Catalyst itself would broadcast this side."""
-    size = estimated_bytes(df)
-    return size is not None and size <= size_setting(
-        df, "spark.sql.autoBroadcastJoinThreshold", "10MB"
-    )

@@ -2,11 +2,14 @@
 
 A key may hold a large part of a table. AQE splits such a key at run time, on both
 sides of an inner join and on the kept side of an outer or anti join, provided both
-sides come straight from a shuffle made for the join. Hence two rules here:
-
-* An outer join against a side that is neither small nor unique on the key is
-  planned as the inner join plus the unmatched rows, which come from an anti join
-  against the distinct keys.
+sides come straight from a shuffle made for the join. Hence three rules here:
+
+* An outer join is one join. The side that it does not keep, which AQE cannot split,
+  is counted by key first, combined on the map side; keys with more than ``HOT_ROWS``
+  rows are named, and only their rows are joined apart, as an inner join plus the
+  rows without a partner. Without such keys there is no second join.
+* Their number is at most the rows of the side over ``HOT_ROWS``, so they are small
+  enough to be sent to every task.
 * Joins compare by ``<=>``. Spark shuffles for it by (value or default, is null), so
   a side aggregated by the same key is shuffled once more. It is small by then, and
   sharing the aggregation's shuffle would leave a hot key of the other side whole.
@@ -22,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
-from ..functions.columns import col, family, fits_broadcast, require_columns, type_of
+from ..functions.columns import col, family, require_columns, type_of
 from .layout import JoinLayout, join_layout
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
+HOT_ROWS = 1_000_000
 
 
 def check_keys(
@@ -79,7 +83,8 @@ def equi_join(
     """Join on equal keys, null matching null.
 
     ``left_unique`` and ``right_unique`` promise that a key occurs at most once on
-    that side, which lets an outer join run as one join.
+    that side; keys of a side without the promise are counted, one job over its key
+    columns, if the join type does not let AQE split them.
     """
     if how not in JOIN_TYPES:
         raise PlanError(f"unknown join type: {how}")
@@ -91,27 +96,43 @@ def equi_join(
 
     if how == "inner":
         return plan.left.join(plan.right, on, "inner").select(*plan.select("left"))
-    if how == "right":
-        if left_unique or fits_broadcast(plan.left):
-            return plan.left.join(plan.right, on, "right").select(*plan.select("right"))
-        inner = plan.left.join(plan.right, on, "inner").select(*plan.select("right"))
-        return inner.unionByName(_right_only(plan, lk, rk))
-
-    if right_unique or fits_broadcast(plan.right):
-        kept = plan.left.join(plan.right, on, "left").select(*plan.select("left"))
-    else:
-        kept = plan.left.join(plan.right, on, "inner").select(*plan.select("left"))
-        kept = kept.unionByName(_left_only(plan, lk, rk))
-    return kept if how == "left" else kept.unionByName(_right_only(plan, lk, rk))
-
-
-def _left_only(plan: JoinLayout, lk: list[str], rk: list[str]) -> DataFrame:
-    rows = anti(plan.left, plan.right, lk, rk)
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in plan.right.schema.fields]
-    return rows.select("*", *empty).select(*plan.select("left"))
-
-
-def _right_only(plan: JoinLayout, lk: list[str], rk: list[str]) -> DataFrame:
-    rows = anti(plan.right, plan.left, rk, lk)
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in plan.left.schema.fields]
-    return rows.select("*", *empty).select(*plan.select("right"))
+    keys_from = {"left": "left", "right": "right", "outer": "both"}[how]
+    hot = []
+    if how in ("left", "outer") and not right_unique:
+        hot.append(_hot_keys(plan.right, rk))
+    if how in ("right", "outer") and not left_unique:
+        hot.append(_hot_keys(plan.left, lk))
+    hot_rows = [r for rows in hot for r in rows]
+    if not hot_rows:
+        return plan.left.join(plan.right, on, how).select(*plan.select(keys_from))
+
+    names = [f"h{i}" for i in range(len(lk))]
+    types = ", ".join(f"h{i} {type_of(plan.left, n).simpleString()}" for i, n in enumerate(lk))
+    spark = left.sparkSession
+    named = F.broadcast(spark.createDataFrame(hot_rows, types).distinct())
+
+    def parts(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        same = null_safe(keys, names)
+        return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
+
+    (cold_l, hot_l), (cold_r, hot_r) = parts(plan.left, lk), parts(plan.right, rk)
+    pieces = [
+        cold_l.join(cold_r, on, how).select(*plan.select(keys_from)),
+        hot_l.join(hot_r, on, "inner").select(*plan.select(keys_from)),
+    ]
+    if how in ("left", "outer"):
+        pieces.append(_only(plan, anti(hot_l, hot_r, lk, rk), plan.right, "left"))
+    if how in ("right", "outer"):
+        pieces.append(_only(plan, anti(hot_r, hot_l, rk, lk), plan.left, "right"))
+    return reduce(DataFrame.unionByName, pieces)
+
+
+def _hot_keys(side: DataFrame, keys: list[str]) -> list:
+    """Keys of more than ``HOT_ROWS`` rows."""
+    counts = side.groupBy(*(F.col(k) for k in keys)).count().where(F.col("count") > HOT_ROWS)
+    return [tuple(r[k] for k in keys) for r in counts.collect()]
+
+
+def _only(plan: JoinLayout, rows: DataFrame, other: DataFrame, keys: str) -> DataFrame:
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema.fields]
+    return rows.select("*", *empty).select(*plan.select(keys))

@@ -4,6 +4,7 @@ import pytest
 
 import tableweave as tw
 from tableweave.operators import asof as asof_module
+from tableweave.operators import equi as equi_module
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -48,7 +49,8 @@ def test_hot_left_key_against_an_aggregated_side(spark, small_thresholds):
     assert "skew=true" in final_plan(out)
 
 
-def test_hot_right_key_of_an_outer_join(spark, small_thresholds):
+def test_hot_right_key_of_an_outer_join(spark, small_thresholds, monkeypatch):
+    monkeypatch.setattr(equi_module, "HOT_ROWS", 5_000)
     left = spark.range(-1, 3000).selectExpr("id AS k", "id AS y")
     out = tw.equi_join(left, hot(spark, 60_000, "x"), ["k"], ["k"], "outer")
     assert "skew=true" in final_plan(out)
@@ -56,6 +58,25 @@ def test_hot_right_key_of_an_outer_join(spark, small_thresholds):
     assert out.count() == 60_000 + 1_000
 
 
+def test_a_left_join_without_hot_keys_reads_each_side_once(spark, small_thresholds, tmp_path):
+    for name in ("l", "r"):
+        hot(spark, 3_000, "x").write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("l", "r"))
+    for how in ("left", "right", "outer"):
+        out = tw.equi_join(left, right, ["k"], ["k"], how)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_hot_keys_give_the_same_rows(spark, monkeypatch, how):
+    left = spark.createDataFrame([(k % 7 if k % 9 else None, k) for k in range(200)], "k long, x long")
+    right = spark.createDataFrame([(k % 11 if k % 4 else None, -k) for k in range(150)], "k long, y long")
+    want = sorted(map(str, tw.equi_join(left, right, ["k"], ["k"], how).collect()))
+    monkeypatch.setattr(equi_module, "HOT_ROWS", 12)
+    assert sorted(map(str, tw.equi_join(left, right, ["k"], ["k"], how).collect())) == want
+
+
 def test_hot_key_of_an_anti_join(spark, small_thresholds):
     out = tw.unmatched(hot(spark, 60_000, "x"), spark.range(3000).toDF("k"), ["k"], ["k"])
     assert "skew=true" in final_plan(out)
