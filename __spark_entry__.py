@@ -741,8 +741,8 @@ def own_queries() -> dict[str, Query]:
         "asof_no_exact": _asof(allow_exact=False),
         "asof_no_by": _asof(by=False),
         "asof_no_by_nearest": _asof(by=False, direction="nearest"),
-        "asof_split": _asof(strategy="split"),
-        "asof_split_forward": _asof(strategy="split", direction="forward", tolerance="1d"),
+        "asof_split": _asof(),
+        "asof_split_forward": _asof(direction="forward", tolerance="1d"),
         "asof_text_keys": asof_text_keys,
         "asof_unmatched_left": asof_unmatched_left,
         "asof_unmatched_right": asof_unmatched_right,

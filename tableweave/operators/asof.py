@@ -1,12 +1,7 @@
 """As-of join: each left row takes the nearest right row in key order.
 
-Two plans give the same rows.
-
-*direct* puts the rows of both tables in one window per by-group. It is used only
-when the size estimate of both tables together is below ``DIRECT_BYTES``.
-
-*split* is for everything else. A by-group, or a single key within it, may hold a
-large part of a table, so no window ever sees a whole group:
+A by-group, or a single key within it, may hold a large part of a table, so no window
+ever sees a whole group:
 
 1. the right table shrinks to one row per (by, key), the left one to its distinct
    (by, key) pairs, both by aggregation with a map-side stage;
@@ -39,7 +34,6 @@ from ..functions.columns import (
     MICROS_PER_SECOND,
     col,
     common_type,
-    estimated_bytes,
     family,
     micros,
     nan_to_null,
@@ -52,10 +46,7 @@ from ..functions.columns import (
 from .layout import JoinLayout, join_layout
 
 DIRECTIONS = ("backward", "forward", "nearest")
-STRATEGIES = ("auto", "direct", "split")
-DIRECT_BYTES = 64 << 20
-RANGE_BYTES = 32 << 20
-MAX_RANGES = 20_000
+RANGE_ROWS = 200_000  # keys and right rows in one range of keys
 COERCE_SHARE = 0.8
 
 # Unit names accepted in a time span, in microseconds.
@@ -150,7 +141,6 @@ def asof_join(
     on_null: str = "error",
     conflict: str = "keep_both",
     suffixes: Sequence[str] = ("_l", "_r"),
-    strategy: str = "auto",
 ) -> DataFrame:
     """Left as-of join.
 
@@ -160,7 +150,7 @@ def asof_join(
     """
     return asof_output(asof_matches(
         left, right, left_on, right_on, left_by, right_by, direction, tolerance,
-        allow_exact, order_by, on_null, conflict, suffixes, strategy,
+        allow_exact, order_by, on_null, conflict, suffixes,
     ))
 
 
@@ -185,12 +175,9 @@ def asof_matches(
     on_null: str = "error",
     conflict: str = "keep_both",
     suffixes: Sequence[str] = ("_l", "_r"),
-    strategy: str = "auto",
 ) -> AsofMatches:
     if direction not in DIRECTIONS:
         raise PlanError(f"unknown as-of direction: {direction}")
-    if strategy not in STRATEGIES:
-        raise PlanError(f"unknown as-of strategy: {strategy}")
     if on_null not in ("error", "unmatched"):
         raise PlanError(f"unknown rule for null keys: {on_null}")
     if len(left_by) != len(right_by):
@@ -250,33 +237,25 @@ def asof_matches(
         F.struct(*parts).alias("v"),
     ).where(F.col("k").isNotNull())
 
-    if strategy == "auto":
-        sizes = [estimated_bytes(layout.left), estimated_bytes(layout.right)]
-        small = bool(bys) and None not in sizes and sum(sizes) <= DIRECT_BYTES
-        strategy = "direct" if small else "split"
-    run = _direct if strategy == "direct" else _split
-    rows = run(L, R, layout.left.columns, bys, rule)
+    rows = _matched(L, R, layout.left.columns, bys, rule)
     return AsofMatches(rows, layout, tuple(bys))
 
 
-# -------------------------------------------------------------------- both plans
+# ---------------------------------------------------------------------- the plan
 
 
-def _windowed(df: DataFrame, part: Sequence[str], rule: _Rule, ranked: bool) -> DataFrame:
+def _windowed(df: DataFrame, part: Sequence[str], rule: _Rule) -> DataFrame:
     """Add the candidate per direction. The frame always runs over preceding rows,
     which Spark extends row by row, so forward sorts the keys downwards."""
     # At equal keys right rows (s = 0) come before left rows (s = 1), or after them.
     side = F.col("s").asc() if rule.allow_exact else F.col("s").desc()
     for name in rule.sides:
-        order = [F.col("k").asc() if name == "bwd" else F.col("k").desc(), side]
-        if ranked:
-            order.append(F.col("v.o").asc() if name == "bwd" else F.col("v.o").desc())
         window = (
             Window.partitionBy(*(F.col(p) for p in part))
-            .orderBy(*order)
+            .orderBy(F.col("k").asc() if name == "bwd" else F.col("k").desc(), side)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        row = F.col("v") if ranked else F.col(f"{name}_v")
+        row = F.col(f"{name}_v")
         entry = F.when(row.isNotNull(), F.struct(F.col("k"), row.alias("v")))
         df = df.withColumn(name, F.last(entry, ignorenulls=True).over(window))
     return df.where(F.col("s") == 1)
@@ -286,17 +265,7 @@ def _null(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast(df.schema[name].dataType).alias(name)
 
 
-def _direct(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
-    keys = [F.col(n) for n in (*bys, "k")]
-    both = L.select(*lefts, *keys, F.lit(1).alias("s"), _null(R, "v")).unionAll(
-        R.select(*(_null(L, n) for n in lefts), *keys, F.lit(0).alias("s"), "v")
-    )
-    return _windowed(both, bys, rule, ranked=True).select(
-        *lefts, *bys, rule.pick().alias("hit")
-    )
-
-
-def _split(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
+def _matched(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
     cuts = _cut_points(L, R, bys)
     L0 = L.where(F.col("k").isNotNull()).select(*bys, "k")
     group = [*bys, "g"]
@@ -313,7 +282,7 @@ def _split(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
     )
     if cuts:
         both = both.unionByName(_carried(both, bys, rule))
-    matches = _windowed(both, group, rule, ranked=False).select(
+    matches = _windowed(both, group, rule).select(
         *(F.col(b).alias(f"m_{b}") for b in bys), F.col("k").alias("m_k"), rule.pick().alias("hit")
     )
     on = [F.col("k") == F.col("m_k")] + [F.col(b).eqNullSafe(F.col(f"m_{b}")) for b in bys]
@@ -322,15 +291,13 @@ def _split(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
 
 def _cut_points(L: DataFrame, R: DataFrame, bys: Sequence[str]) -> list[float]:
     """Quantiles that cut the keys of both sides into ranges of bounded size."""
-    narrow = [*bys, "k"]
-    sizes = [estimated_bytes(L.select(*narrow)), estimated_bytes(R)]
-    ranges = MAX_RANGES if None in sizes else math.ceil(sum(sizes) / RANGE_BYTES)
+    keys = L.select(F.col("k").cast("double")).unionAll(R.select(F.col("k").cast("double")))
+    # Counted, not estimated: an estimate is no bound.
+    ranges = math.ceil(keys.count() / RANGE_ROWS)
     if not bys:
         ranges = max(ranges, int(L.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = min(ranges, MAX_RANGES)
     if ranges < 2:
         return []
-    keys = L.select(F.col("k").cast("double")).unionAll(R.select(F.col("k").cast("double")))
     marks = [i / ranges for i in range(1, ranges)]
     return sorted(set(keys.approxQuantile("k", marks, 1 / (4 * ranges))))
 
@@ -360,7 +327,7 @@ def _carried(both: DataFrame, bys: Sequence[str], rule: _Rule) -> DataFrame:
         value = F.col(f"{name}_v")
         here = F.when(value.isNotNull(), F.col("k"))
         ends.append(pick(F.struct(F.col("k"), value.alias("v")), here).alias(f"{name}_end"))
-        # One row per range here, so a partition holds at most MAX_RANGES rows.
+        # One row per (by, range) here.
         window = (
             Window.partitionBy(*bys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         )

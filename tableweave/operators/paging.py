@@ -15,8 +15,8 @@ from ..functions.columns import col, require_columns
 
 DEFAULT_PAGE_SIZE = 200
 MAX_PAGE_SIZE = 1000
-# A page that ends within so many rows is found by the sort alone.
-DIRECT_ROWS = 1_000_000
+# Narrowing ends once so few rows of a part lie before the end of the page.
+KEEP_ROWS = 20 * MAX_PAGE_SIZE
 SAMPLE_ROWS = 2_000
 CUTS = 64
 
@@ -44,7 +44,7 @@ def page(
 ) -> DataFrame:
     """Page ``number`` (from 0) in the order of ``order_by``, which must be total.
 
-    The start of a page far from the first is found by counting, in jobs run when the
+    The start of a page behind the first is found by counting, in jobs run when the
     page is planned. To walk on from a page at hand, pass the order values of its last
     row as ``after``: the next page then needs no counting.
     """
@@ -74,7 +74,9 @@ def _locate(
     lie before and behind the page. A value that fills the part alone hands over to
     the next order column; a page that crosses such a value falls into two pieces.
     """
-    while names and skip + take > DIRECT_ROWS:
+    narrowed = False
+    while names and skip and not (narrowed and skip + take <= KEEP_ROWS):
+        narrowed = True
         name, dtype = names[0], df.schema[names[0]].dataType
         bounds, total = _bounds(df, name, dtype)
         below = [b for b in bounds if b.rows <= skip]
@@ -87,6 +89,8 @@ def _locate(
         inside = [b for b in bounds if skip < b.rows < skip + take]
         if inside:
             cut = inside[0].rows - skip
+            if skip + take <= KEEP_ROWS:
+                break
             return _locate(df.where(inside[0].before(name, dtype)), names, skip, cut) + _locate(
                 df.where(~inside[0].before(name, dtype)), names, 0, take - cut
             )

@@ -11,25 +11,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A row of the binary source holds a whole file, so larger files are streamed.
-WHOLE_FILE_BYTES = 64 << 20
 CHUNK_BYTES = 8 << 20
 # A table id is this prefix and the first hex digits of the hash.
 TABLE_ID_PREFIX, TABLE_ID_LENGTH = "tbl_", 10
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, length, sha256, table_id) per file; equal bytes give equal ids."""
+    """(path, length, sha256, table_id) per file; equal bytes give equal ids.
+
+    Files are streamed: a row of the binary source would hold a whole one.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
-    small = files.where(F.col("length") <= WHOLE_FILE_BYTES).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(F.col("length") > WHOLE_FILE_BYTES).select("path", "length")
-    hashed = large.mapInPandas(_stream_hashes, "path string, length bigint, sha256 string")
-    return small.unionByName(hashed).withColumn(
+    hashed = files.select("path", "length").mapInPandas(_stream_hashes, "path string, length bigint, sha256 string")
+    return hashed.withColumn(
         "table_id", F.concat(F.lit(TABLE_ID_PREFIX), F.substring("sha256", 1, TABLE_ID_LENGTH))
     )
 

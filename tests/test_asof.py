@@ -14,7 +14,7 @@ from .conftest import at, only, rows
 @pytest.fixture
 def many_ranges(monkeypatch):
     """Cut even tiny inputs into several ranges."""
-    monkeypatch.setattr(asof_module, "RANGE_BYTES", 400)
+    monkeypatch.setattr(asof_module, "RANGE_ROWS", 10)
 
 
 def rates(spark):
@@ -31,12 +31,10 @@ def rates(spark):
     return left, right
 
 
-@pytest.mark.parametrize("strategy", ["direct", "split"])
-def test_backward_with_by_key_and_tolerance(spark, many_ranges, strategy):
+def test_backward_with_by_key_and_tolerance(spark, many_ranges):
     left, right = rates(spark)
     found = tw.asof_matches(
         left, right, "ts", "rate_ts", ["customer_id"], ["customer_code"], tolerance="10min",
-        strategy=strategy,
     )
     out = tw.asof_output(found)
     assert out.columns == ["customer_id", "ts", "qty", "customer_code", "rate_ts", "price"]
@@ -77,12 +75,11 @@ def test_against_pandas(spark, many_ranges, direction, exact, tolerance):
             direction=direction, allow_exact_matches=exact, tolerance=tolerance,
         )
         want = {int(r.id): None if pd.isna(r.rid) else int(r.rid) for r in expected.itertuples()}
-        for strategy in ("direct", "split") if by else ("split",):
-            out = tw.asof_join(
-                left, right, "k", "rk", ["b"] if by else [], ["rb"] if by else [], direction,
-                tolerance, exact, ["rid"], strategy=strategy,
-            )
-            assert {r.id: r.rid for r in out.collect()} == want, (by, strategy)
+        out = tw.asof_join(
+            left, right, "k", "rk", ["b"] if by else [], ["rb"] if by else [], direction,
+            tolerance, exact, ["rid"],
+        )
+        assert {r.id: r.rid for r in out.collect()} == want, by
 
 
 def test_match_several_ranges_back(spark, many_ranges):
@@ -105,6 +102,17 @@ def test_split_plan_has_no_window_over_a_whole_side(spark, many_ranges):
     assert any("[g#" in line for line in windows)
 
 
+def test_an_exploded_hot_group_is_split(spark, monkeypatch):
+    """Rows are counted where an estimate would be far too low."""
+    monkeypatch.setattr(asof_module, "RANGE_ROWS", 2_000)
+    left = spark.range(10).selectExpr("'one' AS b", "id * 1000 AS at", "explode(sequence(1, 1000)) AS i").selectExpr("b", "at + i AS k")
+    right = spark.range(3).selectExpr("'one' AS c", "id * 4000 AS r")
+    found = tw.asof_matches(left, right, "k", "r", ["b"], ["c"])
+    plan = found.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Bucketizer" in plan or "UDF" in plan
+    assert rows(tw.asof_output(found).groupBy("r").count()) == [(0, 3999), (4000, 4000), (8000, 2001)]
+
+
 def test_tolerance_is_inclusive_and_ties_go_backward(spark):
     left = spark.createDataFrame([(10, "a")], "k long, b string")
     right = spark.createDataFrame([(7, "a"), (13, "a")], "r long, c string")
@@ -116,28 +124,25 @@ def test_tolerance_is_inclusive_and_ties_go_backward(spark):
 def test_number_keys_of_different_types(spark):
     left = spark.createDataFrame([(10, "a")], "k int, b string")
     right = spark.createDataFrame([(9.5, "a"), (float("inf"), "a")], "r double, c string")
-    for strategy in ("direct", "split"):
-        out = tw.asof_join(left, right, "k", "r", ["b"], ["c"], tolerance="1", strategy=strategy)
-        assert out.first().r == 9.5
+    out = tw.asof_join(left, right, "k", "r", ["b"], ["c"], tolerance="1")
+    assert out.first().r == 9.5
 
 
-@pytest.mark.parametrize("strategy", ["direct", "split"])
-def test_null_keys(spark, many_ranges, strategy):
+def test_null_keys(spark, many_ranges):
     left = spark.createDataFrame([(1, None, "a"), (2, 5, "a")], "id long, k long, b string")
     right = spark.createDataFrame([(None, "a"), (3, "a")], "r long, c string")
     with pytest.raises(Exception, match="null as-of key"):
-        tw.asof_join(left, right, "k", "r", ["b"], ["c"], strategy=strategy).collect()
+        tw.asof_join(left, right, "k", "r", ["b"], ["c"]).collect()
     out = tw.asof_join(
-        left, right, "k", "r", ["b"], ["c"], on_null="unmatched", strategy=strategy
+        left, right, "k", "r", ["b"], ["c"], on_null="unmatched"
     )
     assert {r.id: r.r for r in out.collect()} == {1: None, 2: 3}
 
 
-@pytest.mark.parametrize("strategy", ["direct", "split"])
-def test_rows_with_arrays_and_maps_travel_along(spark, strategy):
+def test_rows_with_arrays_and_maps_travel_along(spark):
     left = spark.createDataFrame([(5, "a", {"x": 1})], "k long, b string, m map<string,int>")
     right = spark.createDataFrame([(4, "a", [1, 2], {"y": 2})], "r long, c string, l array<int>, n map<string,int>")
-    row = tw.asof_join(left, right, "k", "r", ["b"], ["c"], strategy=strategy).first()
+    row = tw.asof_join(left, right, "k", "r", ["b"], ["c"]).first()
     assert (row.m, row.l, row.n) == ({"x": 1}, [1, 2], {"y": 2})
 
 

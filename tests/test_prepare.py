@@ -103,7 +103,7 @@ def test_pages_behind_a_row_with_nulls(spark):
 
 def test_pages_far_from_the_first(spark, monkeypatch):
     """Hot values, nulls and pages across their edges; tiny limits force the counting."""
-    monkeypatch.setattr(paging, "DIRECT_ROWS", 30)
+    monkeypatch.setattr(paging, "KEEP_ROWS", 30)
     monkeypatch.setattr(paging, "CUTS", 4)
     rng = random.Random(2)
     day = lambda: rng.choice([None, "2024-01-05", "2024-01-05", f"2024-02-{rng.randrange(10, 28)}"])

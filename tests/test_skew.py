@@ -83,10 +83,10 @@ def test_hot_key_of_an_anti_join(spark, small_thresholds):
 
 
 def test_hot_key_of_an_asof_join(spark, small_thresholds, monkeypatch):
-    monkeypatch.setattr(asof_module, "RANGE_BYTES", 50_000)
+    monkeypatch.setattr(asof_module, "RANGE_ROWS", 5_000)
     left = hot(spark, 60_000, "x").selectExpr("'one' AS b", "k", "x", "x_text")
     right = spark.range(0, 60_000, 50).selectExpr("'one' AS c", "id - 2 AS r")
-    out = tw.asof_join(left, right, "k", "r", ["b"], ["c"], strategy="split")
+    out = tw.asof_join(left, right, "k", "r", ["b"], ["c"])
     assert "skew=true" in final_plan(out)
     assert out.where("k = -1 AND r = -2").count() == 20_000
 

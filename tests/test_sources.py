@@ -250,7 +250,7 @@ def test_read_options():
 
 
 def test_manifest(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(manifest_module, "WHOLE_FILE_BYTES", 10)
+    monkeypatch.setattr(manifest_module, "CHUNK_BYTES", 1000)
     data = {"a.csv": b"small", "b.csv": b"small", "big one.csv": b"x" * 5000}
     for name, content in data.items():
         (tmp_path / name).write_bytes(content)
