@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.columns import col
 from .asof import AsofMatches
@@ -22,6 +24,7 @@ MANY_TO_MANY = "many_to_many"
 ROW_GROWTH = "row_growth"
 UNION_ALWAYS_MATCHES = "union_always_matches"
 
+# Names and types of the report's fields.
 REPORT_SCHEMA = T.StructType([
     T.StructField("step_id", T.StringType()),
     T.StructField("join_type", T.StringType()),
@@ -135,11 +138,19 @@ def asof_unmatched_left(found: AsofMatches) -> DataFrame:
 
 
 def asof_unmatched_right(found: AsofMatches) -> DataFrame:
-    """Right rows never used. Equal rows count one by one, as in EXCEPT ALL."""
-    used = (
-        found.rows.where(F.col("hit").isNotNull()).select(*found.right_row()).distinct()
-    )
-    return found.layout.right.exceptAll(used).toDF(*found.layout.right_names)
+    """Right rows never used. Equal rows count one by one, as in EXCEPT ALL.
+
+    Rows are told apart by the columns that have an order; maps travel along.
+    """
+    names = found.rows.schema["hit"].dataType["v"].dataType["o"].dataType.fieldNames()
+    used = found.rows.where(F.col("hit").isNotNull()).select(
+        *(F.col(f"hit.v.o.{n}").alias(f"u_{n}") for n in names)
+    ).distinct()
+    copies = Window.partitionBy(*names).orderBy(F.lit(0))
+    rows = found.layout.right.withColumn("__copy", F.row_number().over(copies))
+    same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"u_{n}")) for n in names))
+    unused = rows.join(used, same & (F.col("__copy") == 1), "left_anti")
+    return unused.drop("__copy").toDF(*found.layout.right_names)
 
 
 def union_report(

@@ -37,6 +37,10 @@ class WorkbookOptions:
     header_row: int = 1
 
 
+# Field names and defaults of the next four classes are those of the
+# JSON recipe format.
+
+
 @dataclass(frozen=True)
 class TableSpec:
     table_id: str

@@ -27,6 +27,7 @@ NULL_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 SNIFF_LINES = 10
+MOST_HEADERS = 64
 
 # Java names of encodings; the last two need spark.sql.legacy.javaCharsets.
 JAVA_CHARSETS = {
@@ -169,6 +170,8 @@ def read_csv(
     """
     if options.header_row < 1:
         raise PlanError("the header row counts from 1")
+    if multiline and options.header_row > 1:
+        raise PlanError("multiline fields need the header on row 1")
     if "auto" not in (options.encoding, options.delimiter, options.quotechar):
         df = _scan(spark, [path], options, multiline)
     else:
@@ -232,21 +235,34 @@ def _scan(
 
 
 def _header(spark: SparkSession, paths: list[str], options: CsvOptions) -> list[str]:
-    """Names on the header row of the first file, made unique as a.1, a.2, …"""
-    first = sorted(unquote(f) for f in spark.read.text(paths).inputFiles())[:1]
-    if not first:
-        raise PlanError(f"no files under {', '.join(paths)}")
-    lines = _lines(spark, first[0]).where(F.col("block") == 0).limit(options.header_row).collect()
-    if len(lines) < options.header_row:
-        raise PlanError(f"{first[0]} has no row {options.header_row}")
-    text = bytes(lines[-1].line).decode(options.encoding, "replace").lstrip("﻿")
+    """Names on the header row, the same in all files, made unique as a.1, a.2, …
+
+    One job over the heads of the files; only the distinct header lines are collected,
+    and no more of them than it takes to see that files differ.
+    """
+    marked = F.substring("line", 1, 3) == F.lit(codecs.BOM_UTF8)
+    line = F.when(marked, F.expr("substring(line, 4)")).otherwise(F.col("line"))
+    lines = _lines(spark, paths)
+    heads = _head(lines, options.header_row).where(F.col("n") == options.header_row)
+    found = heads.select(line.alias("line")).distinct().limit(MOST_HEADERS).collect()
+    files, with_header = lines.select("path").distinct().count(), heads.count()
+    if not files:
+        raise PlanError(f"no lines in {', '.join(paths)}")
+    if with_header < files:
+        raise PlanError(f"{files - with_header} of {files} files have no row {options.header_row}")
     form = (
         {"quoting": csv.QUOTE_NONE}
         if options.quotechar == "none"
         else {"quotechar": options.quotechar}
     )
-    raw = next(csv.reader([text], delimiter=options.delimiter, **form))
-    return header_names(raw)
+    names = set()
+    for row in found:
+        text = bytes(row.line).decode(options.encoding, "replace")
+        names.add(tuple(header_names(next(csv.reader([text], delimiter=options.delimiter, **form)))))
+    if len(names) > 1:
+        shown = " / ".join(",".join(n) for n in sorted(names)[:2])
+        raise PlanError(f"files have different headers: {shown}")
+    return list(names.pop())
 
 
 def _rows_below(spark: SparkSession, paths: list[str], options: CsvOptions) -> DataFrame:

@@ -20,6 +20,7 @@ _URLS = {
     "oracle": "jdbc:oracle:thin:@//{host}:{port}/{database}",
     "postgresql": "jdbc:postgresql://{host}:{port}/{database}",
 }
+# What each system's SQL asks for.
 _QUOTES = {"sqlserver": "[]", "mysql": "``"}
 _LIMITS = {
     "sqlserver": "SELECT TOP ({n}) * FROM ({query}) AS src",

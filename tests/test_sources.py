@@ -268,3 +268,15 @@ def test_log(spark, tmp_path):
     for i in range(2):
         append_log(spark.range(1).selectExpr(f"{i} AS run"), path)
     assert sorted(r.run for r in spark.read.json(path).collect()) == [0, 1]
+
+
+def test_csv_headers_must_agree(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n3,4\n")
+    plain = CsvOptions("utf-8", ",", '"')
+    with pytest.raises(PlanError, match="different headers"):
+        read_csv(spark, str(tmp_path), plain)
+    (tmp_path / "b.csv").write_bytes(b'\xef\xbb\xbf"a",b\n3,4\n')
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path), plain).collect()) == [(1, 2), (3, 4)]
+    with pytest.raises(PlanError, match="row 1"):
+        read_csv(spark, str(tmp_path), CsvOptions("utf-8", ",", '"', 2), multiline=True)
