@@ -10,7 +10,6 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..errors import PlanError
 from ..functions.columns import require_columns
@@ -149,15 +148,13 @@ def run_step(
 def run_plan(
     tables: Mapping[str, DataFrame] | Callable[[str], DataFrame],
     plan: PlanSpec,
-    persist: bool = False,
     checkpoint: bool = False,
 ) -> PlanResult:
     """Apply the steps in order, lazily.
 
-    ``persist`` keeps a table used more than once, and the result of each step that
-    the next one reads, on the executors' disks. ``checkpoint`` writes those results
-    to the shared checkpoint folder instead, at once: for long plans, whose steps and
-    reports would otherwise start from the sources again when an executor is lost.
+    ``checkpoint`` writes a table used more than once, and the result of each step that
+    the next one reads, to the shared checkpoint folder, at once: for long plans, whose
+    steps and reports would otherwise start from the sources again each time.
     """
     plan.check()
     load = tables if callable(tables) else tables.__getitem__
@@ -169,19 +166,16 @@ def run_plan(
                 df = load(table_id)
             except KeyError as exc:
                 raise PlanError(f"no table {table_id}") from exc
-            again = persist and ids.count(table_id) > 1
-            loaded[table_id] = df.persist(StorageLevel.DISK_ONLY) if again else df
+            again = checkpoint and ids.count(table_id) > 1
+            loaded[table_id] = checkpointed(df) if again else df
     current, steps = loaded[plan.base_table_id], []
     for number, step in enumerate(plan.steps, start=1):
         result = run_step(
             current, loaded[step.right_table_id], step, plan.row_explosion_warn_ratio
         )
         current = result.output
-        if number < len(plan.steps):
-            if checkpoint:
-                current = result.output = checkpointed(current)
-            elif persist:
-                current = result.output = current.persist(StorageLevel.DISK_ONLY)
+        if checkpoint and number < len(plan.steps):
+            current = result.output = checkpointed(current)
         steps.append(result)
     return PlanResult(current, steps)
 
@@ -189,8 +183,26 @@ def run_plan(
 def preview_plan(
     tables: Mapping[str, DataFrame], plan: PlanSpec, rows: int = PREVIEW_ROWS
 ) -> PlanResult:
-    """The plan on the first rows of each table."""
-    return run_plan({k: df.limit(rows) for k, df in tables.items()}, plan)
+    """The plan on ``rows`` rows of each table, and on as many of each step's result.
+
+    The rows are fetched once, so that results, reports and extracts agree.
+    """
+    plan.check()
+    wanted = dict.fromkeys(plan.table_ids())
+    missing = [k for k in wanted if k not in tables]
+    if missing:
+        raise PlanError(f"no table {missing[0]}")
+    some = {k: _fetched(tables[k], rows) for k in wanted}
+    current, steps = some[plan.base_table_id], []
+    for step in plan.steps:
+        result = run_step(current, some[step.right_table_id], step, plan.row_explosion_warn_ratio)
+        current = _fetched(result.output, rows)
+        steps.append(result)
+    return PlanResult(current, steps)
+
+
+def _fetched(df: DataFrame, rows: int) -> DataFrame:
+    return df.sparkSession.createDataFrame(df.limit(rows).collect(), df.schema)
 
 
 def load_table(
@@ -233,7 +245,6 @@ def run_recipe(
     locations: Mapping[str, str | DataFrame],
     rows: int | None = None,
     now: datetime | None = None,
-    persist: bool = False,
     checkpoint: bool = False,
 ) -> PlanResult:
     """Run a recipe; ``locations`` says where each table id is found, ``rows`` reads
@@ -246,7 +257,7 @@ def run_recipe(
     def load(table_id: str) -> DataFrame:
         return load_table(spark, recipe.table(table_id), locations.get(table_id), rows, now)
 
-    return run_plan(load, recipe.join_plan, persist, checkpoint)
+    return run_plan(load, recipe.join_plan, checkpoint)
 
 
 def write_result(result: DataFrame, recipe: Recipe, path: str, mode: str = "errorifexists") -> None:
@@ -267,8 +278,8 @@ def log_entry(
 ) -> DataFrame:
     """One log row of a run: inputs, step reports, final shape and status.
 
-    Rows are counted in the jobs that write the entry; nothing but counts is
-    collected.
+    Input rows are counted; output rows are those of the last step's report. Nothing
+    but counts is collected.
     """
     files = []
     for table in recipe.tables:
@@ -282,10 +293,14 @@ def log_entry(
             F.lit(None if df is None else df.count()).cast("long").alias("rows"),
             F.lit(None if df is None else len(df.columns)).cast("long").alias("cols"),
         ))
-    reports = [] if result is None or not result.steps else [
-        json.dumps(r.asDict(recursive=True), ensure_ascii=False) for r in result.reports().collect()
+    found = [] if result is None or not result.steps else [
+        s.report.first().asDict(recursive=True) for s in result.steps
     ]
-    shape = [0, 0] if result is None else [result.output.count(), len(result.output.columns)]
+    reports = [json.dumps(r, ensure_ascii=False) for r in found]
+    if result is None:
+        shape = [0, 0]
+    else:
+        shape = [found[-1]["output_rows"] if found else result.output.count(), len(result.output.columns)]
     return spark.range(1).select(
         F.lit(datetime.now(timezone.utc).isoformat()).alias("executed_at"),
         F.lit(recipe.version).alias("recipe_version"),

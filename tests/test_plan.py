@@ -55,14 +55,15 @@ def test_recipe_over_files(spark, tmp_path):
     assert [(r.operation, r.output_rows) for r in reports] == [("join", 3), ("union", 4)]
 
 
-def test_preview_and_persist(spark, tmp_path):
+def test_preview(spark, tmp_path):
     locations = folder(tmp_path)
     assert tw.run_recipe(spark, json.dumps(recipe()), locations, rows=1).output.count() == 2
-    kept = tw.run_recipe(spark, json.dumps(recipe()), locations, persist=True)
-    assert kept.output.count() == 4
     tables = {"orders": spark.range(500).toDF("k"), "r": spark.range(500).toDF("k")}
     plan = tw.PlanSpec("orders", steps=(tw.StepSpec("s", "r", left_keys=("k",), right_keys=("k",)),))
     assert tw.preview_plan(tables, plan).output.count() == 200
+    many = {"orders": spark.range(500).selectExpr("1 AS k", "id"), "r": spark.range(500).selectExpr("1 AS k", "id AS j")}
+    shown = tw.preview_plan(many, plan, 20)
+    assert shown.output.count() == 20 and shown.reports().first().output_rows == 400
 
 
 def test_checkpoint_between_steps(spark, tmp_path):
