@@ -11,8 +11,8 @@ lookup searches by halves first the index files, then the directory of one file,
 lines of one block, and reads one range of one archive.
 
 Payload digests come from Spark's functions; equal payloads are found by an aggregation
-of digests, which combines before its shuffle. The pages themselves are shuffled once, by
-id, so neither a common payload nor a common host gathers in a task.
+of digests, which combines before its shuffle. The pages themselves are shuffled at most
+once, by id, so neither a common payload nor a common host gathers in a task.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def write(
         F.col("first").cast("string").alias("refers"), url_key(F.col("url")).alias("key"),
     )
     written = stored(
-        rows.repartition(tasks, "number", "sha").mapInArrow(_writer(folder), "number string, key string, file string, at long, length long")
+        rows.mapInArrow(_writer(folder), "number string, key string, file string, at long, length long")
     )
     order = _order_column(F.when(F.col("number") != "null", F.col("number")).cast("long"))
     indexed = stored(
