@@ -13,12 +13,16 @@ Steps, each a Spark job over all rows:
    stands for it. The same pass counts hashed shingles in a table of fixed size.
 2. A second pass orders each class's set by those counts and keeps its prefix. Only
    prefix shingles that at least two classes share go on.
-3. In each shingle's list three fixed random orders name a pivot each, and all members
-   are compared with the pivots: linear in the list. The links found give first
-   components; most of a large group of near copies falls into one.
+3. In each shingle's list up to three members are pivots, the ones with the fewest prefix
+   shingles of their own first, and all members are compared with them: linear in the
+   list. The links found give first components; most of a large group of near copies
+   falls into one, because its original is such a pivot.
 4. What may still link different components is found exactly: a list whose members lie
    in one component is dropped, in the others the members outside the list's largest
-   component meet all members of other components.
+   component meet all members of other components. Members meet only if, by the number
+   of prefix shingles that no other set has, either may be similar to a set of the
+   other's size, and only in the prefix that sets of these two sizes need: a copy too
+   far from its original does not meet all other copies.
 5. All verified links give the components.
 
 No list is gathered in one task, no pair inside a known component is emitted, and the
@@ -28,6 +32,7 @@ time, except for the counts table (``COUNTERS`` integers).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +48,10 @@ from .shared import stored
 #: estimate, so collisions cost time, never results.
 COUNTERS = 1 << 18
 _PART = 1 << 13
-_VERIFY = 8.0  # cost of reading one more pair's sets, in list entries
+_VERIFY = 1.0  # cost of a candidate that an entry may become, in list entries
+#: Bits of the filter that tells which documents' sets are read for verification; a table
+#: of fixed size. False hits cost time only.
+FILTER_BITS = 1 << 24
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,21 +156,82 @@ def prefix_of(s: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray
 
     ℓ is at most a twentieth of the set, and the prefix is kept to three fiftieths more
     than its shortest: a similar set is at most 100/85 times as large, so that its ℓ is
-    within what this one keeps.
+    within what this one keeps. Costs are those of the prefix for sets of the same size.
     """
     n = len(s)
     need = max(1, _ceil_div(percent * n, 100))
     base = n - need + 1
     most = max(1, min(n // 20, need))
-    keep = min(n, base + _ceil_div(5 * n, percent - percent % 5 or 5) + 1)
+    keep = kept_length(n, percent)
     order = np.lexsort((s, seen))[:keep]
     reads = np.cumsum(np.maximum(seen[order], 1))
+    equal = n - _ceil_div(2 * percent * n, 100 + percent) + 1
     ell = np.unique(np.clip(np.rint(most * np.array([0.0, 0.1, 0.25, 0.5, 0.75, 1.0])), 1, most).astype(np.int64))
-    entries = reads[np.minimum(base + ell - 1, keep) - 1]
+    entries = reads[np.minimum(equal + ell - 1, keep) - 1]
     cost = entries * (1 + _VERIFY / ell)
     return s[order], base, int(ell[np.argmin(cost)])
 
 
+def kept_length(n: int, percent: int) -> int:
+    """How many shingles the prefix of a set of n keeps."""
+    base = n - max(1, _ceil_div(percent * n, 100)) + 1
+    return min(n, base + _ceil_div(5 * n, percent - percent % 5 or 5) + 1)
+
+
+def size_class(n: int) -> int:
+    """Sets of up to 200 shingles by size, larger ones by half a percent."""
+    return n if n <= 200 else 200 + int(math.log(n / 200) / math.log(1.005))
+
+
+def _class_sizes(k: int) -> tuple[int, int]:
+    """Bounds of the sizes of a class."""
+    if k < 200:
+        return k, k
+    return math.floor(200 * 1.005 ** (k - 200)), math.ceil(200 * 1.005 ** (k - 199)) + 1
+
+
+def partner_classes(n: int, shared: np.ndarray, percent: int) -> tuple[int, int] | None:
+    """First and last size class that may hold a set similar to a set of n; None if none may.
+
+    ``shared`` has the positions of its prefix shingles that other prefixes hold too. A
+    shingle at another position i of the prefix is in a set y at most behind y's prefix,
+    which then has ``kept - i`` shingles that this set lacks. With the overlap c that
+    similarity needs, this cannot be for i < c - |y| + kept: so many of the first
+    positions are the set's own, and what is left must reach c.
+    """
+    found = []
+    for k in range(size_class(_ceil_div(percent * n, 100)), size_class(100 * n // percent) + 1):
+        lo, hi = _class_sizes(k)
+        lo, hi = max(lo, _ceil_div(percent * n, 100)), min(hi, 100 * n // percent)
+        if lo > hi:
+            continue
+        overlap = _ceil_div(percent * (n + lo), 100 + percent)
+        sure = min(
+            _ceil_div(percent * (n + y), 100 + percent) - y + kept_length(y, percent) - 2 for y in (lo, hi)
+        )
+        sure = max(0, min(sure, kept_length(n, percent)))
+        if n - (sure - int(np.searchsorted(shared, sure))) >= overlap:
+            found.append(k)
+    return (found[0], found[-1]) if found else None
+
+
+def _partners(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).to_pylist()
+            first, last = [], []
+            for n, shared in zip(sizes, batch.column(2)):
+                bounds = partner_classes(n, np.sort(shared.values.to_numpy()), percent)
+                first.append(bounds and bounds[0])
+                last.append(bounds and bounds[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([size_class(n) for n in sizes], pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
+                ["id", "k", "k_first", "k_last"],
+            )
+
+    return run
+
+
 def _prefixes(n: int, percent: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
@@ -187,9 +256,51 @@ def _prefixes(n: int, percent: int, table):
     return run
 
 
-def _packed(n: int):
+def _filter_bits(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's bytes that a task's pairs mark, by part."""
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        for column in batch.columns:
+            bits[_filter_bits(column.to_numpy())] = True
+    marked = np.packbits(bits).reshape(-1, _PART)
+    parts = np.flatnonzero(marked.any(1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(parts, pa.int32()), pa.array([marked[p].tobytes() for p in parts], pa.binary())], ["part", "bytes"]
+    )
+
+
+def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.frombuffer(raw, np.uint8)
+            total[part] = total[part] | found if part in total else found
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "bytes"]
+    )
+
+
+def _id_filter(pairs: DataFrame) -> np.ndarray:
+    """Bits of the documents that pairs name: ``FILTER_BITS`` bits, whatever the input."""
+    parts = pairs.select("a", "b").mapInArrow(_marks, "part int, bytes binary").repartition(8, "part")
+    marked = np.zeros((FILTER_BITS // 8 // _PART, _PART), np.uint8)
+    for row in parts.mapInArrow(_joined_marks, "part int, bytes binary").collect():
+        marked[row["part"]] |= np.frombuffer(row["bytes"], np.uint8)
+    return marked.reshape(-1)
+
+
+def _packed(n: int, marked):
+    """Whole sets of the documents that the filter names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = _filter_bits(batch.column(0).cast(pa.int64()).to_numpy())
+            hit = (marked.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(hit.astype(bool)))
             packed = [s.tobytes() for _, s in _sets(batch, n)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], ["id", "set"]
@@ -216,8 +327,8 @@ def _similar(percent: int):
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar, written to the shared folder."""
-    named = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    sets = docs.join(named, "id", "left_semi").mapInArrow(_packed(n), "id long, set binary")
+    marked = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
+    sets = stored(docs.where("id is not null").mapInArrow(_packed(n, marked), "id long, set binary"))
     full = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
@@ -230,6 +341,13 @@ def _sizes_fit(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _classes_fit(x: str, y: str):
+    """Each of two members may have partners in the other's size class."""
+    return F.col(f"{y}.k").between(F.col(f"{x}.k_first"), F.col(f"{x}.k_last")) & F.col(f"{x}.k").between(
+        F.col(f"{y}.k_first"), F.col(f"{y}.k_last")
+    )
+
+
 def similar_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -259,20 +377,31 @@ def similar_documents(
         ordered.join(classes, ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["s1", "s2", "n", "id"])
         .select("id", "n", "base", "ell", "tokens")
     )
-    lists = prefixes.select("id", "n", "ell", "base", F.posexplode("tokens").alias("pos", "token"))
-    lists = lists.select("token", "id", "n", "ell", F.greatest(F.lit(1), F.expr("pos - base + 2")).alias("level"))
+    lists = prefixes.select("id", "n", "ell", F.posexplode("tokens").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     live = stored(lists.join(shared, "token"))
 
-    # Pivots: the least member of each list in three fixed random orders.
-    me = F.struct("id", "n", "ell")
-    orders = [F.min(F.struct(F.xxhash64("id", F.lit(k)), me.alias("m"))).getField("m") for k in range(3)]
+    # Sets whose own shingles leave too little to share have no partners.
+    partners = (
+        live.groupBy("id", "n").agg(F.collect_list("pos").alias("shared")).select("id", "n", "shared")
+        .mapInArrow(_partners(percent), "id long, k int, k_first int, k_last int").where("k_first is not null")
+    )
+    # Pivots: the members with the least share of shingles of their own (an original has
+    # none that its copies lack), ties in two random orders, and the least in a third.
+    own = prefixes.select("id", F.size("tokens").alias("kept")).join(
+        live.groupBy("id").agg(F.count("*").alias("shared")), "id"
+    ).select("id", (F.col("kept") - F.col("shared")).alias("own"))
+    live = stored(live.join(own.join(partners, "id"), "id"))
+    me = F.struct("id", "n", "ell", "k", "k_first", "k_last").alias("m")
+    orders = [F.min(F.struct("own", F.xxhash64("id", F.lit(k)).alias("h"), me)).getField("m") for k in range(2)]
+    orders.append(F.min(F.struct(F.xxhash64("id", F.lit(2)).alias("h"), me)).getField("m"))
     pivots = live.groupBy("token").agg(F.array_distinct(F.array(*orders)).alias("pivots"))
     pivots = pivots.select("token", F.explode("pivots").alias("p"))
+    members = live.select("token", "id", "n", "ell", "k", "k_first", "k_last").alias("m")
     stars = (
-        live.join(pivots.select("token", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.ell").alias("pell")), "token")
-        .where((F.col("id") != F.col("pid")) & _sizes_fit(percent, "n", "pn"))
-        .groupBy(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"), F.greatest("ell", "pell").alias("ell"))
+        members.join(pivots.alias("v"), "token")
+        .where((F.col("id") != F.col("p.id")) & _sizes_fit(percent, "n", "p.n") & _classes_fit("m", "p"))
+        .groupBy(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.greatest("ell", "p.ell").alias("ell"))
         .agg(F.countDistinct("token").alias("common"))
         .where("common >= ell")
         .select("a", "b")
@@ -289,18 +418,28 @@ def similar_documents(
         .where("parts > 1").select("token", F.col("top.component").alias("top"))
     )
     live = stored(live.join(mixed_lists, "token"))
-    x = live.where("component <> top").alias("x")
-    y = live.alias("y")
+    # A member meets the size classes of its list that may hold partners of it: both
+    # sides are filtered before they meet.
+    present = live.groupBy("token", "k").agg(F.count("*").alias("there")).select("token", F.col("k").alias("other"))
+    facing = live.join(present, "token").where("other between k_first and k_last")
+    # For one size class the prefix is shorter: what similarity needs at its least size.
+    least = F.when(F.col("other") < 200, F.col("other")).otherwise(F.floor(200 * F.pow(F.lit(1.005), F.col("other") - 200)))
+    room = F.col("n") - F.ceil(percent * (F.col("n") + least) / (100 + percent))
+    facing = facing.withColumn("room", room.cast("long")).where(F.col("pos") <= F.col("room") + F.ceil(F.col("n") / 16))
+    x = facing.where("component <> top").alias("x")
+    y = facing.alias("y")
     ell = F.greatest("x.ell", "y.ell")
     crossing = (
         x.join(
             y,
             (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.other") == F.col("y.k"))
+            & (F.col("y.other") == F.col("x.k"))
             & (F.col("x.component") != F.col("y.component"))
             & ((F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
             & _sizes_fit(percent, "x.n", "y.n")
-            & (F.col("x.level") <= ell)
-            & (F.col("y.level") <= ell),
+            & (F.col("x.pos") < F.col("x.room") + ell)
+            & (F.col("y.pos") < F.col("y.room") + ell),
         )
         .groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), ell.alias("ell"))
         .agg(F.count("*").alias("common"))
