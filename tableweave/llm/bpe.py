@@ -31,6 +31,7 @@ _LEAD[0xC2:0xF5] = True
 _OPENS = _GRAPHIC | (_LEAD & ~_DOUBTFUL)
 
 _MOST_SEGMENTS = 600_000  # kept per worker; the store starts anew beyond
+_AT_ONCE = 4_096
 
 
 def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,7 +88,11 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [
+            e.ids
+            for lo in range(0, len(texts), _AT_ONCE)  # the library's results are large until their ids are taken
+            for e in self.library.encode_batch_fast(texts[lo : lo + _AT_ONCE], add_special_tokens=False)
+        ]
         count = np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter((i for ids in found for i in ids), np.int32, int(count.sum()))
         where = len(self.count) + np.arange(len(found))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mixed, slices, text_bytes
+from .arrays import SLICE_BYTES, mixed, slices, text_bytes
 from .bpe import encoder
 from .files import Ranges, Writer
 from .shared import shared_folder, stored
@@ -134,7 +134,7 @@ def _writer(path: str, folder: str, width: int, end_id: int):
             if ids_file is None:
                 ids_file, ends_file = Writer(folder, f"shard-{part:06d}", "ids"), Writer(folder, f"shard-{part:06d}", "ends")
             data, offsets = text_bytes(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE_BYTES // 2):
                 ids, counts = encoder(path).encoded(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ends = np.cumsum(counts)
                 ids_file.write(np.insert(ids, ends, end_id).astype(kind).tobytes())
