@@ -48,7 +48,7 @@ from .shared import stored
 #: estimate, so collisions cost time, never results.
 COUNTERS = 1 << 18
 _PART = 1 << 13
-_VERIFY = 1.0  # cost of a candidate that an entry may become, in list entries
+_VERIFY = 0.25  # cost of what an entry may become, in entries: few become candidates
 #: Bits of the filter that tells which documents' sets are read for verification; a table
 #: of fixed size. False hits cost time only.
 FILTER_BITS = 1 << 24
