@@ -1,21 +1,24 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal them.
 
-Base spans of four kinds come from patterns. Around each of them lies a window of
-``WINDOW`` characters on both sides; the terms in it (words of four letters or more) are
-weighed by how much they disclose about the entity, the value found:
+Base spans of four kinds come from patterns. The terms (words of four letters or more)
+of every text that holds an entity, the value found, are weighed by how much they disclose
+about it, wherever in the text they stand:
 
     PMI(t; e) = log2(N n(t, e) / (n(t) n(e)))        IC(e) = log2(N / n(e))
 
-with document counts over the whole corpus. PMI / IC is 1 if the term always comes with
+with counts of rows over the whole corpus. PMI / IC is 1 if the term always comes with
 the entity. At ``generalise`` or more the term becomes ``[TERM]``, at ``remove`` or more
-it goes, in the windows of that entity only, so that documents without personal data are
-left alone. Copies of one passage are one piece of evidence: a term counts only if it is
-seen with the entity in ``support`` different windows.
+it goes, at every place in the texts that hold that entity, and only there, so that
+documents without personal data are left alone. Copies of one passage are one piece of
+evidence: texts whose matches of the entity have the same ``WINDOW`` characters on both
+sides count once towards ``support``.
 
 DataFrame functions only. Positions come from splitting a text at the matches and summing
-lengths per document and kind; nothing grows with the square of the matches. Only matches
-and their windows are shuffled, keyed by id and text hash; counts are combined before
-their shuffle, so that an entity that a third of all documents name is no hot group.
+lengths per document and kind; nothing grows with the square of the matches. A term meets
+an entity only if its count allows the share at all: n(t) of at most N (n(e) / N) **
+``generalise``. Matches, those pairs and the texts that hold an entity are shuffled, keyed
+by id and text hash; counts are combined before their shuffle, so that an entity that a
+third of all documents name is no hot group.
 """
 
 from __future__ import annotations
@@ -79,8 +82,6 @@ def _with_window(kind: str):
             F.length(z["before"]).alias("gap"),
             F.substring(z["before"], -WINDOW, WINDOW).alias("before"),
             F.substring(z["after"], 1, WINDOW).alias("after"),
-            (F.length(z["before"]) > WINDOW).alias("cut_before"),
-            (F.length(z["after"]) > WINDOW).alias("cut_after"),
         )
 
     return one
@@ -103,58 +104,82 @@ def _matches(docs: DataFrame) -> DataFrame:
         zipped = F.arrays_zip(hits.alias("hit"), parts.alias("before"), F.slice(parts, 2, F.size(hits) + 1).alias("after"))
         every.append(F.coalesce(F.transform(zipped, _with_window(kind)), F.array()))
     rows = found.select(*_KEY, F.explode(F.concat(*every)).alias("m")).select(*_KEY, "m.*").where("hit is not null")
-    # Repeated rows have equal matches.
-    rows = stored(rows.dropDuplicates([*_KEY, "kind", "pos"]))
+    # Repeated rows have equal matches; ``copies`` counts them.
+    rest = [F.first(c).alias(c) for c in rows.columns if c not in (*_KEY, "kind", "pos")]
+    rows = stored(rows.groupBy(*_KEY, "kind", "pos").agg(*rest, F.count("*").alias("copies")))
     upto = Window.partitionBy(*_KEY, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(upto))
     return rows.withColumn("start", F.col("end") - F.length("hit")).where(_holds(F.col("kind"), F.col("hit")))
 
 
-def _terms(matches: DataFrame) -> DataFrame:
-    """One row per term in a window: key, entity, term, start and end, window hash."""
-    before = F.when(F.col("cut_before"), F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
-    after = F.when(F.col("cut_after"), F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
+def _with_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides' columns where id and hash agree, null ids included."""
+    right = right.withColumnsRenamed({c: f"_{c}" for c in _KEY})
+    return left.join(right, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).drop("_id", "_h")
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_TERM_WORD), F.lit(0))), F.lower))
+
+
+def _telling(docs: DataFrame, matches: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(id, h, term, removed): terms above the thresholds for an entity that the text holds."""
+    total = docs.count()
     value = F.when(F.col("kind") == "email", F.lower("hit")).when(F.col("kind") == "ip", F.col("hit")).otherwise(_digits(F.col("hit")))
-    sides = matches.select(
-        *_KEY,
-        F.concat_ws(":", "kind", value).alias("entity"),
-        F.xxhash64("before", "hit", "after").alias("window"),
-        F.explode(
-            F.array(
-                F.struct((F.col("start") - F.length(before)).alias("at"), before.alias("side")),
-                F.struct(F.col("end").alias("at"), after.alias("side")),
-            )
-        ).alias("s"),
-    ).select("*", F.regexp_extract_all("s.side", F.lit(_TERM_WORD), F.lit(0)).alias("words"), F.split("s.side", _TERM_WORD, -1).alias("gaps"))
-    # A window has at most WINDOW characters, which bounds the sums below.
-    ends = F.transform(
-        "words",
-        lambda w, i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g))
-        + F.aggregate(F.slice("words", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)),
+    mentions = matches.select(
+        *_KEY, F.concat_ws(":", "kind", value).alias("entity"), F.xxhash64("before", "hit", "after").alias("window"), "copies"
+    ).distinct()
+    holders = stored(
+        mentions.groupBy("entity", *_KEY).agg(F.bit_xor("window").alias("evidence"), F.max("copies").alias("copies"))
     )
-    rows = sides.select(*_KEY, "entity", "window", "s.at", F.explode(F.arrays_zip("words", ends.alias("upto"))).alias("w"))
-    end = F.col("at") + F.col("w.upto")
-    return rows.select(
-        *_KEY, "entity", "window", F.lower("w.words").alias("term"), (end - F.length("w.words")).alias("start"), end.alias("end")
+    # An entity of all documents discloses nothing.
+    entities = (
+        holders.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.countDistinct("evidence").alias("pieces"))
+        .where((F.col("pieces") >= support) & (F.col("n_entity") < total)).drop("pieces")
     )
+    # n(t, e) is at most n(e); the last factor is for rounding.
+    n, whole = F.col("n_entity"), F.lit(float(total))
+    entities = entities.withColumn("most", whole * F.pow(n / whole, F.lit(generalise)) * (1 + 1e-9))
+    judged = stored(holders.drop("copies").join(entities, "entity"))
+    most = judged.agg(F.max("most")).first()[0] or 0.0
+
+    in_docs = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    in_docs = in_docs.where(F.col("n_term").between(support, most))
+    reach = judged.groupBy(*_KEY).agg(F.max("most").alias("reach"))
+    words = _with_key(docs, reach).select(*_KEY, "reach", F.explode(_words(F.col("text"))).alias("term"))
+    words = words.join(in_docs, "term").where(F.col("n_term") <= F.col("reach")).drop("reach")
+    pairs = stored(_with_key(words, judged).where(F.col("n_term") <= F.col("most")).drop("most"))
+    share = F.log2(whole * F.col("n_both") / (F.col("n_term") * n)) / F.log2(whole / n)
+    telling = (
+        pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"), F.countDistinct("evidence").alias("pieces"))
+        .where(F.col("pieces") >= support).withColumn("share", share).where(F.col("share") >= generalise)
+        .select("entity", "term", (F.col("share") >= remove).alias("removed"))
+    )
+    return pairs.join(telling, ["entity", "term"]).groupBy(*_KEY, "term").agg(F.max("removed").alias("removed"))
 
 
-def _disclosing(docs: DataFrame, terms: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, removed) above the thresholds."""
-    seen = terms.groupBy("entity", "term", "id", "h").agg(F.min("window").alias("window"))
-    together = (
-        seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.countDistinct("window").alias("windows"))
-        .where(F.col("windows") >= support)
+def _occurrences(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """(id, h, kind, start, end, removed) of every place of a text's telling terms."""
+    told = telling.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("told"))
+    # Repeated rows are told apart, so that their sums do not run into each other.
+    rows = _with_key(docs, told).select(
+        *_KEY, "told", F.monotonically_increasing_id().alias("row"),
+        F.regexp_extract_all("text", F.lit(_TERM_WORD), F.lit(0)).alias("words"), F.split("text", _TERM_WORD, -1).alias("gaps"),
     )
-    entities = terms.select("entity", *_KEY).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM_WORD), F.lit(0)))
-    in_docs = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(docs.count()).cast("double")
-    scored = together.join(in_docs, "term").join(entities, "entity").select(
-        "entity", "term",
-        (F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))).alias("share"),
+    each = F.transform(
+        F.arrays_zip("words", F.slice("gaps", 1, F.size("words")).alias("gaps")),
+        lambda z: F.struct(
+            F.try_element_at("told", F.lower(z["words"])).alias("removed"),
+            F.length(z["words"]).alias("n"), F.length(z["gaps"]).alias("gap"),
+        ),
     )
-    return scored.where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("removed"))
+    places = rows.select(*_KEY, "row", F.posexplode(each).alias("i", "w")).select(*_KEY, "row", "i", "w.*")
+    upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto)).where("removed is not null")
+    return places.select(
+        *_KEY, F.lit(TERM).alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end", "removed"
+    ).distinct()
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,15 +199,13 @@ def spans(
     """
     docs = _keyed(documents, id_col, text_col)
     base = stored(_matches(docs))
-    terms = stored(_terms(base))
-    telling = _disclosing(docs, terms, support, generalise, remove)
-    found = (
-        terms.join(telling, ["entity", "term"])
-        .groupBy(*_KEY, "start", "end").agg(F.max("removed").alias("removed"))
-        .select(*_KEY, F.lit(TERM).alias("kind"), F.col("start").cast("long"), F.col("end").cast("long"), "removed")
-    )
+    found = _occurrences(docs, _telling(docs, base, support, generalise, remove))
     kept = base.select(*_KEY, "kind", F.col("start").cast("long"), F.col("end").cast("long"), F.lit(None).cast("boolean").alias("removed"))
-    return stored(kept.unionByName(found))
+    # What a base span covers needs no second one.
+    before = Window.partitionBy(*_KEY).orderBy("start", F.col("kind") == TERM).rowsBetween(Window.unboundedPreceding, 0)
+    every = kept.unionByName(found).withColumn("covered", F.max(F.when(F.col("kind") != TERM, F.col("end"))).over(before))
+    outside = (F.col("kind") != TERM) | F.col("covered").isNull() | (F.col("end") > F.col("covered"))
+    return stored(every.where(outside).drop("covered"))
 
 
 def _rank(kind: Column) -> Column:

@@ -100,6 +100,37 @@ def test_copies_are_one_piece_of_evidence(spark):
     assert {r.spans for r in sanitise.personal_data(df).where("doc_id < 20").collect()} == {"email:33:43"}
 
 
+def test_telling_terms_anywhere_in_a_text(spark):
+    far = ["green", "yellow", "purple", "orange"]
+    rows = [
+        (i, f"Zorblatt {'filler ' * 60}{w} mail zanelle@x.org now {'filler ' * 3000}ask Zanelle or zorblatt 😀 ZORBLATT.")
+        for i, w in enumerate(far)
+    ]
+    rows += [(None, rows[0][1]), (None, rows[0][1])]
+    rows += [(100 + i, f"filler mail about {w}") for i, w in enumerate("abcdefghijklmnopqrstuvwx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.spans) for r in sanitise.personal_data(df).collect()]
+    assert len(got) == len(rows)
+    for i, text in rows[:6]:
+        email = text.index("zanelle@x.org")
+        want = [f"email:{email}:{email + 13}"]
+        want += [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblatt|zanelle(?!@)", text, re.I)]
+        want = ",".join(sorted(want, key=lambda s: int(s.split(":")[1])))
+        assert len(want.split(",")) == 5 and (i, want) in got
+    assert all(not spans for i, spans in got if i is not None and i >= 100)
+    for r in sanitise.sanitised(df).where("doc_id < 100 or doc_id is null").collect():
+        assert not re.search("zorblatt|zanelle", r.text, re.I)
+
+
+def test_terms_far_from_the_match_count(spark):
+    # Near the match in one text only, but in every text of the entity.
+    rows = [(i, f"{'zorblatt ' if i == 0 else ''}case {i} jane@x.org {'filler ' * 50}zorblatt") for i in range(5)]
+    rows += [(10 + i, f"filler case {i}") for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.count("term:") for r in sanitise.personal_data(df).collect()}
+    assert got == {i: 2 if i == 0 else int(i < 5) for i, _ in rows}
+
+
 def test_sanitised_keeps_columns_rows_and_overlaps(spark):
     rows = [
         (1, "ring +4111111111111111 or 10.0.0.1😀", "k", 1), (1, "ring +4111111111111111 or 10.0.0.1😀", "k", 1),
