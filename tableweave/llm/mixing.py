@@ -9,7 +9,8 @@
 3. Tree: the quotas of drawn blocks by source are split between two halves of the output
    shards by a multivariate hypergeometric draw, and so on down to single shards. The
    draws of a source go to the shards in order, so shards never share one.
-4. Inside a shard, draws are ordered by a hash.
+4. Inside a shard, draws are ordered by a hash. A shard of the documents is one partition,
+   and one file where the result is written.
 
 Offsets of documents come from sums over hash buckets of bounded size, so the order of a
 source that holds a third of all rows is found without a window over it. Permutations and
@@ -193,11 +194,7 @@ def _place(block: Column) -> Column:
     return (F.col("perm.a") * block + F.col("perm.b")) % F.col("blocks")
 
 
-def mix(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS, seed: int = 17,
-) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> tuple[DataFrame, DataFrame]:
     """(rows, slices) of the mix.
 
     ``rows``: (id, source, h, copy, size, source_size, target), a row per document; size in
@@ -210,6 +207,15 @@ def mix(
     target rounded to whole words, no document more than ``most`` rounded up times its
     size. Reruns give the same mix. Without words there are no slices.
     """
+    return _mix(documents, id_col, text_col, source_col, **options)[:2]
+
+
+def _mix(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+    weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS, seed: int = 17,
+) -> tuple[DataFrame, DataFrame, int]:
+    """Rows and slices as ``mix`` returns them, and the number of shards."""
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = documents.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text_col).alias("h")
@@ -279,31 +285,39 @@ def mix(
         "id", "source", "h", "copy", "size", "turn", "first", "last", "shard",
         F.xxhash64("sid", "draw", "offset", F.lit(seed)).alias("place"),
     )
-    return rows.select("id", "source", "h", "copy", "size", "source_size", "target"), slices
+    return rows.select("id", "source", "h", "copy", "size", "source_size", "target"), slices, shards
 
 
 def taken_by_document(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(id, size, source_size, target, taken): the words of each row that the mix takes."""
+    """(id, size, source_size, target, taken, shards): the words of each row that the mix takes.
+
+    ``shards`` lists (shard, words), the words of the row that each output shard gets.
+    """
     rows, slices = mix(documents, id_col, **options)
     key = ["id", "source", "h", "copy"]
-    taken = slices.groupBy(*key).agg(F.sum(F.col("last") - F.col("first")).alias("taken")).alias("t")
+    taken = slices.groupBy(*key, "shard").agg(F.sum(F.col("last") - F.col("first")).alias("words"))
+    taken = taken.groupBy(*key).agg(
+        F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shards")
+    ).alias("t")
     same = F.lit(True)
     for c in key:
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
     return rows.alias("r").join(taken, same, "left").select(
-        F.col("r.id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+        F.col("r.id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        F.coalesce("shards", F.array().cast("array<struct<shard: bigint, words: bigint>>")).alias("shards"),
     )
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows the mix takes, with their columns; a row for every run of words taken at once.
 
-    A document taken twice comes twice. Texts run from the first to the last word of a run
-    of adjoining slices; a whole document keeps its text as it is. An ``n_chars`` column
-    is counted anew. Empty texts give no row.
+    Partition k is output shard k, its rows in their shuffled order. A document taken twice
+    comes twice. Texts run from the first to the last word of a run of adjoining slices of
+    one shard; a whole document keeps its text as it is. An ``n_chars`` column is counted
+    anew. Empty texts give no row.
     """
-    _, slices = mix(documents, id_col, text_col, source_col, **options)
-    part = F.struct("turn", "first", "last")
+    _, slices, shards = _mix(documents, id_col, text_col, source_col, **options)
+    part = F.struct("turn", "first", "last", "shard", "place")
     parts = slices.groupBy("id", "source", "h", "copy").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(part)).alias("parts"))
     packed = documents.select(
         F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h")
@@ -319,24 +333,28 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
         word = re.compile(WORD)
         for batch in batches:
-            texts = []
+            cuts = []
             for text, size, parts in zip(batch["text"], batch["size"], batch["parts"]):
-                runs: list[list[int]] = []
+                runs: list[dict] = []
                 for p in parts:
-                    if runs and runs[-1][0] == p["turn"] and runs[-1][2] == p["first"]:
-                        runs[-1][2] = p["last"]
+                    if runs and all(runs[-1][c] == p[c] for c in ("turn", "shard")) and runs[-1]["last"] == p["first"]:
+                        runs[-1]["last"] = p["last"]
                     else:
-                        runs.append([p["turn"], p["first"], p["last"]])
-                if all(a == 0 and b == size for _, a, b in runs):
-                    texts.append([text] * len(runs))
-                else:
-                    bounds = [m.span() for m in word.finditer(text)]
-                    texts.append([text if b - a == size else text[bounds[a][0] : bounds[b - 1][1]] for _, a, b in runs])
-            yield pd.DataFrame({"row": batch["row"], "texts": texts})
+                        runs.append({c: p[c] for c in ("turn", "first", "last", "shard", "place")})
+                whole = all(r["last"] - r["first"] == size for r in runs)
+                bounds = [] if whole else [m.span() for m in word.finditer(text)]
+                for r in runs:
+                    a, b = r["first"], r["last"]
+                    r["text"] = text if b - a == size else text[bounds[a][0] : bounds[b - 1][1]]
+                cuts.append([{c: r[c] for c in ("text", "shard", "place")} for r in runs])
+            yield pd.DataFrame({"row": batch["row"], "cuts": cuts})
 
     row_type = joined.schema["row"].dataType.simpleString()
-    rows = joined.mapInPandas(cut, f"row {row_type}, texts array<string>").select("row", F.explode("texts").alias("text"))
+    rows = joined.mapInPandas(cut, f"row {row_type}, cuts array<struct<text: string, shard: bigint, place: bigint>>")
+    rows = rows.select("row", F.explode("cuts").alias("cut")).select("row", "cut.*")
     row = F.col("row").withField(text_col, F.col("text"))
     if "n_chars" in documents.columns:
         row = row.withField("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return rows.select(row.alias("row")).select("row.*")
+    # Shards hold equal numbers of draws, so the partitions are even.
+    dealt = rows.select(row.alias("row"), "shard", "place").repartitionById(shards, F.col("shard").cast("int"))
+    return dealt.sortWithinPartitions("place").select("row.*")

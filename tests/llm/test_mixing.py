@@ -2,6 +2,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 
 from tableweave.llm import mixing
 
@@ -102,6 +103,32 @@ def test_documents_of_the_mix(spark):
         assert words.get(i, 0) == n
 
 
+def test_documents_come_in_shuffled_shards(spark, tmp_path):
+    df = spark.createDataFrame([r for r in ROWS if r[0] != 3000], "doc_id long, text string, source string")
+    options = {"block_words": 16, "shard_words": 300}
+    slices = mixing.mix(df, **options)[1].collect()
+    dealt = mixing.taken_by_document(df, **options).collect()
+    want = defaultdict(int)
+    for s in slices:
+        want[s.id, s.shard] += s["last"] - s["first"]
+    assert {(r.doc_id, p.shard): p.words for r in dealt for p in r.shards} == want
+    assert all(sum(p.words for p in r.shards) == r.taken for r in dealt)
+    places = defaultdict(list)
+    for s in sorted(slices, key=lambda s: s.place):
+        places[s.shard, s.id, s["first"]].append(s.place)
+
+    mixing.mixed_documents(df, **options).write.parquet(f"file://{tmp_path}/out")
+    got, files = defaultdict(int), sorted(tmp_path.glob("out/*.parquet"))
+    assert len(files) == len({s.shard for s in slices}) > 20
+    for shard, path in enumerate(files):
+        last = -(2**63)
+        for r in pd.read_parquet(path).itertuples():
+            i = None if pd.isna(r.doc_id) else int(r.doc_id)
+            got[i, shard] += len(r.text.split())
+            last = next(p for p in places[shard, i, int(r.text.split()[0][1:])] if p >= last)
+    assert got == want
+
+
 def test_no_rows_and_no_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r["size"], r.target, r.taken) for r in mixing.taken_by_document(df).collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
