@@ -318,15 +318,19 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     _, slices, shards = _mix(documents, id_col, text_col, source_col, **options)
     part = F.struct("turn", "first", "last", "shard", "place")
+    # One key of what may be null; copies are compared after the join, so that texts are
+    # shuffled once for the window and the join.
+    key = F.struct("id", "source", "h").alias("key")
     parts = slices.groupBy("id", "source", "h", "copy").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(part)).alias("parts"))
+    parts = parts.select(key, F.col("copy").alias("p_copy"), "size", "parts")
     packed = documents.select(
-        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h")
+        F.struct("*").alias("row"),
+        F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h")).alias("key"),
+    )
+    packed = packed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    joined = packed.join(parts, "key").where(F.col("copy") - F.col("p_copy") == 0).select(
+        "row", F.col(f"row.{text_col}").cast("string").alias("text"), "size", "parts"
     )
-    packed = packed.withColumn("copy", F.row_number().over(Window.partitionBy("id", "source", "h").orderBy(F.lit(0))))
-    same = F.lit(True)
-    for c in ("id", "source", "h", "copy"):
-        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
-    joined = packed.alias("d").join(parts.alias("p"), same).select("row", F.col(f"row.{text_col}").cast("string").alias("text"), "size", "parts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
