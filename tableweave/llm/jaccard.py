@@ -85,7 +85,7 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, np.unique(h[begin[i] : begin[i + 1]])
 
 
-def _signature(s: np.ndarray) -> tuple[int, int]:
+def set_signature(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = int(np.sum(mixed(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
     b = int(np.bitwise_xor.reduce(mixed(s + np.uint64(0x14057B7EF767814F)))) if len(s) else 0
@@ -103,7 +103,7 @@ def _scan(n: int):
             size, a, b = [], [], []
             for _, s in _sets(batch, n):
                 size.append(len(s))
-                one, two = _signature(s)
+                one, two = set_signature(s)
                 a.append(one)
                 b.append(two)
                 np.add.at(counts, s & np.uint64(COUNTERS - 1), 1)
@@ -239,7 +239,7 @@ def _prefixes(n: int, percent: int, table):
         for batch in batches:
             size, a, b, base, ell, tokens = [], [], [], [], [], []
             for _, s in _sets(batch, n):
-                one, two = _signature(s)
+                one, two = set_signature(s)
                 seen = np.maximum(counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] - noise, 1)
                 found = prefix_of(s, seen, percent) if len(s) else (s, 0, 0)
                 for column, value in zip((size, a, b, base, ell, tokens), (len(s), one, two, found[1], found[2], found[0])):
