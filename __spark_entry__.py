@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tableweave as tw
 from tableweave.operators.union import DROP, KEEP_AS_NEW
 from tableweave.plans.series_query import SeriesQuery, series_table
+from tableweave.session import shared_folder
+from tableweave.sources.csvfiles import CsvOptions, read_csv
 
 try:  # the training-data operators come and go as one part
     import corpus_pipeline
@@ -720,6 +723,22 @@ RECIPE_SQL = f"""
 # ------------------------------------------------------------------------ contract
 
 
+def csv_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, whose texts hold line breaks, as CSV below two title lines, read back."""
+    folder = f"{shared_folder(spark)}/documents"
+    docs = table(spark, d, "documents")
+    quoting = {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines = docs.select(F.to_csv(F.struct(*docs.columns), quoting).alias("value"))
+    header = ",".join(docs.columns)
+
+    def titled(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["documents, all of them", '"as ""CSV"""', header]})
+        yield from batches
+
+    lines.mapInArrow(titled, "value string").write.text(folder)
+    return read_csv(spark, folder, CsvOptions("utf-8", ",", '"', 3), null_tokens=False)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Orders with aggregated lines, customer and nation."""
     return plan_three_steps(spark, FLAGSHIP_DIR)
@@ -758,6 +777,7 @@ def own_queries() -> dict[str, Query]:
         "profile_orders": profile_orders,
         "infer_types": infer_types,
         "page_orders": page_orders,
+        "csv_documents": csv_documents,
         "page_after": page_after,
         "page_count": page_count,
         "ts_recorded": ts_recorded,
@@ -894,6 +914,7 @@ def own_oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'value_text',
                 CASE WHEN (SELECT avg(CASE WHEN value >= 1 THEN 1.0 ELSE 0.0 END) FROM events) >= 0.9
                      THEN 'number' ELSE 'string' END""",
+        "csv_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "page_orders": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 200 OFFSET 600",
         "page_after": """
             SELECT * FROM orders WHERE (o_orderpriority, o_orderkey) > ('2-HIGH', 500)

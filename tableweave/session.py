@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import PlanError
@@ -36,3 +39,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise PlanError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where the setting is empty and one machine runs everything, as in tests, it is set to
+    a local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise PlanError("set spark.checkpoint.dir to a folder all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tableweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tableweave-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: no lineage, known size."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import csv
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,6 +9,7 @@ from functools import reduce
 from operator import and_
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from ..errors import PlanError
 from ..functions.columns import col, is_number_text
 from ..functions.names import header_names
+from . import charsets
+from .csvrecords import RECORD, blocks_inside_quotes, cut_records, joined_fragments, raw_lines
 
 # Delimiters looked for, and the texts a field may hold for "no value".
 DELIMITERS = (",", "\t", ";", "|")
@@ -27,7 +29,6 @@ NULL_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 SNIFF_LINES = 10
-MOST_HEADERS = 64
 
 # Java names of encodings; the last two need spark.sql.legacy.javaCharsets.
 JAVA_CHARSETS = {
@@ -63,12 +64,12 @@ def java_charset(spark: SparkSession, encoding: str) -> str:
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines that are not blank, as raw bytes, with their file and block."""
-    return spark.read.text(path).select(
+    """Lines as raw bytes without their LF, with their file and block."""
+    return spark.read.option("lineSep", "\n").text(path).select(
         F.col("value").cast("binary").alias("line"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-    ).where(F.length(F.trim(F.col("line").cast("string"))) > 0)
+    )
 
 
 def _head(lines: DataFrame, count: int) -> DataFrame:
@@ -83,66 +84,49 @@ def _head(lines: DataFrame, count: int) -> DataFrame:
     )
 
 
-def _decodes(encoding: str):
-    @F.pandas_udf("boolean")
-    def test(lines: pd.Series) -> pd.Series:
-        def fits(line: bytes) -> bool:
-            try:
-                line.decode(encoding)
-                return True
-            except UnicodeDecodeError:
-                return False
-
-        return lines.map(fits)
-
-    return test
-
-
 def detect_csv(spark: SparkSession, path: str) -> DataFrame:
     """Per file: encoding, delimiter and quote character.
 
-    Encodings are tested on every line, so a file of any size is split over tasks;
-    only lines that are not valid UTF-8 pass through Python. A byte-order mark needs
-    no name of its own: the readers drop it. Delimiter and quote come from the first
-    ten lines.
+    Encodings are judged on every line, so a file of any size is split over tasks; only
+    lines that are not valid UTF-8 pass through Python. A byte-order mark needs no name of
+    its own: the readers drop it. Delimiter and quote come from the first ten lines that are
+    not blank, of twice as many. An
+    encoding that none of ``charsets.CANDIDATES`` explains is null.
     """
     lines = _lines(spark, path)
     odd = lines.where(~F.is_valid_utf8(F.col("line").cast("string")))
-    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
-    failed = (
-        odd.select("path", _decodes("cp932")("line").alias("a"), _decodes("shift_jis")("line").alias("b"))
-        .groupBy("path")
-        .agg(F.bool_and("a").alias("cp932"), F.bool_and("b").alias("shift_jis"))
-    )
+    filled = F.length(F.trim(F.col("line").cast("string"))) > 0
+    files = lines.where(filled).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    judged = charsets.judged(odd.select("path", "line"))
     heads = (
-        _head(lines, SNIFF_LINES)
+        _head(lines, 2 * SNIFF_LINES)
         .groupBy("path")
         .agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("head"))
         .select("path", F.col("head.line").alias("head"))
     )
-    encoding = (
-        F.when(F.col("cp932").isNull(), "utf-8")
-        .when(F.col("cp932"), "cp932")
-        .when(F.col("shift_jis"), "shift_jis")
-        .otherwise("latin1")
-    )
 
     def sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_sniff(h, e) for h, e in zip(batch["head"], batch["encoding"])]
-            out = batch[["path", "encoding"]].copy()
+            starts = [b"\n".join(map(bytes, h)) for h in batch["head"]]
+            encodings = [charsets.wide_form(s) or e for s, e in zip(starts, batch["encoding"])]
+            found = [_sniff(s, e) for s, e in zip(starts, encodings)]
+            out = batch[["path"]].copy()
+            out["encoding"] = encodings
             out["delimiter"] = [d for d, _ in found]
             out["quotechar"] = [q for _, q in found]
             yield out
 
-    known = files.join(heads, "path").join(failed, "path", "left")
+    known = files.join(heads, "path").join(judged, "path", "left")
+    encoding = F.when(F.col("judged").isNull(), "utf-8").otherwise(F.col("judged.encoding"))
     return known.select("path", "head", encoding.alias("encoding")).mapInPandas(
         sniff, "path string, encoding string, delimiter string, quotechar string"
     )
 
 
-def _sniff(lines, encoding: str) -> tuple[str, str]:
-    text = "\n".join(bytes(line).decode(encoding, "replace") for line in lines)
+def _sniff(start: bytes, encoding: str | None) -> tuple[str, str]:
+    """Delimiter and quote of the first lines that are not blank."""
+    text = start.decode(encoding or "latin1", "replace").removeprefix("\ufeff")
+    text = "\n".join([line for line in text.splitlines() if line.strip()][:SNIFF_LINES])
     try:
         dialect = csv.Sniffer().sniff(text, "".join(DELIMITERS))
     except csv.Error:
@@ -160,18 +144,19 @@ def read_csv(
     null_tokens: bool = True,
     infer: bool = True,
     rows: int | None = None,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Scan a CSV file or folder whose files share one header.
-
-    ``infer`` types whole columns from all rows in one aggregation; turn it off to
-    get text and cast with ``prepare``. ``multiline`` allows line breaks in quoted
-    fields, at the price of unsplittable files.
+    """Scan a CSV file or folder whose files have the same columns, in any order.
+
+    Quoted fields may hold line breaks. Planning scans the files for such fields and for
+    their headers; a form without line breaks, other orders of columns or rows above the
+    header is then left to Spark's reader, all others are cut by ``csvrecords``. Files
+    are split in both cases. ``multiline=False`` says that no field holds a line break,
+    and saves the first of these scans. ``infer`` types whole columns from all rows in one
+    aggregation; turn it off to get text and cast with ``prepare``.
     """
     if options.header_row < 1:
         raise PlanError("the header row counts from 1")
-    if multiline and options.header_row > 1:
-        raise PlanError("multiline fields need the header on row 1")
     if "auto" not in (options.encoding, options.delimiter, options.quotechar):
         df = _scan(spark, [path], options, multiline)
     else:
@@ -195,15 +180,18 @@ def _scan_detected(
     found = detect_csv(spark, path).select(
         "path", pick("encoding"), pick("delimiter"), pick("quotechar")
     )
-    forms = found.select("encoding", "delimiter", "quotechar").distinct().collect()
+    forms = found.groupBy("encoding", "delimiter", "quotechar").agg(F.min("path").alias("path")).collect()
     if not forms:
         raise PlanError(f"no CSV lines under {path}")
+    for form in forms:
+        if form.encoding is None:
+            raise PlanError(f"no known encoding fits {unquote(form.path)}; give one in the options")
     scans = []
     for form in forms:
         paths = [path]
         if len(forms) > 1:
             # The reader needs the names of its files, as any file listing does.
-            same = [F.col(n).eqNullSafe(F.lit(v)) for n, v in form.asDict().items()]
+            same = [F.col(n).eqNullSafe(F.lit(form[n])) for n in ("encoding", "delimiter", "quotechar")]
             rows = found.where(reduce(and_, same)).select("path").collect()
             paths = [unquote(r.path) for r in rows]
         chosen = CsvOptions(form.encoding, form.delimiter, form.quotechar, options.header_row)
@@ -214,75 +202,69 @@ def _scan_detected(
 def _scan(
     spark: SparkSession, paths: list[str], options: CsvOptions, multiline: bool
 ) -> DataFrame:
-    if options.encoding.strip().lower() not in JAVA_CHARSETS:
+    encoding = options.encoding.strip().lower()
+    if encoding not in JAVA_CHARSETS and encoding not in charsets.CODECS:
         raise PlanError(f"unknown encoding: {options.encoding}")
-    names = _header(spark, paths, options)
+    native = encoding in JAVA_CHARSETS
+    charset = java_charset(spark, encoding) if native else None
+    quote = None if options.quotechar == "none" else options.quotechar
+    codec = "utf-8" if encoding in charsets.WIDE else encoding
+    lines = raw_lines(spark, paths, encoding if encoding in charsets.WIDE else None)
+    broken, marks = False, np.zeros((4, 0), np.int64)
+    if quote and multiline:
+        broken, marks = blocks_inside_quotes(lines, options.delimiter, quote)
+    heads = _headers(lines, marks, options, quote, codec)
+    names, same_order = _one_header(heads, paths, options)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    quote = "" if options.quotechar == "none" else options.quotechar
-    reading = {"sep": options.delimiter, "quote": quote}
+    reading = {"sep": options.delimiter, "quote": quote or ""}
     if quote:
         reading["escape"] = quote
-    if options.header_row == 1:
-        reader = spark.read.schema(schema).options(
-            **reading, header="true", multiLine=str(multiline).lower(),
-            encoding=java_charset(spark, options.encoding),
-        )
+    if native and same_order and not broken and options.header_row == 1:
+        reader = spark.read.schema(schema).options(**reading, header="true", encoding=charset)
         return reader.csv(paths).toDF(*names)
-    parsed = _rows_below(spark, paths, options).select(
-        F.from_csv("line", schema, reading).alias("c")
-    )
-    return parsed.select("c.*").toDF(*names)
+
+    cut = cut_records(lines, marks, options.delimiter, quote, codec, options.header_row)
+    records = cut.where(F.col("kind") == RECORD).select("file", "record")
+    if marks.shape[1]:
+        records = records.unionAll(joined_fragments(cut))
+    parsed = F.from_csv("record", schema, reading | {"multiLine": "true"}).alias("c")
+    if same_order:
+        return records.select(parsed).select("c.*").toDF(*names)
+    fields = records.select("file", parsed).select("file", F.array("c.*").alias("values"))
+    placed = fields.join(heads.select("file", "names"), "file")
+    return placed.select(*(F.get("values", F.array_position("names", n) - 1).alias(n) for n in names))
 
 
-def _header(spark: SparkSession, paths: list[str], options: CsvOptions) -> list[str]:
-    """Names on the header row, the same in all files, made unique as a.1, a.2, …
+def _headers(lines: DataFrame, marks: np.ndarray, options: CsvOptions, quote: str | None, codec: str) -> DataFrame:
+    """(file, names): the names on the header row of every file with rows, unique as a.1, a.2, …
 
-    One job over the heads of the files; only the distinct header lines are collected,
-    and no more of them than it takes to see that files differ.
+    Names are null where a file's first block has no such row.
     """
-    marked = F.substring("line", 1, 3) == F.lit(codecs.BOM_UTF8)
-    line = F.when(marked, F.expr("substring(line, 4)")).otherwise(F.col("line"))
-    lines = _lines(spark, paths)
-    heads = _head(lines, options.header_row).where(F.col("n") == options.header_row)
-    found = heads.select(line.alias("line")).distinct().limit(MOST_HEADERS).collect()
-    files, with_header = lines.select("path").distinct().count(), heads.count()
-    if not files:
-        raise PlanError(f"no lines in {', '.join(paths)}")
-    if with_header < files:
-        raise PlanError(f"{files - with_header} of {files} files have no row {options.header_row}")
-    form = (
-        {"quoting": csv.QUOTE_NONE}
-        if options.quotechar == "none"
-        else {"quotechar": options.quotechar}
-    )
-    names = set()
-    for row in found:
-        text = bytes(row.line).decode(options.encoding, "replace")
-        names.add(tuple(header_names(next(csv.reader([text], delimiter=options.delimiter, **form)))))
-    if len(names) > 1:
-        shown = " / ".join(",".join(n) for n in sorted(names)[:2])
-        raise PlanError(f"files have different headers: {shown}")
-    return list(names.pop())
-
-
-def _rows_below(spark: SparkSession, paths: list[str], options: CsvOptions) -> DataFrame:
-    """Lines below the header row of every file, decoded. A task reads a block from
-    its start, so it can drop the leading lines of first blocks while streaming."""
-    codec = codecs.lookup(options.encoding).name
-    skip = options.header_row
-
-    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+    form = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for path, block in zip(batch["path"], batch["block"]):
-                if block == 0:
-                    seen[path] = seen.get(path, 0) + 1
-                keep.append(block != 0 or seen[path] > skip)
-            lines = batch.loc[keep, "line"]
-            yield pd.DataFrame({"line": [bytes(b).decode(codec, "replace") for b in lines]})
-
-    return _lines(spark, paths).mapInPandas(below, "line string")
+            rows = [None if r is None else next(csv.reader([r.rstrip("\r\n")], delimiter=options.delimiter, **form)) for r in batch["record"]]
+            yield pd.DataFrame({"file": batch["file"], "names": [None if r is None else header_names(r) for r in rows]})
+
+    first = cut_records(lines.where(F.col("block") == 0), marks, options.delimiter, quote, codec, options.header_row, header_only=True)
+    return first.select("file", "record").mapInPandas(named, "file long, names array<string>")
+
+
+def _one_header(heads: DataFrame, paths: list[str], options: CsvOptions) -> tuple[list[str], bool]:
+    """The columns, which all files must have, and whether they have them in one order."""
+    in_order = F.sort_array("names")
+    found = heads.agg(
+        F.count(F.lit(1)).alias("files"), F.count("names").alias("headers"), F.min("names").alias("names"),
+        F.max("names").alias("other"), F.min(in_order).alias("low"), F.max(in_order).alias("high"),
+    ).first()
+    if not found.files:
+        raise PlanError(f"no lines in {', '.join(paths)}")
+    if found.headers < found.files:
+        raise PlanError(f"{found.files - found.headers} of {found.files} files have no row {options.header_row}")
+    if found.low != found.high:
+        raise PlanError(f"files have different headers: {','.join(found.low)} / {','.join(found.high)}")
+    return list(found.names), found.names == found.other
 
 
 def infer_columns(df: DataFrame) -> DataFrame:
