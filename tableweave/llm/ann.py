@@ -1,6 +1,9 @@
 """Approximate nearest neighbours by inner product, with randomly rotated one-bit codes.
 
-Each vector o is taken relative to the centroid c of all vectors. Its direction, padded
+Vectors are brought to a common size, the power of two nearest to the mean length (in
+logarithms, so that single huge vectors do not move it). Each vector o is taken relative
+to a centre c, the mean of all directions; any centre is right, this one bears outliers.
+Its direction, padded
 to ``bits`` dimensions and randomly rotated, keeps one sign bit per dimension; beside the
 packed bits three scalars are stored: the length of o - c, the inner product f of the
 direction with its own code, and <o - c, c>. For a query q, <code, rotated q - c> / f is
@@ -11,8 +14,11 @@ an unbiased estimate of the inner product of the direction with q - c; its error
 except with a probability that falls exponentially in eps². In each block, rows whose
 upper bound reaches the k-th best lower bound are scored on the original vectors.
 
-Codes are made once per row and stored. The centroid comes from all rows; the rotation is
-fixed by a seed.
+A query is scaled to its own power of two first, which scales its products alike. Where a
+vector is too long for the estimate, its bound is infinite and it is scored.
+
+Codes are made once per row and stored. Scale and centre come from all rows; the rotation
+is fixed by a seed.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from .shared import stored
 
 EPS = 2.2
 _STEP = 2_048  # rows whose codes are unpacked at once
+_LONGEST = 1e12  # of vectors with estimates, in mean lengths
 
 
 def code_bits(dim: int) -> int:
@@ -58,6 +65,7 @@ def estimates(codes, length, f, dot, q: np.ndarray, c: np.ndarray, turn: np.ndar
     rest = q - c
     turned = (rest @ turn).astype(np.float32).T
     out = np.empty((len(codes), len(q)), np.float32)
+    length, dot = (np.where(length < _LONGEST, x, np.inf) for x in (length, dot))
     for lo in range(0, len(codes), _STEP):
         signs = np.unpackbits(codes[lo : lo + _STEP], axis=1, count=bits).astype(np.float32) * 2 - 1
         out[lo : lo + _STEP] = signs @ turned
@@ -69,24 +77,36 @@ def estimates(codes, length, f, dot, q: np.ndarray, c: np.ndarray, turn: np.ndar
     return out, error.astype(np.float32)
 
 
-def _searcher(centroids: dict[int, np.ndarray], k: int, eps: float):
+def powers_of(x: np.ndarray) -> np.ndarray:
+    """The binary logarithm of each row's length, in whole numbers."""
+    most = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    unit = np.ldexp(x, -most[:, None])
+    return most + np.rint(np.log2(np.maximum(np.sqrt((unit**2).sum(1)), 1e-300))).astype(np.int64)
+
+
+def _searcher(centers: dict[int, tuple[int, np.ndarray]], k: int, eps: float):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         dim = rows.column("dim")[0].as_py()
-        c, turn = centroids[dim], rotation(dim)
+        c, turn = centers[dim][1], rotation(dim)
         ids, x = rows.column("id").to_numpy(), matrix(rows.column("vec"), dim)
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         scalars = [rows.column(n).to_numpy() for n in ("length", "f", "dot")]
         query_ids, q = queries.column("id").to_numpy(), matrix(queries.column("vec"), dim)
+        unit = np.ldexp(q, -powers_of(q)[:, None])
         found: list[tuple[np.ndarray, ...]] = []
         for lo in range(0, len(q), 64):
-            guess, error = estimates(codes, *scalars, q[lo : lo + 64], c, turn, eps)
+            with np.errstate(invalid="ignore", over="ignore"):
+                guess, error = estimates(codes, *scalars, unit[lo : lo + 64], c, turn, eps)
+                least, most = guess - error, guess + error
+            least[np.isnan(least)], most[np.isnan(most)] = -np.inf, np.inf
             for j in range(guess.shape[1]):
-                lower = guess[:, j] - error[:, j]
+                lower = least[:, j]
                 lower[ids == query_ids[lo + j]] = -np.inf
                 kth = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
-                near = np.flatnonzero(guess[:, j] + error[:, j] >= kth)
+                near = np.flatnonzero(most[:, j] >= kth)
                 near = near[ids[near] != query_ids[lo + j]]
-                score = (x[near] * q[lo + j]).sum(1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (x[near] * q[lo + j]).sum(1)
                 best = np.lexsort((ids[near], -score))[:k]
                 found.append((np.full(len(best), query_ids[lo + j]), ids[near][best], score[best]))
         return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "vec_id", "score"), zip(*found))})
@@ -95,40 +115,48 @@ def _searcher(centroids: dict[int, np.ndarray], k: int, eps: float):
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dim, rows, sum of the lengths' logarithms, sum of directions) of a task."""
     total: dict[int, list] = {}
     for batch in batches:
         dims = batch.column(0).to_numpy()
         for dim in np.unique(dims):
             x = batch.column(1).filter(pa.array(dims == dim)).flatten().to_numpy().reshape(-1, dim)
-            # Scaled, so that no sum overflows.
-            part = total.setdefault(int(dim), [0, np.zeros(dim)])
-            n = part[0] + len(x)
-            part[1] = part[1] * (part[0] / n) + (x / n).sum(0)
-            part[0] = n
+            powers = powers_of(x)
+            unit = np.ldexp(x, -powers[:, None])
+            part = total.setdefault(int(dim), [0, 0, np.zeros(dim)])
+            part[0] += len(x)
+            part[1] += int(powers.sum())
+            part[2] += (unit / np.sqrt((unit**2).sum(1))[:, None]).sum(0)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(total), pa.int32()), pa.array([p[0] for p in total.values()], pa.int64()),
-         pa.array([p[1].tolist() for p in total.values()], pa.list_(pa.float64()))], ["dim", "n", "mean"],
+         pa.array([p[1] for p in total.values()], pa.int64()),
+         pa.array([p[2].tolist() for p in total.values()], pa.list_(pa.float64()))], ["dim", "n", "powers", "directions"],
     )
 
 
-def _centroids(rows: DataFrame) -> dict[int, np.ndarray]:
-    """The mean vector of each dimension; one partial mean per task comes to the driver."""
+def _centers(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Scale (a power of two) and centre of each dimension; one sum per task comes to the driver."""
     parts: dict[int, list] = {}
-    for r in rows.select("dim", "vec").mapInArrow(_sums, "dim int, n long, mean array<double>").collect():
-        parts.setdefault(r.dim, []).append((r.n, np.array(r["mean"])))
-    return {
-        dim: sum(m * (n / sum(n for n, _ in some)) for n, m in sorted(some, key=lambda p: (p[0], p[1].tolist())))
-        for dim, some in parts.items()
-    }
+    for r in rows.select("dim", "vec").mapInArrow(_sums, "dim int, n long, powers long, directions array<double>").collect():
+        parts.setdefault(r.dim, []).append((r.n, r.powers, r.directions))
+    found = {}
+    for dim, some in parts.items():
+        n = sum(p[0] for p in some)
+        # Rounded, so that the order of the parts does not tell.
+        found[dim] = round(sum(p[1] for p in some) / n), np.round(sum(np.array(p[2]) for p in sorted(some)) / n, 9)
+    return found
 
 
-def _coder(centroids: dict[int, np.ndarray]):
+def _coder(centers: dict[int, tuple[int, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                codes, length, f, dot = encode(part.column(2).flatten().to_numpy().reshape(-1, dim), centroids[int(dim)], rotation(int(dim)))
+                power, c = centers[int(dim)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    x = np.ldexp(part.column(2).flatten().to_numpy().reshape(-1, dim), -power)
+                    codes, length, f, dot = encode(x, c, rotation(int(dim)))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([row.tobytes() for row in codes], pa.binary()), pa.array(length), pa.array(f), pa.array(dot)],
                     ["id", "dim", "vec", "code", "length", "f", "dot"],
@@ -144,16 +172,17 @@ def nearest(
     """(query_id, rank, vec_id, score): each query's k rows of largest inner product found.
 
     ``is_query`` is a condition on a column ``id``. Scores are the exact inner products in
-    double precision; ties go to the smaller id; with fewer candidates all are returned.
+    double precision (where these are no number, behind all others); ties go to the smaller
+    id; with fewer candidates all are returned.
     A row is no candidate for a query of its own id. Null ids, and vectors that are null,
     empty, zero or hold null or non-finite components, take no part. Only vectors of the
     query's dimension are candidates. Repeated rows are candidates each; queries that
     repeat an id are one. No rows give no rows.
     """
     rows = usable(vectors, id_col, vec_col, zero_too=False)
-    centroids = _centroids(rows)
+    centers = _centers(rows)
     coded = stored(
-        rows.mapInArrow(_coder(centroids), "id long, dim int, vec array<double>, code binary, length double, f double, dot double")
+        rows.mapInArrow(_coder(centers), "id long, dim int, vec array<double>, code binary, length double, f double, dot double")
     )
     queries = query_rows_of(coded.select("id", "dim", "vec"), is_query)
-    return best_of_blocks(coded, queries, _searcher(centroids, k, eps), "double", k, block_rows=block_rows, query_rows=query_rows)
+    return best_of_blocks(coded, queries, _searcher(centers, k, eps), "double", k, block_rows=block_rows, query_rows=query_rows)

@@ -70,6 +70,7 @@ def best_of_blocks(
 
     key = ["dim", "b", "q"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    # Sums of infinite products may be no number; those come last.
+    order = Window.partitionBy("query_id").orderBy(F.isnan(F.col("score").cast("double")), F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

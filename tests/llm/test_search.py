@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -51,10 +52,16 @@ def test_threshold_stops_early_and_large_numbers(spark):
     x = np.zeros((5000, 8))
     x[np.arange(5000), rng.integers(0, 8, 5000)] = rng.integers(1, 1000, 5000)
     lists = topk.Lists(np.arange(5000), x)
-    q = np.array([3.0, 0, 0, 2, 0, 0, 0, 0])
-    ids, scores, depth = lists.top(q, 20, -1)
-    want = sorted(zip(-(x @ q), range(5000)))[:20]
-    assert list(zip(-scores, ids)) == want and depth < 1000
+    q = np.array([[3.0, 0, 0, 2, 0, 0, 0, 0], [0, -1.0, 0, 0, 0, 0, 0, 0], [1.0] * 8])
+    none, any_ = np.full(3, -np.inf), np.full(3, -1)
+    found, depth = lists.top(q, 20, any_, none)
+    for weights, (ids, scores) in zip(q, found):
+        assert list(zip(-scores, ids)) == sorted(zip(-(x @ weights), range(5000)))[:20]
+    assert depth[0] < 1000 and depth[1] == 5000
+    # Known scores of other blocks end the reading, and what lies below is left out.
+    bound = np.array([3_000.0, 0.0, 2_000.0])
+    found, less = lists.top(q, 20, any_, bound)
+    assert less[0] <= depth[0] and less[2] < 1000 and len(found[2][0]) == 0 and (found[0][1] >= 2_900).all()
     big = [(0, [1e10, 1.0]), (1, [1e10, -3.0]), (2, [-1e10, 0.0]), (20, [1e18, 1e18])]
     df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
     got = {(r.query_id, r.vec_id): r.score for r in topk.top_scores(df, QUERY).collect()}
@@ -65,6 +72,46 @@ def test_threshold_stops_early_and_large_numbers(spark):
                 assert got[a, b] == max(-(2**63), min(2**63 - 1, s))
 
 
+def test_bound_keeps_ties(spark):
+    """Many equal scores over many blocks: ties go to the smallest ids."""
+    rows = [(i, [1.0, 2.0, float(i % 3)]) for i in range(900)]
+    got = topk.top_scores(frame(spark, rows), QUERY, block_rows=50, query_rows=16).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(brute(rows, 20, True, True))
+
+
+@pytest.mark.parametrize("size", [1e25, 1e150, 1e307])
+@pytest.mark.parametrize("which", ["one row", "one query", "all"])
+def test_large_finite_vectors(spark, size, which):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)) / 4
+    of = {"one row": [17], "one query": [40], "all": range(400)}[which]
+    for i in of:
+        x[i] *= size
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # Products may be infinite, as doubles are: then the order is that of plain doubles.
+    got = {}
+    for r in ann.nearest(df, QUERY, block_rows=128, query_rows=8).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in range(0, 400, 20):
+            scores = np.delete((x * x[q]).sum(1), q)
+            scores = np.sort(scores[~np.isnan(scores)])[::-1][:20]
+            mine = np.array([s for _, s in sorted(got[q])])
+            assert len(mine) == 20
+            mine = mine[~np.isnan(mine)]
+            close = [np.isclose(mine, s, rtol=1e-12, atol=0).any() or s in mine for s in scores]
+            assert np.mean(close) >= 0.9
+    exact = topk.top_scores(df, QUERY, block_rows=128, query_rows=8).collect()
+    ints = [[math.floor(Fraction(v) * 64) for v in row] for row in x.tolist()]
+    for q in (0, 40):
+        want = sorted((-sum(a * b for a, b in zip(ints[q], w)), i) for i, w in enumerate(ints) if i != q)[:20]
+        mine = {r["rank"]: (r.vec_id, r.score) for r in exact if r.query_id == q}
+        held = [max(-(2**63), min(2**63 - 1, -s)) for s, _ in want]
+        assert [mine[k][1] for k in range(1, 21)] == held
+        assert all(mine[k + 1][0] == i for k, (_, i) in enumerate(want) if abs(held[k]) < 2**63 - 1)
+
+
 def test_neighbours_found(spark):
     rows = data(3)
     got = ann.nearest(frame(spark, rows), QUERY, block_rows=128, query_rows=16).collect()
