@@ -13,7 +13,8 @@
    and one file where the result is written.
 
 Offsets of documents come from sums over hash buckets of bounded size, so the order of a
-source that holds a third of all rows is found without a window over it. Permutations and
+source that holds a third of all rows is found without a window over it; equal rows are
+counted, not numbered in a window. Permutations and
 trims are arithmetic on (source, block). Only narrow rows are shuffled. A node of the tree
 is one vector with an entry per source; its upper levels run on the driver, the subtrees
 as Spark tasks.
@@ -38,6 +39,8 @@ SHARD_WORDS = 1_000_000
 _MOST_BLOCKS = 500_000_000
 _TOP_NODES = 64
 _BUCKET_DOCS = 2_000
+_COPIES = 1_000  # copies of equal rows that one task numbers
+_LOT = 16  # copies whose slices go together
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -146,13 +149,32 @@ def _shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
+def _row_hash(documents: DataFrame) -> Column:
+    """Tells rows apart that differ in any column; equal rows may stand for each other."""
+    columns = []
+    for field in documents.schema.fields:
+        column, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType.simpleString()
+        columns.append(column.cast("string") if "map<" in kind or "variant" in kind else column)
+    return F.xxhash64(F.lit("row"), *columns).alias("row_hash")
+
+
+def _copies(units: DataFrame) -> DataFrame:
+    """A row per copy of each unit, numbered; many copies are dealt to many tasks."""
+    lots = units.where(F.col("copies") > _COPIES).select(
+        "*", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_COPIES})")).alias("lot")
+    ).repartition("h", "row_hash", "lot")
+    many = lots.select("*", F.explode(F.expr(f"sequence(lot * {_COPIES}, least((lot + 1) * {_COPIES}, copies) - 1)")).alias("copy"))
+    few = units.where(F.col("copies") <= _COPIES).select("*", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
+    return few.unionAll(many.drop("lot")).drop("copies")
+
+
 def _offsets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """The rows with the offset of their first word in their source's order.
 
     Buckets of about ``_BUCKET_DOCS`` rows by hash; groups of buckets are summed first.
     """
     span = 1_000
-    h = F.xxhash64("id", "h", "copy", F.lit("order"))
+    h = F.xxhash64("id", "h", "row_hash", "copy", F.lit("order"))
     placed = sized.join(targets.select("sid", "rows", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     buckets = F.ceil(F.col("rows") / _BUCKET_DOCS)
     placed = placed.withColumn("order", h).withColumn("bucket", F.pmod(F.xxhash64("order"), buckets)).drop("rows")
@@ -165,7 +187,7 @@ def _offsets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     starts = sums.withColumn("upto", F.sum("total").over(within)).join(groups, ["sid", "group"]).select(
         "sid", "group", "bucket", (F.col("before") + F.col("upto") - F.col("total")).alias("base")
     )
-    inside = Window.partitionBy("sid", "group", "bucket").orderBy("order", "id", "h", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("sid", "group", "bucket").orderBy("order", "id", "h", "row_hash", "copy").rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.withColumn("upto", F.sum("size").over(inside)).join(starts, ["sid", "group", "bucket"])
         .withColumn("offset", F.col("base") + F.col("upto") - F.col("size"))
@@ -197,10 +219,11 @@ def _place(block: Column) -> Column:
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> tuple[DataFrame, DataFrame]:
     """(rows, slices) of the mix.
 
-    ``rows``: (id, source, h, copy, size, source_size, target), a row per document; size in
-    words, h the hash of its text, copy numbering equal rows. ``slices``: (id, source, h,
-    copy, size, turn, first, last, shard, place): words [first, last) of a document that
-    the mix takes in pass ``turn``, the output shard and the place in its shuffled order.
+    ``rows``: (id, source, h, row_hash, copy, size, source_size, target), a row per document;
+    size in words, h the hash of its text, row_hash that of all its columns, copy numbering
+    equal rows. ``slices``: (id, source, h, row_hash, copy, size, turn, first, last, shard,
+    place): words [first, last) of a document that the mix takes in pass ``turn``, the output
+    shard and the place in its shuffled order.
 
     Null texts have size 0 and, like all empty ones, no slices. A null source is a source
     like any other and comes last. Null and repeated ids are kept. Every source gives its
@@ -218,11 +241,12 @@ def _mix(
     """Rows and slices as ``mix`` returns them, and the number of shards."""
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = documents.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text_col).alias("h")
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text_col).alias("h"),
+        _row_hash(documents),
     )
-    equal = Window.partitionBy("id", "source", "h").orderBy("size")
-    sized = stored(sized.withColumn("copy", F.row_number().over(equal)))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    units = stored(sized.groupBy("id", "source", "size", "h", "row_hash").agg(F.count("*").alias("copies")))
+    sized = _copies(units)
+    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("rows"))
     sources = stored(sources)
     targets = source_targets(sources.select("source", "source_size"), weights, share, most)
     targets = targets.alias("t").join(sources.select(F.col("source").alias("s"), "rows"), F.col("t.source").eqNullSafe(F.col("s"))).drop("s")
@@ -282,10 +306,10 @@ def _mix(
         & (F.col("draw") >= F.col("q_first")) & (F.col("draw") < F.col("q_last")),
     )
     slices = slices.select(
-        "id", "source", "h", "copy", "size", "turn", "first", "last", "shard",
+        "id", "source", "h", "row_hash", "copy", "size", "turn", "first", "last", "shard",
         F.xxhash64("sid", "draw", "offset", F.lit(seed)).alias("place"),
     )
-    return rows.select("id", "source", "h", "copy", "size", "source_size", "target"), slices, shards
+    return rows.select("id", "source", "h", "row_hash", "copy", "size", "source_size", "target"), slices, shards
 
 
 def taken_by_document(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -294,16 +318,13 @@ def taken_by_document(documents: DataFrame, id_col: str = "doc_id", **options) -
     ``shards`` lists (shard, words), the words of the row that each output shard gets.
     """
     rows, slices = mix(documents, id_col, **options)
-    key = ["id", "source", "h", "copy"]
+    key = ["h", "row_hash", "copy"]
     taken = slices.groupBy(*key, "shard").agg(F.sum(F.col("last") - F.col("first")).alias("words"))
     taken = taken.groupBy(*key).agg(
         F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shards")
-    ).alias("t")
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
-    return rows.alias("r").join(taken, same, "left").select(
-        F.col("r.id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+    )
+    return rows.join(taken, key, "left").select(
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
         F.coalesce("shards", F.array().cast("array<struct<shard: bigint, words: bigint>>")).alias("shards"),
     )
 
@@ -317,18 +338,15 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     anew. Empty texts give no row.
     """
     _, slices, shards = _mix(documents, id_col, text_col, source_col, **options)
-    part = F.struct("turn", "first", "last", "shard", "place")
-    # One key of what may be null; copies are compared after the join, so that texts are
-    # shuffled once for the window and the join.
-    key = F.struct("id", "source", "h").alias("key")
-    parts = slices.groupBy("id", "source", "h", "copy").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(part)).alias("parts"))
-    parts = parts.select(key, F.col("copy").alias("p_copy"), "size", "parts")
-    packed = documents.select(
-        F.struct("*").alias("row"),
-        F.struct(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h")).alias("key"),
+    part = F.struct("copy", "turn", "first", "last", "shard", "place")
+    # Equal rows stand for each other: one of them meets the slices of all copies, some
+    # copies a row, so that texts are shuffled once and no task gets all copies of one.
+    key = ["h", "row_hash"]
+    parts = slices.groupBy(*key, F.expr(f"copy div {_LOT}").alias("lot")).agg(
+        F.max("size").alias("size"), F.array_sort(F.collect_list(part)).alias("parts")
     )
-    packed = packed.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
-    joined = packed.join(parts, "key").where(F.col("copy") - F.col("p_copy") == 0).select(
+    packed = documents.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("h"), _row_hash(documents))
+    joined = packed.dropDuplicates(key).join(parts.drop("lot"), key).select(
         "row", F.col(f"row.{text_col}").cast("string").alias("text"), "size", "parts"
     )
 
@@ -341,10 +359,10 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
             for text, size, parts in zip(batch["text"], batch["size"], batch["parts"]):
                 runs: list[dict] = []
                 for p in parts:
-                    if runs and all(runs[-1][c] == p[c] for c in ("turn", "shard")) and runs[-1]["last"] == p["first"]:
+                    if runs and all(runs[-1][c] == p[c] for c in ("copy", "turn", "shard")) and runs[-1]["last"] == p["first"]:
                         runs[-1]["last"] = p["last"]
                     else:
-                        runs.append({c: p[c] for c in ("turn", "first", "last", "shard", "place")})
+                        runs.append({c: p[c] for c in ("copy", "turn", "first", "last", "shard", "place")})
                 whole = all(r["last"] - r["first"] == size for r in runs)
                 bounds = [] if whole else [m.span() for m in word.finditer(text)]
                 for r in runs:
