@@ -27,7 +27,7 @@ Steps, each a Spark job over all rows:
 
 No list is gathered in one task, no pair inside a known component is emitted, and the
 lists are joined by adaptive joins that split long ones. Python works on one row at a
-time, except for the counts table (``COUNTERS`` integers).
+time, except for the counts table, which has about four counters a row within bounds.
 """
 
 from __future__ import annotations
@@ -42,16 +42,15 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, mixed, slices, span_hashes, text_bytes, words_of
 from .components import connected
+from .idfilter import id_table, may_hold
 from .shared import stored
 
-#: Counters of hashed shingles. The table only sets the order of shingles and the cost
-#: estimate, so collisions cost time, never results.
-COUNTERS = 1 << 18
+#: Counters of hashed shingles: four a row between these bounds (2 to 128 MB). The table
+#: only sets the order of shingles and the cost estimate, so collisions cost time, never
+#: results.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 24
 _PART = 1 << 13
 _VERIFY = 0.25  # cost of what an entry may become, in entries: few become candidates
-#: Bits of the filter that tells which documents' sets are read for verification; a table
-#: of fixed size. False hits cost time only.
-FILTER_BITS = 1 << 24
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +95,9 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _scan(n: int):
+def _scan(n: int, size_of_table: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(size_of_table, np.int64)
         for batch in batches:
             size, a, b = [], [], []
             for _, s in _sets(batch, n):
@@ -106,14 +105,14 @@ def _scan(n: int):
                 one, two = set_signature(s)
                 a.append(one)
                 b.append(two)
-                np.add.at(counts, s & np.uint64(COUNTERS - 1), 1)
+                np.add.at(counts, s & np.uint64(size_of_table - 1), 1)
             rows = len(size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), _signed(a), _signed(b),
                  pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 ["id", "n", "s1", "s2", "part", "counts"],
             )
-        parts = [p for p in range(COUNTERS // _PART) if counts[p * _PART : (p + 1) * _PART].any()]
+        parts = [p for p in range(size_of_table // _PART) if counts[p * _PART : (p + 1) * _PART].any()]
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.array(parts, pa.int32()),
@@ -137,11 +136,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _counters(scanned: DataFrame) -> np.ndarray:
-    """The whole table of counts: ``COUNTERS`` integers, whatever the input."""
+def counters_for(rows: int) -> int:
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (4 * max(rows, 1) - 1).bit_length()))
+
+
+def _counters(scanned: DataFrame, size_of_table: int) -> np.ndarray:
+    """The whole table of counts."""
     parts = scanned.where("part is not null").select("part", "counts")
     parts = parts.repartition(8, "part").mapInArrow(_summed, "part int, counts binary")
-    table = np.zeros(COUNTERS, np.int64)
+    table = np.zeros(size_of_table, np.int64)
     for row in parts.collect():
         table[row["part"] * _PART : (row["part"] + 1) * _PART] += np.frombuffer(row["counts"], np.int64)
     return table
@@ -235,12 +238,12 @@ def _partners(percent: int):
 def _prefixes(n: int, percent: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
-        noise = int(counts.sum() // COUNTERS)
+        noise = int(counts.sum() // len(counts))
         for batch in batches:
             size, a, b, base, ell, tokens = [], [], [], [], [], []
             for _, s in _sets(batch, n):
                 one, two = set_signature(s)
-                seen = np.maximum(counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] - noise, 1)
+                seen = np.maximum(counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)] - noise, 1)
                 found = prefix_of(s, seen, percent) if len(s) else (s, 0, 0)
                 for column, value in zip((size, a, b, base, ell, tokens), (len(s), one, two, found[1], found[2], found[0])):
                     column.append(value)
@@ -256,51 +259,12 @@ def _prefixes(n: int, percent: int, table):
     return run
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter's bytes that a task's pairs mark, by part."""
-    bits = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        for column in batch.columns:
-            bits[_filter_bits(column.to_numpy())] = True
-    marked = np.packbits(bits).reshape(-1, _PART)
-    parts = np.flatnonzero(marked.any(1))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(parts, pa.int32()), pa.array([marked[p].tobytes() for p in parts], pa.binary())], ["part", "bytes"]
-    )
-
-
-def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = np.frombuffer(raw, np.uint8)
-            total[part] = total[part] | found if part in total else found
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "bytes"]
-    )
-
-
-def _id_filter(pairs: DataFrame) -> np.ndarray:
-    """Bits of the documents that pairs name: ``FILTER_BITS`` bits, whatever the input."""
-    parts = pairs.select("a", "b").mapInArrow(_marks, "part int, bytes binary").repartition(8, "part")
-    marked = np.zeros((FILTER_BITS // 8 // _PART, _PART), np.uint8)
-    for row in parts.mapInArrow(_joined_marks, "part int, bytes binary").collect():
-        marked[row["part"]] |= np.frombuffer(row["bytes"], np.uint8)
-    return marked.reshape(-1)
-
-
 def _packed(n: int, marked):
     """Whole sets of the documents that the filter names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = _filter_bits(batch.column(0).cast(pa.int64()).to_numpy())
-            hit = (marked.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
+            batch = batch.filter(pa.array(may_hold(marked.value, batch.column(0).cast(pa.int64()).to_numpy())))
             packed = [s.tobytes() for _, s in _sets(batch, n)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], ["id", "set"]
@@ -327,7 +291,7 @@ def _similar(percent: int):
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar, written to the shared folder."""
-    marked = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs))
+    marked = docs.sparkSession.sparkContext.broadcast(id_table(pairs.select("a").unionAll(pairs.select("b")).distinct()))
     sets = stored(docs.where("id is not null").mapInArrow(_packed(n, marked), "id long, set binary"))
     full = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
@@ -362,13 +326,14 @@ def similar_documents(
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    counters = counters_for(docs.count())
     scanned = stored(
-        docs.mapInArrow(_scan(words), "id long, n long, s1 long, s2 long, part int, counts binary")
+        docs.mapInArrow(_scan(words, counters), "id long, n long, s1 long, s2 long, part int, counts binary")
     )
     rows = scanned.where("part is null").select("id", "n", "s1", "s2")
     classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
 
-    table = spark.sparkContext.broadcast(_counters(scanned))
+    table = spark.sparkContext.broadcast(_counters(scanned, counters))
     ordered = docs.where("id is not null").mapInArrow(
         _prefixes(words, percent, table),
         "id long, n long, s1 long, s2 long, base int, ell int, tokens array<long>",
@@ -425,7 +390,10 @@ def similar_documents(
     # For one size class the prefix is shorter: what similarity needs at its least size.
     least = F.when(F.col("other") < 200, F.col("other")).otherwise(F.floor(200 * F.pow(F.lit(1.005), F.col("other") - 200)))
     room = F.col("n") - F.ceil(percent * (F.col("n") + least) / (100 + percent))
-    facing = facing.withColumn("room", room.cast("long")).where(F.col("pos") <= F.col("room") + F.ceil(F.col("n") / 16))
+    facing = facing.withColumn("room", room.cast("long")).where(
+        # A pair's ℓ is at most a twentieth of the larger set, as in ``kept_length``.
+        F.col("pos") <= F.col("room") + F.ceil(5 * F.col("n") / (percent - percent % 5 or 5))
+    )
     x = facing.where("component <> top").alias("x")
     y = facing.alias("y")
     ell = F.greatest("x.ell", "y.ell")

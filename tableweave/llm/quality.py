@@ -6,9 +6,10 @@ punctuation, repeats, …), and a hidden layer h. A gate gives its attention,
 softmax over the document of w·(tanh(hV) ⊙ σ(hU)); the score is logistic in the sum of
 the passages weighted by it. Labels belong to whole documents only.
 
-The model is fitted on the driver on a bounded sample: at most ``sample`` labelled
-documents of each class in hash order, at most ``PASSAGES`` evenly spread passages of
-each, encoded by Spark tasks. Class counts over all training labels correct the score for
+The model is fitted on a bounded sample of labelled rows: at most ``sample`` labelled
+documents of each class in hash order, with all their passages, encoded by Spark tasks.
+Steps of the fit take bags of up to ``STEP_PASSAGES`` passages together, so a very long
+document makes a step of its own. Class counts over all training labels correct the score for
 the balanced sample. Scoring is one scan of whole texts, without a shuffle.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrays import LOWER, slices, span_hashes, text_bytes, words_of
 
 PASSAGE = 100
-PASSAGES = 64
+STEP_PASSAGES = 4_096
 SAMPLE = 2_500
 BUCKETS = 2_048
 _EMBED, _HIDDEN, _GATE = 8, 24, 12
@@ -146,10 +147,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.forward(words, passage, form, bag)[0] + self.shift, -40, 40)))
 
 
+def _steps(order: np.ndarray, sizes: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """Runs of at most ``batch`` documents and ``STEP_PASSAGES`` passages, or of one document."""
+    lo = 0
+    while lo < len(order):
+        upto = np.cumsum(sizes[order[lo : lo + batch]])
+        hi = lo + max(1, int(np.searchsorted(upto, STEP_PASSAGES, "right")))
+        yield order[lo:hi]
+        lo = hi
+
+
 def fit(docs: list[tuple], labels: np.ndarray, *, epochs: int = 14, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Model:
     """A model from encoded documents (words, words per passage, forms)."""
     model = Model(seed)
-    forms = np.concatenate([d[2] for d in docs])
+    sizes = np.array([len(d[1]) for d in docs])
+    forms = np.concatenate([d[2] for d in docs]).astype(np.float64)
     model.center, model.scale = forms.mean(0), forms.std(0) + 1e-3
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -157,13 +169,13 @@ def fit(docs: list[tuple], labels: np.ndarray, *, epochs: int = 14, batch: int =
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(docs))
-        for lo in range(0, len(order), batch):
-            chosen = [docs[i] for i in order[lo : lo + batch]]
+        for some in _steps(order, sizes, batch):
+            chosen = [docs[i] for i in some]
             per = np.concatenate([d[1] for d in chosen])
             g = model.gradients(
-                np.concatenate([d[0] for d in chosen]), np.repeat(np.arange(len(per)), per),
-                np.concatenate([d[2] for d in chosen]), np.repeat(np.arange(len(chosen)), [len(d[1]) for d in chosen]),
-                labels[order[lo : lo + batch]],
+                np.concatenate([d[0] for d in chosen]).astype(np.int64), np.repeat(np.arange(len(per)), per),
+                np.concatenate([d[2] for d in chosen]).astype(np.float64), np.repeat(np.arange(len(chosen)), [len(d[1]) for d in chosen]),
+                labels[some],
             )
             step += 1
             for k in model.p:
@@ -176,7 +188,7 @@ def fit(docs: list[tuple], labels: np.ndarray, *, epochs: int = 14, batch: int =
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sampled documents as features: at most ``PASSAGES`` passages, evenly spread."""
+    """Sampled documents as features of all their passages."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         words, per, forms = [], [], []
@@ -184,11 +196,10 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, first, form, rows = encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             ends = np.append(first[1:], len(bucket))
             for i in range(hi - lo):
-                all_of = np.arange(rows[i], rows[i + 1])
-                some = all_of[np.unique(np.linspace(0, len(all_of) - 1, min(len(all_of), PASSAGES)).astype(int))]
-                words.append(np.concatenate([bucket[first[k] : ends[k]] for k in some]).tobytes())
-                per.append((ends[some] - first[some]).astype(np.int32).tobytes())
-                forms.append(form[some].tobytes())
+                a, b = rows[i], rows[i + 1]
+                words.append(bucket[first[a] : ends[b - 1]].tobytes())
+                per.append((ends[a:b] - first[a:b]).astype(np.int32).tobytes())
+                forms.append(form[a:b].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0)] + [pa.array(x, pa.binary()) for x in (words, per, forms)], ["label", "words", "per", "forms"]
         )
@@ -236,8 +247,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if len(set(y)) < 2:
         return None
     encoded = [
-        (np.frombuffer(r["words"], np.uint16).astype(np.int64), np.frombuffer(r["per"], np.int32),
-         np.frombuffer(r["forms"], np.float32).reshape(-1, FORMS).astype(np.float64))
+        (np.frombuffer(r["words"], np.uint16), np.frombuffer(r["per"], np.int32),
+         np.frombuffer(r["forms"], np.float32).reshape(-1, FORMS))
         for r in rows
     ]
     model = fit(encoded, y)

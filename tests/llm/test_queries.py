@@ -35,7 +35,7 @@ def texts(duck):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) < set(names) and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
