@@ -190,26 +190,42 @@ def _preagg_sql(method: str) -> str:
 
 
 def _asof_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every event against the purchases and sign-ups around it."""
-    events = table(spark, d, "events")
-    right = events.where(F.col("event_type").isin("purchase", "signup"))
-    return (
-        events.select("event_id", "ts", "user_id", "event_type"),
-        right.select(
-            F.col("event_id").alias("buy_id"),
-            F.col("ts").alias("buy_ts"),
-            F.col("user_id").alias("buyer"),
-            F.col("value").alias("amount"),
-        ),
+    """Every order, its days brought into the month of the events, against every event.
+
+    Event times are cut to minutes: some are equal, and some orders have the same time.
+    """
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("visit_id"),
+        F.expr("timestamp_ntz'2024-01-01' + 18 * datediff(o_orderdate, date'1995-01-01') * interval 1 minute").alias("ts"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    return orders, table(spark, d, "events").select(
+        F.col("event_id").alias("buy_id"),
+        F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("buy_ts"),
+        F.col("user_id").alias("buyer"),
+        F.col("value").alias("amount"),
     )
 
 
+ASOF_LEFT_SQL = """
+    SELECT o_orderkey AS visit_id,
+           TIMESTAMP '2024-01-01' + INTERVAL 18 MINUTE * date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INTEGER AS ts,
+           o_custkey AS user_id, o_orderstatus AS status FROM orders
+"""
 ASOF_RIGHT_SQL = """
-    SELECT event_id AS buy_id, ts AS buy_ts, user_id AS buyer, value AS amount
-    FROM events WHERE event_type IN ('purchase', 'signup')
+    SELECT event_id AS buy_id, date_trunc('minute', ts)::TIMESTAMP AS buy_ts, user_id AS buyer, value AS amount FROM events
 """
 
 
+def _one_at_a_time(ahead: bool, by: bool = True) -> str:
+    """The right rows, of those at one time the last or, looking ahead, the first."""
+    order, part = ("ASC" if ahead else "DESC"), ("buyer, " if by else "")
+    return f"""
+        SELECT * FROM ({ASOF_RIGHT_SQL})
+        QUALIFY row_number() OVER (PARTITION BY {part}buy_ts ORDER BY buy_id {order}) = 1"""
+
+
 def _asof(by: bool = True, **rules) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         left, right = _asof_tables(spark, d)
@@ -227,29 +243,49 @@ def asof_text_keys(spark: SparkSession, d: str) -> DataFrame:
     left = left.withColumn("ts", F.col("ts").cast("string"))
     right = right.withColumn("buy_ts", F.col("buy_ts").cast("string"))
     found = tw.asof_join(left, right, "ts", "buy_ts", ["user_id"], ["buyer"], order_by=["buy_id"])
-    return found.select("event_id", "buy_id", "amount")
+    return found.select("visit_id", "buy_id", "amount")
+
+
+def _asof_hot(**rules) -> Query:
+    """A third of both tables in one by-group."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        left, right = _asof_tables(spark, d)
+        left = left.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+        right = right.withColumn("buyer", F.when(F.col("buyer") % 3 == 0, 0).otherwise(F.col("buyer")))
+        return tw.asof_join(left, right, "ts", "buy_ts", ["user_id"], ["buyer"], order_by=["buy_id"], **rules)
+
+    return run
+
+
+def _hot_sql(sql: str) -> str:
+    """The query with both by-columns as ``_asof_hot`` has them."""
+    left = f"(SELECT visit_id, ts, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, status FROM ({ASOF_LEFT_SQL}))"
+    right = f"SELECT buy_id, buy_ts, CASE WHEN buyer % 3 = 0 THEN 0 ELSE buyer END AS buyer, amount FROM ({ASOF_RIGHT_SQL})"
+    return sql.replace(f"({ASOF_LEFT_SQL})", left).replace(ASOF_RIGHT_SQL, right)
+
+
+RIGHT_NAMES = ("buy_id", "buy_ts", "buyer", "amount")
 
 
 def _asof_sql(compare: str, by: bool = True, where: str = "") -> str:
     on = "l.user_id = r.buyer AND " if by else ""
-    rights = ["buy_id", "buy_ts", "buyer", "amount"]
-    shown = [f"CASE WHEN {where} THEN r.{n} END AS {n}" if where else f"r.{n}" for n in rights]
+    shown = [f"CASE WHEN {where} THEN r.{n} END AS {n}" if where else f"r.{n}" for n in RIGHT_NAMES]
     return f"""
-        SELECT l.event_id, l.ts, l.user_id, l.event_type, {', '.join(shown)}
-        FROM events l ASOF LEFT JOIN ({ASOF_RIGHT_SQL}) r ON {on} l.ts {compare} r.buy_ts
+        SELECT l.visit_id, l.ts, l.user_id, l.status, {', '.join(shown)}
+        FROM ({ASOF_LEFT_SQL}) l ASOF LEFT JOIN ({_one_at_a_time('<' in compare, by)}) r ON {on} l.ts {compare} r.buy_ts
     """
 
 
 def _nearest_sql(by: bool) -> str:
     on = "l.user_id = {0}.buyer AND " if by else ""
-    fields = ["buy_id", "buy_ts", "buyer", "amount"]
     ahead = "f.buy_ts IS NOT NULL AND (b.buy_ts IS NULL OR f.buy_ts - l.ts < l.ts - b.buy_ts)"
-    shown = ", ".join(f"CASE WHEN {ahead} THEN f.{n} ELSE b.{n} END AS {n}" for n in fields)
+    shown = ", ".join(f"CASE WHEN {ahead} THEN f.{n} ELSE b.{n} END AS {n}" for n in RIGHT_NAMES)
     return f"""
-        SELECT l.event_id, l.ts, l.user_id, l.event_type, {shown}
-        FROM events l
-        ASOF LEFT JOIN ({ASOF_RIGHT_SQL}) b ON {on.format('b')} l.ts >= b.buy_ts
-        ASOF LEFT JOIN ({ASOF_RIGHT_SQL}) f ON {on.format('f')} l.ts <= f.buy_ts
+        SELECT l.visit_id, l.ts, l.user_id, l.status, {shown}
+        FROM ({ASOF_LEFT_SQL}) l
+        ASOF LEFT JOIN ({_one_at_a_time(False, by)}) b ON {on.format('b')} l.ts >= b.buy_ts
+        ASOF LEFT JOIN ({_one_at_a_time(True, by)}) f ON {on.format('f')} l.ts <= f.buy_ts
     """
 
 
@@ -673,14 +709,14 @@ PLAN_REPORTS_SQL = """
 RECIPE = {
     "version": "1.0",
     "tables": [
-        {"table_id": "events", "selected_columns": ["event_id", "ts", "user_id", "event_type"]},
+        {"table_id": "visits", "selected_columns": ["visit_id", "ts", "user_id", "status"]},
         {"table_id": "buys", "selected_columns": ["buy_id", "buy_ts", "buyer"]},
         {"table_id": "customers", "selected_columns": ["c_custkey", "c_name"],
          "dtype_overrides": {"c_name": "string"}},
         {"table_id": "suppliers"},
     ],
     "join_plan": {
-        "base_table_id": "events",
+        "base_table_id": "visits",
         "steps": [
             {"step_id": "last_buy", "right_table_id": "buys", "join_algorithm": "asof",
              "left_keys": ["ts"], "right_keys": ["buy_ts"], "left_by_keys": ["user_id"],
@@ -698,22 +734,19 @@ RECIPE = {
 
 def recipe_run(spark: SparkSession, d: str) -> DataFrame:
     """A recipe document with all three kinds of step."""
-    _, buys = _asof_tables(spark, d)
+    visits, buys = _asof_tables(spark, d)
     locations = {
-        "events": table(spark, d, "events"), "buys": buys,
+        "visits": visits, "buys": buys,
         "customers": table(spark, d, "customer"), "suppliers": table(spark, d, "supplier"),
     }
     return tw.run_recipe(spark, json.dumps(RECIPE), locations).output
 
 
 RECIPE_SQL = f"""
-    SELECT l.event_id, l.ts, l.user_id, l.event_type,
-           CASE WHEN l.ts - r.buy_ts <= INTERVAL 2 DAY THEN r.buy_id END AS buy_id,
-           CASE WHEN l.ts - r.buy_ts <= INTERVAL 2 DAY THEN r.buy_ts END AS buy_ts,
-           CASE WHEN l.ts - r.buy_ts <= INTERVAL 2 DAY THEN r.buyer END AS buyer,
+    SELECT visit_id, ts, user_id, status, buy_id, buy_ts, buyer,
            c_custkey, c_name, 'current_result' AS _source_table, NULL::INTEGER AS s_nationkey
-    FROM events l ASOF LEFT JOIN ({ASOF_RIGHT_SQL}) r ON l.user_id = r.buyer AND l.ts >= r.buy_ts
-    JOIN customer ON l.user_id = c_custkey
+    FROM ({_asof_sql(">=", where="l.ts - r.buy_ts <= INTERVAL 2 DAY")})
+    JOIN customer ON user_id = c_custkey
     UNION ALL
     SELECT NULL, NULL, s_suppkey, NULL, NULL, NULL, NULL, NULL, s_name, 'suppliers', s_nationkey
     FROM supplier
@@ -760,8 +793,8 @@ def own_queries() -> dict[str, Query]:
         "asof_no_exact": _asof(allow_exact=False),
         "asof_no_by": _asof(by=False),
         "asof_no_by_nearest": _asof(by=False, direction="nearest"),
-        "asof_split": _asof(),
-        "asof_split_forward": _asof(direction="forward", tolerance="1d"),
+        "asof_split": _asof_hot(),
+        "asof_split_forward": _asof_hot(direction="forward", tolerance="1d"),
         "asof_text_keys": asof_text_keys,
         "asof_unmatched_left": asof_unmatched_left,
         "asof_unmatched_right": asof_unmatched_right,
@@ -807,9 +840,9 @@ def own_queries() -> dict[str, Query]:
 def own_oracle_sql() -> dict[str, str]:
     within = "l.ts - r.buy_ts <= INTERVAL '6 hours 30 minutes'"
     matched_12h = f"""
-        SELECT l.event_id, l.ts, l.user_id, l.event_type,
+        SELECT l.visit_id, l.ts, l.user_id, l.status,
                CASE WHEN l.ts - r.buy_ts <= INTERVAL 12 HOUR THEN r.buy_id END AS buy_id
-        FROM events l ASOF LEFT JOIN ({ASOF_RIGHT_SQL}) r ON l.user_id = r.buyer AND l.ts {{}} r.buy_ts
+        FROM ({ASOF_LEFT_SQL}) l ASOF LEFT JOIN ({_one_at_a_time(False)}) r ON l.user_id = r.buyer AND l.ts {{}} r.buy_ts
     """
     return {
         "equi_inner": _documents_labels_sql("INNER", "d.doc_id"),
@@ -849,11 +882,11 @@ def own_oracle_sql() -> dict[str, str]:
         "asof_no_exact": _asof_sql(">"),
         "asof_no_by": _asof_sql(">=", by=False),
         "asof_no_by_nearest": _nearest_sql(by=False),
-        "asof_split": _asof_sql(">="),
-        "asof_split_forward": _asof_sql("<=", where="r.buy_ts - l.ts <= INTERVAL 1 DAY"),
-        "asof_text_keys": f"SELECT event_id, buy_id, amount FROM ({_asof_sql('>=')})",
+        "asof_split": _hot_sql(_asof_sql(">=")),
+        "asof_split_forward": _hot_sql(_asof_sql("<=", where="r.buy_ts - l.ts <= INTERVAL 1 DAY")),
+        "asof_text_keys": f"SELECT visit_id, buy_id, amount FROM ({_asof_sql('>=')})",
         "asof_unmatched_left": f"""
-            SELECT event_id, ts, user_id, event_type FROM ({matched_12h.format('>=')})
+            SELECT visit_id, ts, user_id, status FROM ({matched_12h.format('>=')})
             WHERE buy_id IS NULL""",
         "asof_unmatched_right": f"""
             SELECT * FROM ({ASOF_RIGHT_SQL}) WHERE buy_id NOT IN (

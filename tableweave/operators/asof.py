@@ -3,14 +3,16 @@
 A by-group, or a single key within it, may hold a large part of a table, so no window
 ever sees a whole group:
 
-1. the right table shrinks to one row per (by, key), the left one to its distinct
-   (by, key) pairs, both by aggregation with a map-side stage;
-2. keys fall into ranges cut at approximate quantiles of the key column, so a
-   (by, range) group is bounded however rows are spread over by-groups;
-3. a window runs per (by, range). The last right row of the nearest earlier range
-   (the first of the nearest later one) enters it as one more row. It comes from
-   one row per (by, range);
-4. the matches, unique per (by, key), join back to the left rows.
+1. both tables shrink to their distinct (by, key) pairs, by aggregation with a map-side
+   stage; no other column goes on from here;
+2. the pairs of a large table are sorted over the cluster into ranges of bounded size and
+   written with their range number (``stored``), so that every later stage sees the same
+   ranges; ranges are a column of that table, nothing of them comes to the driver;
+3. the last right key before each (by, range), or the first one behind it, comes from a
+   prefix scan in two levels: over the ranges of a block of ranges, and over the blocks;
+4. a window runs per (by, range), with these keys as one more row each;
+5. the matched pairs meet the right table, reduced to one row per (by, key), and then the
+   left rows: right rows travel with their columns only here.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +43,7 @@ from ..functions.columns import (
     to_number,
     type_of,
 )
+from ..session import stored
 from .layout import JoinLayout, join_layout
 
 DIRECTIONS = ("backward", "forward", "nearest")
@@ -81,7 +82,8 @@ def span_micros(text: str) -> int:
 @dataclass(frozen=True)
 class AsofMatches:
     """Left rows (l0, l1, …), by-keys (b0, b1, …) and ``hit``: the matched right key
-    ``k`` and right row ``v`` as one struct, null where there is no match."""
+    ``k``, right row ``v`` and ``which`` of the rows at that key it is (0: the only one,
+    1: the first, 2: the last) as one struct, null where there is no match."""
 
     rows: DataFrame
     layout: JoinLayout
@@ -111,20 +113,17 @@ class _Rule:
         cast = (lambda c: c.cast("decimal(20,0)")) if self.whole else (lambda c: c)
         return F.abs(cast(F.col("k")) - cast(other))
 
-    def pick(self) -> Column:
-        if self.direction == "nearest":
-            best = (
-                F.when(F.col("bwd").isNull(), F.col("fwd"))
-                .when(F.col("fwd").isNull(), F.col("bwd"))
-                .when(self.gap(F.col("fwd.k")) < self.gap(F.col("bwd.k")), F.col("fwd"))
-                .otherwise(F.col("bwd"))
-            )
-        else:
-            best = F.col(self.sides[0])
-        fits = F.col("k").isNotNull()
-        if self.limit is not None:
-            fits = fits & (self.gap(best["k"]) <= F.lit(self.limit))
-        return F.when(fits, best)
+    def side(self) -> Column:
+        """The direction in which the match of a left key lies."""
+        if self.direction != "nearest":
+            return F.lit(self.sides[0])
+        bwd, fwd = F.col("bwd"), F.col("fwd")
+        ahead = fwd.isNotNull() & (bwd.isNull() | (self.gap(fwd) < self.gap(bwd)))
+        return F.when(ahead, "fwd").otherwise("bwd")
+
+    def fits(self, other: Column) -> Column:
+        near = other.isNotNull()
+        return near if self.limit is None else near & (self.gap(other) <= F.lit(self.limit))
 
 
 def asof_join(
@@ -244,107 +243,106 @@ def asof_matches(
 # ---------------------------------------------------------------------- the plan
 
 
-def _windowed(df: DataFrame, part: Sequence[str], rule: _Rule) -> DataFrame:
-    """Add the candidate per direction. The frame always runs over preceding rows,
-    which Spark extends row by row, so forward sorts the keys downwards."""
-    # At equal keys right rows (s = 0) come before left rows (s = 1), or after them.
-    side = F.col("s").asc() if rule.allow_exact else F.col("s").desc()
-    for name in rule.sides:
-        window = (
-            Window.partitionBy(*(F.col(p) for p in part))
-            .orderBy(F.col("k").asc() if name == "bwd" else F.col("k").desc(), side)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        row = F.col(f"{name}_v")
-        entry = F.when(row.isNotNull(), F.struct(F.col("k"), row.alias("v")))
-        df = df.withColumn(name, F.last(entry, ignorenulls=True).over(window))
-    return df.where(F.col("s") == 1)
-
-
-def _null(df: DataFrame, name: str) -> Column:
-    return F.lit(None).cast(df.schema[name].dataType).alias(name)
-
-
 def _matched(L: DataFrame, R: DataFrame, lefts, bys, rule: _Rule) -> DataFrame:
-    cuts = _cut_points(L, R, bys)
-    L0 = L.where(F.col("k").isNotNull()).select(*bys, "k")
-    group = [*bys, "g"]
-    left_keys = _ranged(L0, cuts).select(*group, "k").distinct()
-    best = {
-        "bwd": F.max_by("v", F.col("v.o")).alias("bwd_v"),
-        "fwd": F.min_by("v", F.col("v.o")).alias("fwd_v"),
-    }
-    right_keys = _ranged(R, cuts).groupBy(*group, "k").agg(*(best[n] for n in rule.sides))
-
-    values = [f"{n}_v" for n in rule.sides]
-    both = right_keys.select(*group, "k", F.lit(0).alias("s"), *values).unionAll(
-        left_keys.select(*group, "k", F.lit(1).alias("s"), *(_null(right_keys, v) for v in values))
+    left_keys = L.where(F.col("k").isNotNull()).select(*bys, "k").distinct()
+    right_keys = R.select(*bys, "k").distinct()
+    keys = right_keys.select(*bys, "k", F.lit(0).alias("s")).unionAll(left_keys.select(*bys, "k", F.lit(1).alias("s")))
+    matches = _key_matches(keys, bys, rule).select(
+        *(F.col(b).alias(f"m_{b}") for b in bys), F.col("k").alias("m_k"), "to_k", "side"
     )
-    if cuts:
-        both = both.unionByName(_carried(both, bys, rule))
-    matches = _windowed(both, group, rule).select(
-        *(F.col(b).alias(f"m_{b}") for b in bys), F.col("k").alias("m_k"), rule.pick().alias("hit")
+    # Of right rows with equal keys backward takes the last, forward the first.
+    best = {"bwd": F.max_by("v", F.col("v.o")), "fwd": F.min_by("v", F.col("v.o"))}
+    rows = R.groupBy(*(F.col(b).alias(f"r_{b}") for b in bys), F.col("k").alias("r_k")).agg(
+        F.count(F.lit(1)).alias("copies"), *(best[n].alias(n) for n in rule.sides)
+    )
+    ahead = F.col("side") == "fwd"
+    taken = F.when(ahead, _or_null(rows, "fwd")).otherwise(_or_null(rows, "bwd"))
+    # Which of the right rows at a key: the only one, the first or the last.
+    which = F.when(F.col("copies") == 1, 0).when(ahead, 1).otherwise(2)
+    # Null-safe, so that the join has a shuffle of its own: AQE can then split a right row
+    # that many left keys match.
+    on = [F.col("to_k").eqNullSafe(F.col("r_k"))] + [F.col(f"m_{b}").eqNullSafe(F.col(f"r_{b}")) for b in bys]
+    hits = matches.join(rows, reduce(and_, on)).select(
+        *(f"m_{b}" for b in bys), "m_k", F.struct(F.col("to_k").alias("k"), taken.alias("v"), which.alias("which")).alias("hit")
     )
     on = [F.col("k") == F.col("m_k")] + [F.col(b).eqNullSafe(F.col(f"m_{b}")) for b in bys]
-    return L.join(matches, reduce(and_, on), "left").select(*lefts, *bys, "hit")
+    return L.join(hits, reduce(and_, on), "left").select(*lefts, *bys, "hit")
 
 
-def _cut_points(L: DataFrame, R: DataFrame, bys: Sequence[str]) -> list[float]:
-    """Quantiles that cut the keys of both sides into ranges of bounded size."""
-    keys = L.select(F.col("k").cast("double")).unionAll(R.select(F.col("k").cast("double")))
+def _key_matches(keys: DataFrame, bys: Sequence[str], rule: _Rule) -> DataFrame:
+    """(by…, k, to_k, side) of the left keys (s = 1) that a right key (s = 0) matches."""
     # Counted, not estimated: an estimate is no bound.
     ranges = math.ceil(keys.count() / RANGE_ROWS)
     if not bys:
-        ranges = max(ranges, int(L.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if ranges < 2:
-        return []
-    marks = [i / ranges for i in range(1, ranges)]
-    return sorted(set(keys.approxQuantile("k", marks, 1 / (4 * ranges))))
+        ranges = max(ranges, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows, part = keys, list(bys)
+    if ranges > 1:
+        # A range is a stretch of the order by (by…, key): most by-groups lie in one.
+        rows = stored(keys.repartitionByRange(ranges, *bys, "k").withColumn("g", F.spark_partition_id()))
+        rows, part = rows.unionByName(_carried(rows, bys, rule, ranges)), [*bys, "g"]
+    # At equal keys right rows (s = 0) come before left rows (s = 1), or after them.
+    side = F.col("s").asc() if rule.allow_exact else F.col("s").desc()
+    for name in rule.sides:
+        # The frame always runs over preceding rows, which Spark extends row by row, so
+        # forward sorts the keys downwards.
+        window = (
+            Window.partitionBy(*part)
+            .orderBy(F.col("k").asc() if name == "bwd" else F.col("k").desc(), side)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        rows = rows.withColumn(name, F.last(F.when(F.col("s") == 0, F.col("k")), ignorenulls=True).over(window))
+    found = rows.where(F.col("s") == 1).withColumn("side", rule.side())
+    to_k = F.when(F.col("side") == "fwd", _or_null(found, "fwd")).otherwise(_or_null(found, "bwd"))
+    return found.withColumn("to_k", to_k).where(rule.fits(F.col("to_k"))).select(*bys, "k", "to_k", "side")
 
 
-def _ranged(df: DataFrame, cuts: list[float]) -> DataFrame:
-    """Add the range number ``g``; it grows with the key."""
-    if not cuts:
-        return df.withColumn("g", F.lit(0.0))
-    edges = [float("-inf"), *(c for c in cuts if math.isfinite(c)), float("inf")]
-    if len(edges) < 3:
-        return df.withColumn("g", F.lit(0.0))
-    ranger = Bucketizer(splits=edges, inputCol="kd", outputCol="g", handleInvalid="keep")
-    return ranger.transform(df.withColumn("kd", F.col("k").cast("double"))).drop("kd")
+def _or_null(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None)
 
 
-def _carried(both: DataFrame, bys: Sequence[str], rule: _Rule) -> DataFrame:
-    """The right rows that enter each range holding left rows, one per direction.
+def _carried(ranged: DataFrame, bys: Sequence[str], rule: _Rule, ranges: int) -> DataFrame:
+    """The right keys that enter each (by, range) with left keys, one per direction.
 
-    All directions come from one pass, so the plan uses the same reduced right table
-    here and in the union it is added to.
+    Keys grow with the range, so the last key before a range is the greatest of all
+    earlier ranges. Blocks hold about as many ranges as there are blocks.
     """
-    ends, entries, rows = [], {}, []
-    for name in rule.sides:
-        pick, order = (
-            (F.max_by, F.col("g").asc()) if name == "bwd" else (F.min_by, F.col("g").desc())
-        )
-        value = F.col(f"{name}_v")
-        here = F.when(value.isNotNull(), F.col("k"))
-        ends.append(pick(F.struct(F.col("k"), value.alias("v")), here).alias(f"{name}_end"))
-        # One row per (by, range) here.
-        window = (
-            Window.partitionBy(*bys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        entries[name] = F.last(f"{name}_end", ignorenulls=True).over(window)
-        values = [
-            F.col(f"{name}.v").alias(f"{n}_v") if n == name else _null(both, f"{n}_v")
+    span = max(1, math.isqrt(ranges))
+    right_k = F.when(F.col("s") == 0, F.col("k"))
+    ends = {"bwd": F.max, "fwd": F.min}
+    spans = ranged.groupBy(*bys, "g").agg(
+        F.max("s").alias("has_left"), *(ends[n](right_k).alias(n) for n in rule.sides)
+    ).withColumn("block", F.expr(f"g div {span}"))
+    blocks = spans.groupBy(*bys, "block").agg(*(ends[n](n).alias(n) for n in rule.sides))
+
+    def ahead(part: Sequence[str], by: str, name: str) -> Column:
+        order = F.col(by).asc() if name == "bwd" else F.col(by).desc()
+        window = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return ends[name](name).over(window)
+
+    if bys:
+        outer = blocks.select(*bys, "block", *(ahead(bys, "block", n).alias(f"{n}_outer") for n in rule.sides))
+    else:
+        # Each block's end goes to all blocks on its far side: as many rows as ranges.
+        last = (ranges - 1) // span
+        reach = {
+            "bwd": F.expr(f"if(block < {last}, sequence(block + 1, {last}L), array())"),
+            "fwd": F.expr("if(block > 0, sequence(0L, block - 1), array())"),
+        }
+        sent = [
+            blocks.select(F.explode(reach[n]).alias("block"), *(
+                (F.col(m) if m == n else F.lit(None).cast(blocks.schema[m].dataType)).alias(m) for m in rule.sides
+            ))
             for n in rule.sides
         ]
-        rows.append(F.struct(F.col(f"{name}.k").alias("k"), F.lit(0).alias("s"), *values))
-    ranges = both.groupBy(*bys, "g").agg(F.max("s").alias("has_left"), *ends)
-    return (
-        ranges.withColumns(entries)
-        .where(F.col("has_left") == 1)
-        .select(*bys, "g", F.explode(F.array(*rows)).alias("row"))
-        .where(F.col("row.k").isNotNull())
-        .select(*bys, "g", "row.*")
-    )
+        outer = reduce(DataFrame.unionAll, sent).groupBy("block").agg(*(ends[n](n).alias(f"{n}_outer") for n in rule.sides))
+    outer = outer.select(*(F.col(c).alias(f"o_{c}") for c in [*bys, "block"]), *(f"{n}_outer" for n in rule.sides))
+    inner = spans.withColumns({f"{n}_inner": ahead([*bys, "block"], "g", n) for n in rule.sides})
+    on = [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in [*bys, "block"]]
+    joined = inner.where(F.col("has_left") == 1).join(outer, reduce(and_, on), "left")
+    meet = {"bwd": F.greatest, "fwd": F.least}  # both pass over nulls
+    entering = F.array(*(meet[n](f"{n}_inner", f"{n}_outer") for n in rule.sides))
+    rows = joined.select(*bys, F.explode(entering).alias("k"), F.lit(0).alias("s"), "g")
+    return rows.where(F.col("k").isNotNull())
 
 
 # -------------------------------------------------------------------- parameters

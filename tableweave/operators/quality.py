@@ -116,7 +116,7 @@ def asof_report(
     step_id: str = "",
 ) -> DataFrame:
     """Report of an as-of join from its matches."""
-    used = F.struct(*found.by_names, F.col("hit.k"), F.col("hit.v.o"))
+    used = F.struct(*found.by_names, F.col("hit.k"), F.col("hit.which"))
     matched = found.rows.agg(
         F.count(F.lit(1)).alias("left_rows"),
         F.count("hit").alias("matched_left_rows"),

@@ -98,8 +98,55 @@ def test_split_plan_has_no_window_over_a_whole_side(spark, many_ranges):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     windows = [line for line in plan.splitlines() if "Window" in line]
-    # without by-keys only the one-row-per-range step orders everything at once
-    assert any("[g#" in line for line in windows)
+    assert any("[g#" in line for line in windows) and "SinglePartition" not in plan
+
+
+def test_right_columns_meet_only_the_last_joins(spark, many_ranges, no_broadcast):
+    """Ranges, windows and the carried keys see (by, key) alone; each side's rows are read for their keys and once whole."""
+    left = spark.createDataFrame([(i % 3, i, f"left {i}") for i in range(300)], "b long, k long, wide_left string")
+    right = spark.createDataFrame([(i % 3, i, f"right {i}") for i in range(0, 300, 7)], "c long, r long, wide_right string")
+    found = tw.asof_matches(left, right, "k", "r", ["b"], ["c"], "nearest")
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    payload = [f"{n.name}#" for n in found.layout.right.schema.fields][2:]
+    for line in plan.splitlines():
+        if "Window" in line or "Sort [" in line and " g#" in line:
+            assert "v#" not in line and not any(p in line for p in payload)
+    assert "SinglePartition" not in plan
+    assert found.rows.where("hit is not null").count() == 300
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("by", [True, False])
+def test_carried_over_many_empty_ranges(spark, many_ranges, direction, by):
+    """Right rows only at both ends and in one by-group; null by-keys match."""
+    left = [(None if i % 4 == 0 else i % 2, i) for i in range(400)]
+    right = [(None, 3, "a"), (None, 3, "z"), (1, -5, "c"), (1, 390, "d"), (0, 1000, "e")]
+    df = tw.asof_join(
+        spark.createDataFrame(left, "b long, k long"), spark.createDataFrame(right, "c long, r long, name string"),
+        "k", "r", ["b"] if by else [], ["c"] if by else [], direction,
+    )
+
+    def best(b, k):
+        rows_ = [(r, n) for c, r, n in right if not by or c == b]
+        back = max((x for x in rows_ if x[0] <= k), default=None)
+        ahead = min((x for x in rows_ if x[0] >= k), default=None)
+        if direction != "nearest":
+            return back if direction == "backward" else ahead
+        if back is None or ahead is None:
+            return back or ahead
+        return ahead if ahead[0] - k < k - back[0] else back
+
+    got = {(r.b, r.k): (None if r.name is None else (r.r, r.name)) for r in df.collect()}
+    assert got == {(b, k): best(b, k) for b, k in left}
+
+
+def test_equal_right_rows_count_one_by_one(spark):
+    """Of two equal right rows nearest uses both: one looking back, one looking ahead."""
+    left = spark.createDataFrame([(9,), (11,)], "k long")
+    right = spark.createDataFrame([(10, "x"), (10, "x"), (50, "y")], "r long, v string")
+    found = tw.asof_matches(left, right, "k", "r", direction="nearest")
+    report = only(tw.asof_report(left, right, found, "nearest"))
+    assert (report["matched_right_rows"], report["unmatched_right_rows"]) == (2, 1)
 
 
 def test_an_exploded_hot_group_is_split(spark, monkeypatch):
@@ -109,7 +156,7 @@ def test_an_exploded_hot_group_is_split(spark, monkeypatch):
     right = spark.range(3).selectExpr("'one' AS c", "id * 4000 AS r")
     found = tw.asof_matches(left, right, "k", "r", ["b"], ["c"])
     plan = found.rows._jdf.queryExecution().executedPlan().toString()
-    assert any("g#" in line for line in plan.splitlines() if "Window" in line) and "bwd_end" in plan
+    assert any("g#" in line for line in plan.splitlines() if "Window" in line) and "bwd_outer" in plan
     assert rows(tw.asof_output(found).groupBy("r").count()) == [(0, 3999), (4000, 4000), (8000, 2001)]
 
 
