@@ -88,6 +88,24 @@ _RUN_SCHEMA = pa.schema([
 ])
 
 
+def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The lower-cased bytes of a run, and (starts, ends, row, piece, hash) of its words.
+
+    Found slice by slice, as the arrays on the way are many times a slice's bytes.
+    """
+    text, parts, pieces = LOWER[data], [], 0
+    for lo, hi in slices(offsets):
+        part = text[offsets[lo] : offsets[hi]]
+        starts, ends, row, piece = word_places(part, offsets[lo : hi + 1] - offsets[lo])
+        if len(starts):
+            at = int(offsets[lo])
+            parts.append(((starts + at).astype(np.int32), (ends + at).astype(np.int32), (row + lo).astype(np.int32), piece + pieces, span_hashes(part, starts, ends)))
+            pieces += int(piece[-1]) + 1
+    if not parts:
+        return text, [np.zeros(0, np.int64)] * 5
+    return text, [np.concatenate(column) for column in zip(*parts)]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, lang) to runs (run, codes) and their words (run, code, lang, word, c)."""
     run = TaskContext.get().partitionId() << _RUN_BITS
@@ -97,14 +115,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(1).dictionary_encode()
         of_row = langs.indices.to_numpy()
         for lo, hi in slices(offsets, RUN_BYTES):
-            text = LOWER[data[offsets[lo] : offsets[hi]]]
-            starts, ends, row, piece = word_places(text, offsets[lo : hi + 1] - offsets[lo])
+            text, (starts, ends, row, piece, names) = _words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             if not len(starts):
                 continue
             if run > last_run:
                 raise PlanError("a partition holds more text than runs can be numbered; split it")
             lang = of_row[lo:hi][row]
-            names = span_hashes(text, starts, ends) + lang.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            names += lang.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             coded = pa.array(names).dictionary_encode()
             code = coded.indices.to_numpy()
             first = np.full(len(coded.dictionary), len(code), np.int64)

@@ -50,6 +50,7 @@ from .shared import stored
 #: results.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 24
 _PART = 1 << 13
+_TOGETHER = 1 << 22  # bytes of sets that go on together
 _VERIFY = 0.25  # cost of what an entry may become, in entries: few become candidates
 
 
@@ -259,16 +260,26 @@ def _prefixes(n: int, percent: int, table):
     return run
 
 
+def _named(ids: pa.Array, rows: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(packed, pa.binary())], ["id", "set"])
+
+
 def _packed(n: int, marked):
     """Whole sets of the documents that the filter names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(marked.value, batch.column(0).cast(pa.int64()).to_numpy())))
-            packed = [s.tobytes() for _, s in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], ["id", "set"]
-            )
+            ids, rows, packed, size = batch.column(0).cast(pa.int64()), [], [], 0
+            for row, found in _sets(batch, n):
+                rows.append(row)
+                packed.append(found.tobytes())
+                size += len(packed[-1])
+                if size >= _TOGETHER:
+                    yield _named(ids, rows, packed)
+                    rows, packed, size = [], [], 0
+            if rows:
+                yield _named(ids, rows, packed)
 
     return run
 

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .copies import numbered_copies, row_hash
 from .shared import stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -39,7 +40,6 @@ SHARD_WORDS = 1_000_000
 _MOST_BLOCKS = 500_000_000
 _TOP_NODES = 64
 _BUCKET_DOCS = 2_000
-_COPIES = 1_000  # copies of equal rows that one task numbers
 _LOT = 16  # copies whose slices go together
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -149,25 +149,6 @@ def _shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     )
 
 
-def _row_hash(documents: DataFrame) -> Column:
-    """Tells rows apart that differ in any column; equal rows may stand for each other."""
-    columns = []
-    for field in documents.schema.fields:
-        column, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType.simpleString()
-        columns.append(column.cast("string") if "map<" in kind or "variant" in kind else column)
-    return F.xxhash64(F.lit("row"), *columns).alias("row_hash")
-
-
-def _copies(units: DataFrame) -> DataFrame:
-    """A row per copy of each unit, numbered; many copies are dealt to many tasks."""
-    lots = units.where(F.col("copies") > _COPIES).select(
-        "*", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_COPIES})")).alias("lot")
-    ).repartition("h", "row_hash", "lot")
-    many = lots.select("*", F.explode(F.expr(f"sequence(lot * {_COPIES}, least((lot + 1) * {_COPIES}, copies) - 1)")).alias("copy"))
-    few = units.where(F.col("copies") <= _COPIES).select("*", F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"))
-    return few.unionAll(many.drop("lot")).drop("copies")
-
-
 def _offsets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """The rows with the offset of their first word in their source's order.
 
@@ -242,10 +223,10 @@ def _mix(
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = documents.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text_col).alias("h"),
-        _row_hash(documents),
+        row_hash(documents).alias("row_hash"),
     )
     units = stored(sized.groupBy("id", "source", "size", "h", "row_hash").agg(F.count("*").alias("copies")))
-    sized = _copies(units)
+    sized = numbered_copies(units, ["h", "row_hash"])
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("rows"))
     sources = stored(sources)
     targets = source_targets(sources.select("source", "source_size"), weights, share, most)
@@ -345,7 +326,7 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     parts = slices.groupBy(*key, F.expr(f"copy div {_LOT}").alias("lot")).agg(
         F.max("size").alias("size"), F.array_sort(F.collect_list(part)).alias("parts")
     )
-    packed = documents.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("h"), _row_hash(documents))
+    packed = documents.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("h"), row_hash(documents).alias("row_hash"))
     joined = packed.dropDuplicates(key).join(parts.drop("lot"), key).select(
         "row", F.col(f"row.{text_col}").cast("string").alias("text"), "size", "parts"
     )

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .copies import numbered_copies
 from .shared import stored
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -77,7 +78,7 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], quadratic: float
 
 def _packer(capacities: tuple[int, ...], quadratic: float):
     def run(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["length", "id", "h", "piece"], ascending=[False, True, True, True], na_position="last")
+        pieces = pieces.sort_values(["length", "id", "h", "piece", "copy"], ascending=[False, True, True, True, True], na_position="last")
         places = best_fit(pieces["length"].tolist(), capacities, quadratic)
         pieces["bin"] = [b for b, _ in places]
         pieces["bin_offset"] = [o for _, o in places]
@@ -109,17 +110,18 @@ def pack(
     most = capacities[-1]
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = stored(documents.select(F.col(id_col).alias("id"), size.alias("size"), F.xxhash64(text_col).alias("h")))
-    pieces = sized.where("size > 0").select(
-        "id", "h", "size", F.explode(F.sequence(F.lit(0), F.expr(f"int((size - 1) div {most})"))).alias("piece")
+    units = sized.where("size > 0").groupBy("id", "h", "size").agg(F.count("*").alias("copies"))
+    pieces = numbered_copies(units, ["h"]).select(
+        "id", "h", "copy", "size", F.explode(F.sequence(F.lit(0), F.expr(f"int((size - 1) div {most})"))).alias("piece")
     )
     kind = dict(sized.dtypes)["id"]  # as text in Python, where a null would make long ids doubles
     pieces = pieces.select(
-        F.col("id").cast("string").alias("id"), "h", "piece", (F.col("piece").cast("long") * most).alias("start"),
+        F.col("id").cast("string").alias("id"), "h", "copy", "piece", (F.col("piece").cast("long") * most).alias("start"),
         F.least(F.lit(most), F.col("size") - F.col("piece").cast("long") * most).cast("long").alias("length"),
     )
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
     placed = (
-        pieces.withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece"), F.lit(shards)))
+        pieces.withColumn("shard", F.pmod(F.xxhash64("id", "h", "piece", "copy"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(
             _packer(capacities, quadratic),

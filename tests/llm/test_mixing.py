@@ -134,3 +134,30 @@ def test_no_rows_and_no_words(spark):
     assert {(r.doc_id, r["size"], r.target, r.taken) for r in mixing.taken_by_document(df).collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
     assert mixing.taken_by_document(df.limit(0)).count() == 0
     assert mixing.mixed_documents(df).count() == 0
+
+
+def test_equal_rows_and_rows_that_differ_elsewhere(spark, no_broadcast):
+    """A third of the rows are one row; others differ only in a column of their own. Reruns agree."""
+    rows = [(1, text(20), "a", 0)] * 2_500 + [(2, text(30, "x"), "a", k) for k in range(40)] + [(i, text(9, "y"), "b", 1) for i in range(10, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    options = {"block_words": 16, "shard_words": 2_000}
+    dealt = mixing.taken_by_document(df, **options).collect()
+    assert len(dealt) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in dealt)
+    out = mixing.mixed_documents(df, **options)
+    words = defaultdict(int)
+    for r in out.collect():
+        words[r.doc_id] += len(r.text.split())
+    taken = defaultdict(int)
+    for r in dealt:
+        taken[r.doc_id] += r.taken
+    assert words == {i: n for i, n in taken.items() if n}
+    again = mixing.mixed_documents(df.repartition(3), **options)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
+def test_texts_are_shuffled_once_before_the_shards(spark, no_broadcast):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(df, block_words=16, shard_words=300)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning(h#" in line and "row_hash#" in line]
+    assert len(texts) == 3  # the texts, and the slices before and after they are grouped

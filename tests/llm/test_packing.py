@@ -96,3 +96,16 @@ def test_sequences_hold_the_texts(spark):
     got = {r.text for r in packing.sequences(df, packed).collect()}
     assert sorted(" ".join(got).split()) == list("abcdexy")
     assert any("a b\nc d" in t for t in got)
+
+
+def test_one_row_in_most_places(spark):
+    """Copies of one row spread over the shards; reruns agree."""
+    rows = [(1, "a b c d e")] * 3_000 + [(2, " ".join("x" * 700))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = packing.pack(df, shard_pieces=500).collect()
+    assert len(out) == 3_001 and sum(r.length for r in out) == 15_700
+    shards = {}
+    for r in out:
+        shards[r.bin.split("-")[0]] = shards.get(r.bin.split("-")[0], 0) + 1
+    assert len(shards) == 7 and max(shards.values()) < 700
+    assert sorted(map(str, out)) == sorted(map(str, packing.pack(df.repartition(3), shard_pieces=500).collect()))

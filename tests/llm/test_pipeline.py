@@ -61,3 +61,17 @@ def test_run_is_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, DATA))
     assert sorted(map(str, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_copies_by_rows(spark):
+    """Two texts under one id, equal rows, rows without an id, and a table without n_chars."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w59", "end")
+    rows = [(5, "another text under the same id", "a"), (5, near, "a"), (2, text, "b"), (2, text, "b"), (2, text, "c"),
+            (None, near, "a"), (None, "only this one", None), (None, "only this one", None), (7, None, "a"), (8, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.first_of_each_group(spark, df, DATA).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(2, text), (5, "another text under the same id"), (None, "only this one"), (7, None), (8, "")], key=str)
+    assert corpus_pipeline.first_of_each_group(spark, df.limit(0), DATA).count() == 0
+    assert corpus_pipeline.without_personal_data(spark, df, DATA).columns == df.columns
