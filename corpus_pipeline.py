@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableweave.llm import jaccard, mixing, packing, quality, sanitise
+from tableweave.llm.copies import row_hash
 from tableweave.llm.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,18 +25,27 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies (five words, similarity of 0.8 or more) leave the smallest doc_id of each group.
+    """Near copies (five words, similarity of 0.8 or more) leave one row of each group.
 
-    Documents without a doc_id are kept.
+    It is one with the smallest doc_id, rows without a doc_id last. Rows are compared, told
+    apart by a hash of all their columns: two texts under one doc_id are two documents, of
+    equal rows one stays.
     """
-    found = jaccard.similar_documents(docs, words=5, percent=80)
-    kept = found.where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), row_hash(docs).alias("number"))
+    keys = stored(rows.select("number", F.col("row.doc_id").alias("doc_id")).distinct())
+    texts = rows.select("number", F.col("row.text").alias("text"))
+    found = jaccard.similar_documents(texts, "number", words=5, percent=80).select("number", "component_id").distinct()
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number")
+    kept = found.join(keys, "number").groupBy("component_id").agg(F.min(first).alias("kept"))
+    return rows.join(kept.select(F.col("kept.number").alias("number")), "number", "left_semi").dropDuplicates(["number"]).select("row.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it are replaced; n_chars follows the text."""
-    return sanitise.sanitised(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = sanitise.sanitised(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixed_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
