@@ -466,6 +466,11 @@ def page_orders(spark: SparkSession, d: str) -> DataFrame:
     return tw.page(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 3, 200)
 
 
+def page_from_directory(spark: SparkSession, d: str) -> DataFrame:
+    """A page from a sorted copy in parts of 500 rows: it spans two of them or lies in one."""
+    return tw.page_directory(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], part_rows=500).page(6, 200)
+
+
 def page_after(spark: SparkSession, d: str) -> DataFrame:
     """The page behind the last row of a page already seen."""
     orders = table(spark, d, "orders")
@@ -810,6 +815,7 @@ def own_queries() -> dict[str, Query]:
         "profile_orders": profile_orders,
         "infer_types": infer_types,
         "page_orders": page_orders,
+        "page_from_directory": page_from_directory,
         "csv_documents": csv_documents,
         "page_after": page_after,
         "page_count": page_count,
@@ -948,6 +954,7 @@ def own_oracle_sql() -> dict[str, str]:
                 CASE WHEN (SELECT avg(CASE WHEN value >= 1 THEN 1.0 ELSE 0.0 END) FROM events) >= 0.9
                      THEN 'number' ELSE 'string' END""",
         "csv_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+        "page_from_directory": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 200 OFFSET 1200",
         "page_orders": "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 200 OFFSET 600",
         "page_after": """
             SELECT * FROM orders WHERE (o_orderpriority, o_orderkey) > ('2-HIGH', 500)

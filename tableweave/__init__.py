@@ -3,7 +3,7 @@
 from .errors import PlanError
 from .operators.asof import asof_join, asof_matches, asof_output
 from .operators.equi import equi_join, unmatched
-from .operators.paging import page, page_count
+from .operators.paging import PageDirectory, page, page_count, page_directory
 from .operators.preagg import pre_aggregate
 from .operators.prepare import override_types, prepare, project
 from .operators.profile import infer_types, profile

@@ -1,17 +1,27 @@
-"""Pages of a table in a given order."""
+"""Pages of a table in a given order.
+
+A page near the start is a top-k, bounded by the request. For one far behind, ``page``
+counts its way to it each time; ``page_directory`` sorts the table once over the cluster
+and keeps the row counts of its parts, so that any page reads the parts that hold it.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..errors import PlanError
 from ..functions.columns import col, require_columns
+from ..session import shared_folder, stored
 
 DEFAULT_PAGE_SIZE = 200
 MAX_PAGE_SIZE = 1000
@@ -19,6 +29,8 @@ MAX_PAGE_SIZE = 1000
 KEEP_ROWS = 20 * MAX_PAGE_SIZE
 SAMPLE_ROWS = 2_000
 CUTS = 64
+PART_ROWS = 50_000  # rows of a part of a page directory
+PART = "__part"
 
 
 def page_size(value: object) -> int:
@@ -44,8 +56,8 @@ def page(
 ) -> DataFrame:
     """Page ``number`` (from 0) in the order of ``order_by``, which must be total.
 
-    The start of a page behind the first is found by counting, in jobs run when the
-    page is planned. To walk on from a page at hand, pass the order values of its last
+    A page whose end lies within ``KEEP_ROWS`` rows is one top-k. The start of a page
+    behind that is found by counting, in jobs run when the page is planned. To walk on from a page at hand, pass the order values of its last
     row as ``after``: the next page then needs no counting.
     """
     if not order_by:
@@ -57,13 +69,77 @@ def page(
         if len(after) != len(order_by):
             raise PlanError("after needs one value per order column")
         return df.where(_behind(order_by, after)).orderBy(*order).limit(rows)
+    skip = page_number(number) * rows
+    if skip + rows <= KEEP_ROWS:
+        return df.orderBy(*order).offset(skip).limit(rows)
     pieces = [
         part.orderBy(*order).offset(skip).limit(take)
-        for part, skip, take in _locate(df, list(order_by), page_number(number) * rows, rows)
+        for part, skip, take in _locate(df, list(order_by), skip, rows)
     ]
     return reduce(lambda a, b: a.unionAll(b), pieces)
 
 
+@dataclass(frozen=True)
+class PageDirectory:
+    """A table sorted into parts, one folder each below ``path``, and ``starts``: (part,
+    rows, start), the rows of each part and of all parts before it."""
+
+    path: str
+    starts: DataFrame
+    order_by: tuple[str, ...]
+    schema: T.StructType
+    rows: int
+
+    def page(self, number: object = 0, size: object = DEFAULT_PAGE_SIZE) -> DataFrame:
+        """Page ``number`` (from 0), in order; empty behind the last one.
+
+        One job over ``starts`` finds the parts; only their folders are read.
+        """
+        take = page_size(size)
+        skip = page_number(number) * take
+        holds = (F.col("start") < skip + take) & (F.col("start") + F.col("rows") > skip)
+        parts = self.starts.where(holds).orderBy("start").collect()  # at most ``take`` parts, mostly one
+        spark = self.starts.sparkSession
+        if not parts:
+            return spark.createDataFrame([], self.schema)
+        rows = spark.read.schema(self.schema).parquet(*(f"{self.path}/{PART}={p.part}" for p in parts))
+        order = [col(n).asc_nulls_first() for n in self.order_by]
+        return rows.orderBy(*order).offset(skip - parts[0].start).limit(take)
+
+    def pages(self, size: object = DEFAULT_PAGE_SIZE) -> int:
+        return math.ceil(self.rows / page_size(size))
+
+
+def page_directory(df: DataFrame, order_by: Sequence[str], part_rows: int = PART_ROWS) -> PageDirectory:
+    """Sort ``df`` by ``order_by``, which must be total, into parts of about ``part_rows`` rows.
+
+    Rows are counted, sorted over the cluster and written below ``spark.checkpoint.dir``
+    once. Row counts of parts are summed by groups of parts first, so that no task orders
+    all of them.
+    """
+    if not order_by:
+        raise PlanError("paging needs an order")
+    require_columns(df, order_by, "order columns")
+    total = df.count()
+    parts = max(1, math.ceil(total / part_rows))
+    order = [col(n).asc_nulls_first() for n in order_by]
+    path = shared_folder(df.sparkSession)
+    placed = df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
+    placed.sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(path)
+    written = df.sparkSession.read.schema(placed.schema).parquet(path)
+    counts = written.groupBy(F.col(PART).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    span = max(1, math.isqrt(parts))
+    counts = counts.withColumn("group", F.expr(f"part div {span}"))
+    before = lambda part, by: F.sum("rows").over(
+        Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    ) - F.col("rows")
+    inner = counts.withColumn("inner", before(["group"], "part"))
+    groups = counts.groupBy("group").agg(F.sum("rows").alias("rows"))
+    outer = groups.select("group", before([], "group").alias("outer"))
+    starts = inner.join(outer, "group").select("part", "rows", (F.col("inner") + F.col("outer")).alias("start"))
+    return PageDirectory(path, stored(starts), tuple(order_by), df.schema, total)
+
+
 def _locate(
     df: DataFrame, names: list[str], skip: int, take: int
 ) -> list[tuple[DataFrame, int, int]]:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import tableweave as tw
 from tableweave.errors import PlanError
@@ -134,3 +135,22 @@ def test_any_name_matches_in_both_directions(spark):
     assert hit(["pump"]) == [1, 2]
     assert hit(["Pump Trip High", "x"]) == [1, 2]
     assert hit([]) == hit([" "]) == [1, 2, 3, 4, 5, 6]
+
+
+def test_page_directory(spark):
+    """Every page equals the plain sort's; a page reads the parts that hold it, wherever it lies."""
+    rows_ = [(None if i % 7 == 0 else i % 5, i, f"text {i}") for i in range(1_000)]
+    df = spark.createDataFrame(rows_, "a int, b long, __x string").repartition(3)
+    directory = tw.page_directory(df, ["a", "b"], part_rows=90)
+    whole = [tuple(r) for r in df.orderBy(F.col("a").asc_nulls_first(), "b").collect()]
+    assert (directory.rows, directory.pages(30)) == (1_000, 34)
+    for number in (0, 3, 5, 17, 32, 33):
+        found = directory.page(number, 30)
+        assert [tuple(r) for r in found.collect()] == whole[number * 30 : number * 30 + 30]
+        assert len({f.rsplit("/", 2)[1] for f in found.inputFiles()}) <= 2
+    assert directory.page(34, 30).collect() == [] and directory.page(34, 30).columns == df.columns
+    assert [tuple(r) for r in directory.page(0, 1_000).collect()] == whole
+    empty = tw.page_directory(df.limit(0), ["a", "b"])
+    assert (empty.rows, empty.pages(), empty.page(0).collect()) == (0, 0, [])
+    with pytest.raises(PlanError):
+        tw.page_directory(df, [])
