@@ -37,7 +37,7 @@ from ..errors import PlanError
 from .arrays import LOWER, slices, span_hashes, text_bytes
 from .shared import stored
 
-RUN_BYTES = 1 << 24
+RUN_BYTES = 1 << 22
 #: A place in a run, a run in its task, a task: 30, 12 and 21 bits of one number.
 _CODE_BITS, _RUN_BITS = 30, 12
 _LANG = "coalesce(cast({} as string), 'und')"
