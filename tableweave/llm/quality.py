@@ -70,6 +70,9 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     breaks = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))
     lines = np.zeros(len(h))
     lines[1:] = np.minimum(breaks[starts[1:]] - breaks[starts[:-1]], 4)
+    # A row's first word has none before it, whatever row stands there.
+    opening = rows[:-1][counts > 0]
+    same[opening] = lines[opening] = 0
 
     passage = np.repeat(np.arange(len(n)), n)
     key = np.sort((passage.astype(np.uint64) << np.uint64(20)) | (h & np.uint64(0xFFFFF)))

@@ -66,6 +66,30 @@ def test_equal_to_all_pairs(spark, words, percent):
     assert found(df, words=words, percent=percent) == brute(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 70])
+def test_low_similarities_of_long_texts(spark, percent):
+    """Copies with so many changes that pairs lie around the threshold, of very unlike sizes too."""
+    rng = random.Random(percent)
+    rows = []
+    for base in range(5):
+        original = [f"{base}w{rng.randrange(4_000)}" for _ in range(rng.choice([300, 900, 2_000]))]
+        for _ in range(14):
+            copy = list(original)
+            for _ in range(int(len(copy) * rng.uniform(0, 0.9 - percent / 130))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            if rng.random() < 0.5:
+                copy = copy[: int(len(copy) * rng.uniform(percent / 110, 1))]
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 1, percent)
+    assert 6 < len({c for _, c in want.values()}) < 69
+    assert found(df, words=1, percent=percent) == want
+
+
+def test_tables_grow_with_the_input():
+    assert [jaccard.counters_for(n) for n in (0, 10, 10**5, 10**6, 10**12)] == [1 << 18, 1 << 18, 1 << 19, 1 << 22, 1 << 24]
+
+
 def test_whole_table(spark):
     data = Path("/root/testdata/sf0.001/documents.parquet")
     if not data.exists():

@@ -1,9 +1,12 @@
+import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tableweave.llm import quality
+from tableweave.llm.arrays import LOWER, span_hashes
 
 
 def one(text):
@@ -85,3 +88,59 @@ def test_nulls_empty_and_no_labels(spark):
     assert quality.accepted(df, None).columns == df.columns and quality.accepted(df, None).count() == 4
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.train(df, none) is None
+
+
+def plain_score(model, text):
+    """The score from a loop over passages and words."""
+    raw = text.encode()
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    hashes = span_hashes(LOWER[np.frombuffer(raw, np.uint8)], *(np.array([f(w) for w in words], np.int64) for f in (lambda w: w[0], lambda w: w[0] + len(w[1]))))
+    cells, gates = [], []
+    for lo in range(0, max(len(words), 1), quality.PASSAGE):
+        part = range(lo, min(lo + quality.PASSAGE, len(words)))
+        n = max(len(part), 1)
+        count = lambda w, low, high: sum(low <= b <= high for b in w)
+        rows, embedded = [], np.zeros(quality._EMBED)
+        for i in part:
+            w = words[i][1]
+            upper, lower = count(w, 65, 90), count(w, 97, 122)
+            mark = sum(33 <= b <= 126 and not chr(b).isalnum() for b in w)
+            gap = raw[words[i - 1][0] + len(words[i - 1][1]) : words[i][0]].count(b"\n") if i else 0
+            rows.append([len(w), upper, count(w, 48, 57), mark, sum(b >= 0xC0 for b in w), upper > 1 and lower == 0, mark > 1,
+                         len(w) == 1 and mark == 1, i > 0 and hashes[i] == hashes[i - 1], min(gap, 4)])
+            embedded += model.p["E"][int(hashes[i] % np.uint64(quality.BUCKETS))]
+        mean = np.array(rows, float).sum(0) / n if rows else np.zeros(10)
+        size = max(mean[0], 1e-9)
+        distinct = len({int(h & np.uint64(0xFFFFF)) for h in hashes[lo : lo + quality.PASSAGE]})
+        form = np.array([mean[0] / 10, *(mean[1:5] / size), *mean[5:], distinct / n, np.log1p(len(part)) / 5]).astype(np.float32)
+        x = np.concatenate([embedded / n, (form - model.center) / model.scale])
+        h = np.tanh(x @ model.p["W"] + model.p["b"])
+        cells.append(h)
+        gates.append((np.tanh(h @ model.p["V"]) / (1 + np.exp(-(h @ model.p["U"])))) @ model.p["w"])
+    weight = np.exp(np.array(gates) - max(gates))
+    z = (weight / weight.sum()) @ np.array(cells)
+    return 1 / (1 + np.exp(-(z @ model.p["c"] + model.p["c0"][0] + model.shift)))
+
+
+def test_score_equals_a_plain_loop(spark):
+    """Whatever stands in the rows around a text."""
+    model = quality.Model(3)
+    model.center, model.scale, model.shift = np.full(quality.FORMS, 0.1), np.full(quality.FORMS, 0.7), 0.3
+    rng = np.random.default_rng(1)
+    words = ["The", "the", "ABC", "x1", "é", "#", "--", "word,", "\n", "\n\n"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in (0, 1, 5, 99, 100, 101, 250, 1000)] + ["", " \n", "the", "The\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in quality.scored(df, model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(model, text), abs=1e-6)
+
+
+def test_training_reads_every_passage(spark):
+    """A long document whose bad part is one passage of 400 counts as all of it."""
+    long = " ".join(["fine words here"] * 20_000) + " BUY $$$ NOW " * 30
+    batch = pa.RecordBatch.from_pydict({"label": [1.0, 0.0], "text": [long, None]})
+    (out,) = quality._encoded(iter([batch]))
+    per = np.frombuffer(out.column("per")[0].as_py(), np.int32)
+    assert per.sum() == 60_090 and len(per) == 601 and len(out.column("forms")[0].as_py()) == 601 * quality.FORMS * 4
+    steps = quality._steps(np.array([0, 1, 2, 3]), np.array([3_000, 1_000, 9_000, 10]), 128)
+    assert [list(s) for s in steps] == [[0, 1], [2], [3]]
