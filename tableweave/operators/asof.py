@@ -88,12 +88,13 @@ class AsofMatches:
     rows: DataFrame
     layout: JoinLayout
     by_names: tuple[str, ...]
+    right: DataFrame  # all right rows as (b0, b1, …, k, v)
 
-    def right_row(self) -> list[Column]:
-        """Columns r0, r1, … of the matched right row."""
-        parts = self.rows.schema["hit"].dataType["v"].dataType.fields
+    def right_row(self, v: str = "hit.v") -> list[Column]:
+        """Columns r0, r1, … of a right row, by default the matched one."""
+        parts = self.right.schema["v"].dataType.fields
         where = {f.name: part.name for part in parts for f in part.dataType.fields}
-        return [F.col(f"hit.v.{where[n]}.{n}").alias(n) for n in self.layout.right.columns]
+        return [F.col(f"{v}.{where[n]}.{n}").alias(n) for n in self.layout.right.columns]
 
 
 @dataclass(frozen=True)
@@ -234,10 +235,9 @@ def asof_matches(
         *by_columns([layout.r(n) for n in right_by]),
         key(layout.r(right_on), "right"),
         F.struct(*parts).alias("v"),
-    ).where(F.col("k").isNotNull())
-
-    rows = _matched(L, R, layout.left.columns, bys, rule)
-    return AsofMatches(rows, layout, tuple(bys))
+    )
+    rows = _matched(L, R.where(F.col("k").isNotNull()), layout.left.columns, bys, rule)
+    return AsofMatches(rows, layout, tuple(bys), R)
 
 
 # ---------------------------------------------------------------------- the plan

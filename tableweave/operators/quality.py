@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import col
 from .asof import AsofMatches
-from .equi import check_keys
+from .equi import KeyDirectory, check_keys, key_directory
 from .union import UnionLayout
 
 DEFAULT_GROWTH_LIMIT = 10.0
@@ -57,30 +57,17 @@ def equi_report(
     growth_limit: float = DEFAULT_GROWTH_LIMIT,
     step_id: str = "",
     details: Mapping[str, object] | None = None,
+    directory: KeyDirectory | None = None,
 ) -> DataFrame:
     """Report of an equi join, without running the join.
 
     Both tables are counted per key in one aggregation (grouping treats null as a
-    value, as the join does); every figure is a sum over that histogram. A hot key
-    is combined on the map side.
+    value, as the join does), unless the step's ``directory`` has the counts; every figure
+    is a sum over them. A hot key is combined on the map side.
     """
     check_keys(left, right, left_keys, right_keys)
-    keys = [f"k{i}" for i in range(len(left_keys))]
-
-    def side(df: DataFrame, names: Sequence[str], lc: int, rc: int) -> DataFrame:
-        return df.select(
-            *(col(n).alias(k) for n, k in zip(names, keys)),
-            F.lit(lc).cast("long").alias("lc"),
-            F.lit(rc).cast("long").alias("rc"),
-        )
-
-    counts = (
-        side(left, left_keys, 1, 0)
-        .unionAll(side(right, right_keys, 0, 1))
-        .groupBy(*keys)
-        .agg(F.sum("lc").alias("lc"), F.sum("rc").alias("rc"))
-    )
-    lc, rc = F.col("lc"), F.col("rc")
+    counts = (directory or key_directory(left, right, left_keys, right_keys)).rows
+    lc, rc = F.col("left_count"), F.col("right_count")
     pairs = F.coalesce(F.sum(lc.cast("decimal(19,0)") * rc.cast("decimal(19,0)")), F.lit(0))
 
     def total(value: Column, where: Column | None = None) -> Column:
@@ -106,6 +93,16 @@ def equi_report(
     )
 
 
+def with_row_counts(report: DataFrame, before: DataFrame) -> DataFrame:
+    """The report of a step on a pre-aggregated right table, with the rows before and after
+    in its details: ``before`` is counted in the report's own job."""
+    counted = _one_row(report, before.agg(F.count(F.lit(1)).alias("__before")))
+    # Details end with the braces of the aggregation and of themselves.
+    rows = F.format_string(', "input_rows": %d, "output_rows": %d}}', F.col("__before"), F.col("right_rows"))
+    details = F.concat(F.regexp_replace("details", r"\}\}$", ""), rows)
+    return counted.withColumn("details", details).select(*(f.name for f in REPORT_SCHEMA.fields))
+
+
 def asof_report(
     left: DataFrame,
     right: DataFrame,
@@ -140,17 +137,26 @@ def asof_unmatched_left(found: AsofMatches) -> DataFrame:
 def asof_unmatched_right(found: AsofMatches) -> DataFrame:
     """Right rows never used. Equal rows count one by one, as in EXCEPT ALL.
 
-    Rows are told apart by the columns that have an order; maps travel along.
+    A key names its row where it has only one. Of several, those that equal the used first
+    or last one are told apart by the columns that have an order (maps travel along) and
+    numbered, and one of them goes; no other rows pass through a window.
     """
-    names = found.rows.schema["hit"].dataType["v"].dataType["o"].dataType.fieldNames()
-    used = found.rows.where(F.col("hit").isNotNull()).select(
-        *(F.col(f"hit.v.o.{n}").alias(f"u_{n}") for n in names)
-    ).distinct()
-    copies = Window.partitionBy(*names).orderBy(F.lit(0))
-    rows = found.layout.right.withColumn("__copy", F.row_number().over(copies))
-    same = reduce(and_, (F.col(n).eqNullSafe(F.col(f"u_{n}")) for n in names))
-    unused = rows.join(used, same & (F.col("__copy") == 1), "left_anti")
-    return unused.drop("__copy").toDF(*found.layout.right_names)
+    bys, hit = found.by_names, found.rows.where(F.col("hit").isNotNull())
+    which, ordered = F.col("hit.which"), F.col("hit.v.o")
+    used = hit.groupBy(*(F.col(b).alias(f"u_{b}") for b in bys), F.col("hit.k").alias("u_k")).agg(
+        F.max(which == 0).alias("only"),
+        F.max(F.when(which == 1, ordered)).alias("first"), F.max(F.when(which == 2, ordered)).alias("last"),
+    )
+    same = reduce(and_, (F.col(b).eqNullSafe(F.col(f"u_{b}")) for b in bys), F.col("k").eqNullSafe(F.col("u_k")))
+    rows = found.right.join(used, same, "left").where(F.col("u_k").isNull() | ~F.col("only"))
+    # How many rows equal to this one are used.
+    uses = sum((F.col("v.o").eqNullSafe(F.col(c)) & F.col(c).isNotNull()).cast("int") for c in ("first", "last"))
+    rows = rows.withColumn("uses", F.when(F.col("u_k").isNull(), 0).otherwise(uses))
+    kept = rows.where(F.col("uses") == 0)
+    equal = Window.partitionBy(*bys, "k", "v.o").orderBy("uses")
+    some = rows.where(F.col("uses") > 0).withColumn("n", F.row_number().over(equal)).where(F.col("n") > F.col("uses"))
+    unused = kept.unionAll(some.drop("n")).select(*found.right_row("v"))
+    return unused.toDF(*found.layout.right_names)
 
 
 def union_report(

@@ -448,6 +448,12 @@ def to_wide(
     )
 
 
+def _of_distinct(rows: DataFrame, name: str, test: Column) -> DataFrame:
+    """Rows whose value passes a test that runs once per distinct value, not per row."""
+    passing = rows.select(name).distinct().where(test).select(col(name).alias("__passing"))
+    return rows.join(passing, col(name).eqNullSafe(F.col("__passing")), "left_semi")
+
+
 def event_frames(
     df: DataFrame,
     template: str = "",
@@ -484,9 +490,9 @@ def event_frames(
     wanted = match_key(template)
     if wanted:
         key = F.coalesce(match_key_column("template"), F.lit(""))
-        rows = rows.where((key == "") | (key == wanted))
+        rows = _of_distinct(rows, "template", (key == "") | (key == wanted))
     if any(match_key(a) for a in analyses):
-        rows = rows.where(matches_any_name(match_keys_column("analysis"), analyses))
+        rows = _of_distinct(rows, "analysis", matches_any_name(match_keys_column("analysis"), analyses))
     end_type = type_of(df, "end_time")
     length = micros(finish, end_type) - micros(begin, dtype)
     return rows.select(

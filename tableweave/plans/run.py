@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 from ..functions.columns import require_columns
 from ..operators.asof import AsofMatches, asof_matches, asof_output
-from ..operators.equi import equi_join, unmatched
+from ..operators.equi import KeyDirectory, equi_join, key_directory, stored_directory, unmatched
 from ..operators.preagg import normalize_rules, pre_aggregate
 from ..operators.prepare import prepare
 from ..operators.quality import (
@@ -25,12 +25,14 @@ from ..operators.quality import (
     empty_extract,
     equi_report,
     union_report,
+    with_row_counts,
 )
 from ..operators.union import DEFAULT_SOURCE_COLUMN, union_layout, union_mapped
 from ..session import checkpointed
 from ..sources.csvfiles import read_csv, write_csv
 from ..sources.jdbc import Database, read_sql
 from ..sources.workbooks import read_workbooks
+from .cache import KeptStep, StepCache, step_key, table_key
 from .series_query import SeriesQuery, series_table
 from .specs import PlanSpec, Recipe, StepSpec, TableSpec, recipe_from_json
 
@@ -39,7 +41,11 @@ PREVIEW_ROWS = 200
 
 @dataclass
 class StepResult:
-    """Result of one step. Every part is a lazy DataFrame, made when asked for."""
+    """Result of one step. Every part is a lazy DataFrame, made when asked for.
+
+    Parts of an equi join share one stored count of both sides' keys, made with the first
+    part that needs it.
+    """
 
     step: StepSpec
     left: DataFrame
@@ -47,6 +53,11 @@ class StepResult:
     growth_limit: float
     details: dict = field(default_factory=dict)
     matches: AsofMatches | None = None
+    before: DataFrame | None = None  # the right table before pre-aggregation
+
+    @cached_property
+    def directory(self) -> KeyDirectory:
+        return stored_directory(key_directory(self.left, self.right, self.step.left_keys, self.step.right_keys))
 
     @cached_property
     def output(self) -> DataFrame:
@@ -61,10 +72,12 @@ class StepResult:
         if self.matches is not None:
             return asof_output(self.matches)
         groups = set(step.right_pre_agg_group_keys or step.right_keys)
+        unique = step.right_pre_agg_enabled and groups <= set(step.right_keys)
+        counted = step.join_type in ("right", "outer") or step.join_type == "left" and not unique
         return equi_join(
             self.left, self.right, step.left_keys, step.right_keys, step.join_type,
-            step.conflict_policy, step.suffixes,
-            right_unique=step.right_pre_agg_enabled and groups <= set(step.right_keys),
+            step.conflict_policy, step.suffixes, right_unique=unique,
+            directory=self.directory if counted else None,
         )
 
     @cached_property
@@ -81,10 +94,11 @@ class StepResult:
                 self.left, self.right, self.matches, step.asof_direction, step.asof_tolerance,
                 self.growth_limit, step.step_id,
             )
-        return equi_report(
+        report = equi_report(
             self.left, self.right, step.left_keys, step.right_keys, step.join_type,
-            self.growth_limit, step.step_id, self.details,
+            self.growth_limit, step.step_id, self.details, self.directory,
         )
+        return report if self.before is None else with_row_counts(report, self.before)
 
     @cached_property
     def unmatched_left(self) -> DataFrame:
@@ -92,7 +106,9 @@ class StepResult:
             return empty_extract(self.left)
         if self.matches is not None:
             return asof_unmatched_left(self.matches)
-        return unmatched(self.left, self.right, self.step.left_keys, self.step.right_keys)
+        return unmatched(
+            self.left, self.right, self.step.left_keys, self.step.right_keys, self.directory, "left"
+        )
 
     @cached_property
     def unmatched_right(self) -> DataFrame:
@@ -100,7 +116,9 @@ class StepResult:
             return empty_extract(self.right)
         if self.matches is not None:
             return asof_unmatched_right(self.matches)
-        return unmatched(self.right, self.left, self.step.right_keys, self.step.left_keys)
+        return unmatched(
+            self.right, self.left, self.step.right_keys, self.step.left_keys, self.directory, "right"
+        )
 
 
 @dataclass
@@ -130,6 +148,7 @@ def run_step(
         )
     elif step.operation == "join" and step.right_pre_agg_enabled:
         groups = list(step.right_pre_agg_group_keys or step.right_keys)
+        result.before = right
         result.right = pre_aggregate(
             right, groups, step.right_pre_agg_rules, step.right_pre_agg_weight_col or None,
             step.right_pre_agg_order_by,
@@ -246,9 +265,16 @@ def run_recipe(
     rows: int | None = None,
     now: datetime | None = None,
     checkpoint: bool = False,
+    cache: str | None = None,
 ) -> PlanResult:
     """Run a recipe; ``locations`` says where each table id is found, ``rows`` reads
-    only the first rows of each table for a preview."""
+    only the first rows of each table for a preview.
+
+    With a folder ``cache``, shared by all executors, results of steps are written there
+    and read by later runs for as long as their files, tables and steps, and those before
+    them, stay the same; see ``plans.cache``. Steps that read a DataFrame or a database,
+    and those behind them, are not kept.
+    """
     if isinstance(recipe, str):
         recipe = recipe_from_json(recipe)
     else:
@@ -257,7 +283,49 @@ def run_recipe(
     def load(table_id: str) -> DataFrame:
         return load_table(spark, recipe.table(table_id), locations.get(table_id), rows, now)
 
-    return run_plan(load, recipe.join_plan, checkpoint)
+    if cache is None:
+        return run_plan(load, recipe.join_plan, checkpoint)
+    # A relative time range means other rows at another time.
+    relative = lambda t: any("*" in str(v) for v in t.source_options.values())
+    keys = {
+        t.table_id: None if relative(t) else table_key(spark, t, locations.get(t.table_id), rows)
+        for t in recipe.tables if t.table_id in recipe.join_plan.table_ids()
+    }
+    return _run_kept(load, recipe.join_plan, keys, StepCache(spark, cache))
+
+
+def _run_kept(load: Callable[[str], DataFrame], plan: PlanSpec, tables: Mapping[str, str | None], cache: StepCache) -> PlanResult:
+    """The plan, from the last step on whose result the cache has."""
+    plan.check()
+    before, keys = tables[plan.base_table_id], []
+    for step in plan.steps:
+        before = step_key(before, tables[step.right_table_id], step, plan.row_explosion_warn_ratio)
+        keys.append(before)
+    loaded: dict[str, DataFrame] = {}
+
+    def table(table_id: str) -> DataFrame:
+        if table_id not in loaded:
+            loaded[table_id] = load(table_id)
+        return loaded[table_id]
+
+    steps: list[StepResult | KeptStep] = []
+
+    def left_of(i: int) -> DataFrame:
+        return steps[i - 1].output if i else table(plan.base_table_id)
+
+    def made(i: int) -> StepResult:
+        step = plan.steps[i]
+        return run_step(left_of(i), table(step.right_table_id), step, plan.row_explosion_warn_ratio)
+
+    for i, (step, key) in enumerate(zip(plan.steps, keys)):
+        if not cache.has(key):
+            result = made(i)
+            if key is None:
+                steps.append(result)
+                continue
+            cache.write(key, result)
+        steps.append(cache.read(key, step, lambda i=i: made(i)))
+    return PlanResult(left_of(len(plan.steps)), steps)
 
 
 def write_result(result: DataFrame, recipe: Recipe, path: str, mode: str = "errorifexists") -> None:
@@ -278,24 +346,35 @@ def log_entry(
 ) -> DataFrame:
     """One log row of a run: inputs, step reports, final shape and status.
 
-    Input rows are counted; output rows are those of the last step's report. Nothing
-    but counts is collected.
+    All reports are one action. Row counts come from them: a step's report counts its left
+    and right table (before pre-aggregation, if any); only inputs that no step has read
+    are counted by themselves.
     """
+    found = [] if result is None or not result.steps else [r.asDict(recursive=True) for r in result.reports().collect()]
+    place = {s.step.step_id: i for i, s in enumerate(result.steps)} if found else {}
+    if found and len(place) == len(found):
+        found.sort(key=lambda r: place[r["step_id"]])
+    counted = {}
+    for step, report in zip(result.steps if found else [], found):
+        before = json.loads(report["details"] or "{}").get("right_pre_aggregation", {}).get("input_rows")
+        counted[step.step.right_table_id] = report["right_rows"] if before is None else before
+    if found:
+        counted[recipe.join_plan.base_table_id] = found[0]["left_rows"]
     files = []
     for table in recipe.tables:
         df = (inputs or {}).get(table.table_id)
+        rows = counted.get(table.table_id)
+        if rows is None and df is not None:
+            rows = df.count()
         files.append(F.struct(
             F.lit(table.table_id).alias("table_id"),
             F.lit(table.table_name).alias("table_name"),
             F.lit(table.source_file_name).alias("file_name"),
             F.lit(table.source_kind).alias("source_kind"),
             F.lit(table.file_hash).cast("string").alias("sha256"),
-            F.lit(None if df is None else df.count()).cast("long").alias("rows"),
+            F.lit(None if df is None else rows).cast("long").alias("rows"),
             F.lit(None if df is None else len(df.columns)).cast("long").alias("cols"),
         ))
-    found = [] if result is None or not result.steps else [
-        s.report.first().asDict(recursive=True) for s in result.steps
-    ]
     reports = [json.dumps(r, ensure_ascii=False) for r in found]
     if result is None:
         shape = [0, 0]

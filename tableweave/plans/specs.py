@@ -246,6 +246,10 @@ def recipe_from_json(text: str) -> Recipe:
         data = json.loads(text)
     except json.JSONDecodeError as exc:
         raise PlanError(f"the recipe is not JSON: {exc}") from exc
+    for table in data.get("tables") or [] if isinstance(data, Mapping) else []:
+        if isinstance(table, dict) and "table_name" not in table:
+            # A table without a name has that of its file, or its id.
+            table["table_name"] = table.get("source_file_name", table.get("table_id"))
     recipe = from_data(Recipe, data)
     recipe.check()
     return recipe

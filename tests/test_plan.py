@@ -155,6 +155,7 @@ def test_pre_aggregation_in_a_step(spark):
     assert report["right_rows"] == 2  # counted after the aggregation
     details = json.loads(report["details"])["right_pre_aggregation"]
     assert details["group_keys"] == ["lot_ref"] and details["rules"] == {"q": {"method": "weighted_mean", "formula": ""}}
+    assert (details["input_rows"], details["output_rows"]) == (3, 2)
     with pytest.raises(PlanError, match="weight"):
         tw.run_step(left, right, tw.StepSpec(
             "s", "r", left_keys=("lot",), right_keys=("lot_ref",), right_pre_agg_enabled=True,
@@ -170,17 +171,79 @@ def test_historian_table_in_a_plan(spark):
     assert rows(tw.load_table(spark, spec, long)) == [(2.0, 1.0)]
 
 
-def test_result_and_log(spark, tmp_path):
+def test_result_and_log(spark, tmp_path, monkeypatch):
     one = tw.recipe_from_json(json.dumps(recipe()))
     locations = folder(tmp_path)
     result = tw.run_recipe(spark, one, locations)
     write_result(result.output, one, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 4
     orders = tw.load_table(spark, one.tables[0], locations["orders"])
+    frame = type(orders)
+    monkeypatch.setattr(frame, "count", lambda self: pytest.fail("rows are known from the reports"))
     entry = log_entry(spark, one, result, {"orders": orders})
+    monkeypatch.undo()
     append_log(entry, str(tmp_path / "log"))
     append_log(log_entry(spark, one, None, status="error", error="broken"), str(tmp_path / "log"))
     good, bad = spark.read.json(str(tmp_path / "log")).orderBy("status", ascending=False).collect()
     assert (good.status, good.final_shape, good.input_files[0].rows) == ("success", [4, 4], 3)
     assert json.loads(good.step_reports[0])["matched_left_rows"] == 2
     assert (bad.status, bad.error, bad.step_reports) == ("error", "broken", [])
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_one_count_of_the_keys_per_step(spark, tmp_path, how):
+    """Output, report and extracts share a stored count: each side is aggregated once."""
+    for name, keys in (("left", [1, 1, 2, None, 7]), ("right", [1, 3, None, 3])):
+        spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"{name}_k long, {name}_v long").write.parquet(f"file://{tmp_path}/{name}")
+    left, right = (spark.read.parquet(f"file://{tmp_path}/{n}") for n in ("left", "right"))
+    result = tw.run_step(left, right, tw.StepSpec("s", "r", join_type=how, left_keys=("left_k",), right_keys=("right_k",)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    report = only(result.report)
+    assert (report["matched_left_rows"], report["matched_right_rows"], report["unmatched_right_rows"]) == (3, 2, 2)
+    assert "/left]" not in plan(result.report) and "/right]" not in plan(result.report)
+    assert "/right]" not in plan(result.unmatched_left) and "/left]" not in plan(result.unmatched_right)
+    assert plan(result.output).count("/left]") == plan(result.output).count("/right]") == 1
+    assert "Aggregate" not in plan(result.output) + plan(result.unmatched_left) + plan(result.unmatched_right)
+    assert rows(result.unmatched_left) == [(2, 2), (7, 4)] and rows(result.unmatched_right) == [(3, 1), (3, 3)]
+    assert result.output.count() == report["output_rows"]
+
+
+def test_table_names_of_a_recipe():
+    text = json.dumps({"tables": [
+        {"table_id": "a", "source_file_name": "a.csv"}, {"table_id": "b"}, {"table_id": "c", "table_name": "own", "source_file_name": "c.csv"},
+    ], "join_plan": {"base_table_id": "a", "steps": []}})
+    assert [t.table_name for t in tw.recipe_from_json(text).tables] == ["a.csv", "b", "own"]
+
+
+def test_kept_steps_are_not_run_again(spark, tmp_path, monkeypatch):
+    """A second run reads no source; a change runs what depends on it, and nothing else."""
+    from tableweave.plans import run as run_module
+
+    places, kept = folder(tmp_path), f"file://{tmp_path}/kept"
+    one = tw.recipe_from_json(json.dumps(recipe()))
+    read, opened = run_module.read_csv, []
+
+    def seen(spark, location, *args, **options):
+        opened.append(location.rsplit("/")[-1])
+        return read(spark, location, *args, **options)
+
+    monkeypatch.setattr(run_module, "read_csv", seen)
+    plain = tw.run_recipe(spark, one, places)
+    want, reports = rows(plain.output), rows(plain.reports())
+    opened.clear()
+    for expected in (["orders.csv", "customers.csv", "more.csv"], []):
+        result = tw.run_recipe(spark, one, places, cache=kept)
+        assert rows(result.output) == want and rows(result.reports()) == reports
+        assert opened == expected
+        opened.clear()
+    assert rows(result.steps[0].unmatched_left) == rows(plain.steps[0].unmatched_left)
+    assert opened[:2] == ["orders.csv", "customers.csv"] or set(opened) >= {"orders.csv", "customers.csv"}
+    opened.clear()
+    (tmp_path / "more.csv").write_text("order_no,cust,amt,memo\nO4,C1,5,x\nO5,C1,6,y\n")
+    result = tw.run_recipe(spark, one, places, cache=kept)
+    assert result.output.count() == len(want) + 1 and opened == ["more.csv"]
+    opened.clear()
+    orders = tw.load_table(spark, one.tables[0], places["orders"])
+    opened.clear()
+    result = tw.run_recipe(spark, one, places | {"orders": orders}, cache=kept)
+    assert result.output.count() == len(want) + 1 and sorted(opened) == ["customers.csv", "more.csv"]

@@ -77,6 +77,19 @@ def test_hot_keys_give_the_same_rows(spark, monkeypatch, how):
     assert sorted(map(str, tw.equi_join(left, right, ["k"], ["k"], how).collect())) == want
 
 
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_more_hot_keys_than_are_named(spark, monkeypatch, how):
+    """Too many hot keys to send to every task are joined like a table, with and without a directory."""
+    left = spark.range(0, 600).selectExpr("if(id % 10 = 0, null, id % 7) AS k", "id AS x")
+    right = spark.range(0, 400).selectExpr("if(id % 9 = 0, null, id % 5) AS k", "id AS y")
+    want = sorted(map(str, tw.equi_join(left, right, ["k"], ["k"], how).collect()))
+    monkeypatch.setattr(equi_module, "HOT_ROWS", 12)
+    monkeypatch.setattr(equi_module, "MOST_NAMED", 2)
+    assert sorted(map(str, tw.equi_join(left, right, ["k"], ["k"], how).collect())) == want
+    counted = equi_module.stored_directory(equi_module.key_directory(left, right, ["k"], ["k"]))
+    assert sorted(map(str, tw.equi_join(left, right, ["k"], ["k"], how, directory=counted).collect())) == want
+
+
 def test_hot_key_of_an_anti_join(spark, small_thresholds):
     out = tw.unmatched(hot(spark, 60_000, "x"), spark.range(3000).toDF("k"), ["k"], ["k"])
     assert "skew=true" in final_plan(out)
