@@ -13,7 +13,7 @@ import tableweave as tw
 from tableweave.operators.union import DROP, KEEP_AS_NEW
 from tableweave.plans.series_query import SeriesQuery, series_table
 from tableweave.session import shared_folder
-from tableweave.sources.csvfiles import CsvOptions, read_csv
+from tableweave.sources.csvfiles import CsvOptions, read_csv, write_csv
 
 try:  # the training-data operators come and go as one part
     import corpus_pipeline
@@ -761,6 +761,31 @@ RECIPE_SQL = f"""
 # ------------------------------------------------------------------------ contract
 
 
+KEPT_RECIPE = {
+    "version": "1.0",
+    "tables": [
+        {"table_id": "customers", "source_file_name": "customers", "dtype_overrides": {"c_name": "string"}},
+        {"table_id": "nations", "source_file_name": "nations"},
+    ],
+    "join_plan": {
+        "base_table_id": "customers",
+        "steps": [{"step_id": "where", "right_table_id": "nations", "join_type": "left",
+                   "left_keys": ["c_nationkey"], "right_keys": ["n_nationkey"]}],
+    },
+}
+
+
+def recipe_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A recipe over CSV files run twice: the second run reads the step kept by the first."""
+    folder = shared_folder(spark)
+    places = {"customers": f"{folder}/customers", "nations": f"{folder}/nations"}
+    write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), places["customers"])
+    write_csv(table(spark, d, "nation").select("n_nationkey", "n_name"), places["nations"])
+    text = json.dumps(KEPT_RECIPE)
+    tw.run_recipe(spark, text, places, cache=f"{folder}/kept")
+    return tw.run_recipe(spark, text, places, cache=f"{folder}/kept").output
+
+
 def csv_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents, whose texts hold line breaks, as CSV below two title lines, read back."""
     folder = f"{shared_folder(spark)}/documents"
@@ -831,6 +856,7 @@ def own_queries() -> dict[str, Query]:
         "plan_three_steps": plan_three_steps,
         "plan_reports": plan_reports,
         "recipe_run": recipe_run,
+        "recipe_kept": recipe_kept,
     }
     for policy in ("keep_both", "left_prefer", "right_prefer"):
         found[f"conflict_{policy}"] = _conflict(policy)
@@ -987,6 +1013,9 @@ def own_oracle_sql() -> dict[str, str]:
         "plan_three_steps": PLAN_SQL,
         "plan_reports": PLAN_REPORTS_SQL,
         "recipe_run": RECIPE_SQL,
+        "recipe_kept": """
+            SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, n_nationkey::BIGINT AS n_nationkey, n_name
+            FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     }
 
 
