@@ -3,6 +3,8 @@
 A page near the start is a top-k, bounded by the request. For one far behind, ``page``
 counts its way to it each time; ``page_directory`` sorts the table once over the cluster
 and keeps the row counts of its parts, so that any page reads the parts that hold it.
+Parts lie in a folder per sorting task, and tasks follow the rows, not the parts: what a
+task reports to the driver weighs the same however small the parts are.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 from operator import and_, or_
 from typing import NamedTuple
 
@@ -30,7 +33,9 @@ KEEP_ROWS = 20 * MAX_PAGE_SIZE
 SAMPLE_ROWS = 2_000
 CUTS = 64
 PART_ROWS = 50_000  # rows of a part of a page directory
-PART = "__part"
+FOLDER_ROWS = 500_000  # rows of a folder of parts, where the session's shuffle partitions are too few
+FOLDER = "__folder"
+PLACE = "__place_in_folder"  # from 0, in order
 
 
 def page_size(value: object) -> int:
@@ -81,8 +86,9 @@ def page(
 
 @dataclass(frozen=True)
 class PageDirectory:
-    """A table sorted into parts, one folder each below ``path``, and ``starts``: (part,
-    rows, start), the rows of each part and of all parts before it."""
+    """A table sorted into parts, whole parts to a folder below ``path``, and ``starts``:
+    (folder, part, rows, start, place), the rows of each part, of all parts before it and
+    of those before it in its folder."""
 
     path: str
     starts: DataFrame
@@ -93,7 +99,7 @@ class PageDirectory:
     def page(self, number: object = 0, size: object = DEFAULT_PAGE_SIZE) -> DataFrame:
         """Page ``number`` (from 0), in order; empty behind the last one.
 
-        One job over ``starts`` finds the parts; only their folders are read.
+        One job over ``starts`` finds the parts; only their places in their folders are read.
         """
         take = page_size(size)
         skip = page_number(number) * take
@@ -102,41 +108,56 @@ class PageDirectory:
         spark = self.starts.sparkSession
         if not parts:
             return spark.createDataFrame([], self.schema)
-        rows = spark.read.schema(self.schema).parquet(*(f"{self.path}/{PART}={p.part}" for p in parts))
-        order = [col(n).asc_nulls_first() for n in self.order_by]
-        return rows.orderBy(*order).offset(skip - parts[0].start).limit(take)
+        schema = T.StructType([*self.schema, T.StructField(PLACE, T.LongType())])
+        pieces = []
+        for folder, held in groupby(parts, lambda p: p.folder):
+            held = list(held)
+            before = held[0].start - held[0].place
+            low, high = max(skip - before, held[0].place), min(skip + take - before, held[-1].place + held[-1].rows)
+            rows = spark.read.schema(schema).parquet(f"{self.path}/{FOLDER}={folder}")
+            inside = (F.col(PLACE) >= low) & (F.col(PLACE) < high)
+            pieces.append(rows.where(inside).withColumn(FOLDER, F.lit(folder)))
+        return reduce(lambda a, b: a.unionAll(b), pieces).orderBy(FOLDER, PLACE).drop(FOLDER, PLACE)
 
     def pages(self, size: object = DEFAULT_PAGE_SIZE) -> int:
         return math.ceil(self.rows / page_size(size))
 
 
 def page_directory(df: DataFrame, order_by: Sequence[str], part_rows: int = PART_ROWS) -> PageDirectory:
-    """Sort ``df`` by ``order_by``, which must be total, into parts of about ``part_rows`` rows.
+    """Sort ``df`` by ``order_by``, which must be total, into parts of ``part_rows`` rows,
+    less at the end of a folder.
 
     Rows are counted, sorted over the cluster and written below ``spark.checkpoint.dir``
-    once. Row counts of parts are summed by groups of parts first, so that no task orders
-    all of them.
+    once. Row counts of parts are summed by folder first, so that no task orders all of
+    them.
     """
     if not order_by:
         raise PlanError("paging needs an order")
     require_columns(df, order_by, "order columns")
+    spark = df.sparkSession
     total = df.count()
     parts = max(1, math.ceil(total / part_rows))
+    folders = min(parts, max(math.ceil(total / FOLDER_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     order = [col(n).asc_nulls_first() for n in order_by]
-    path = shared_folder(df.sparkSession)
-    placed = df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
-    placed.sortWithinPartitions(PART, *order).write.partitionBy(PART).parquet(path)
-    written = df.sparkSession.read.schema(placed.schema).parquet(path)
-    counts = written.groupBy(F.col(PART).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-    span = max(1, math.isqrt(parts))
-    counts = counts.withColumn("group", F.expr(f"part div {span}"))
-    before = lambda part, by: F.sum("rows").over(
-        Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    path = shared_folder(spark)
+    placed = df.repartitionByRange(folders, *order).withColumn(FOLDER, F.spark_partition_id())
+    # The lower 33 bits count the rows of a task.
+    placed = placed.sortWithinPartitions(FOLDER, *order).withColumn(
+        PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    # A reader skips file pages by their least and greatest place.
+    placed.write.option("parquet.page.row.count.limit", part_rows).partitionBy(FOLDER).parquet(path)
+    written = spark.read.schema(placed.schema).parquet(path)
+    counts = written.groupBy(F.col(FOLDER).alias("folder"), F.expr(f"{PLACE} div {part_rows}").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    before = lambda by, *within: F.sum("rows").over(
+        Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     ) - F.col("rows")
-    inner = counts.withColumn("inner", before(["group"], "part"))
-    groups = counts.groupBy("group").agg(F.sum("rows").alias("rows"))
-    outer = groups.select("group", before([], "group").alias("outer"))
-    starts = inner.join(outer, "group").select("part", "rows", (F.col("inner") + F.col("outer")).alias("start"))
+    inner = counts.withColumn("place", before("part", "folder"))
+    groups = counts.groupBy("folder").agg(F.sum("rows").alias("rows"))
+    outer = groups.select("folder", before("folder").alias("outer"))
+    starts = inner.join(outer, "folder").select("folder", "part", "rows", (F.col("place") + F.col("outer")).alias("start"), "place")
     return PageDirectory(path, stored(starts), tuple(order_by), df.schema, total)
 
 

@@ -154,3 +154,24 @@ def test_page_directory(spark):
     assert (empty.rows, empty.pages(), empty.page(0).collect()) == (0, 0, [])
     with pytest.raises(PlanError):
         tw.page_directory(df, [])
+
+
+def test_page_directory_small_parts_share_folders(spark, monkeypatch):
+    """Tasks and folders follow the rows, not the parts: 500 parts lie in the folders of 8 tasks."""
+    df = spark.range(0, 1_000).select((F.col("id") * 7 % 1_000).alias("a"), F.col("id").cast("string").alias("b"))
+    directory = tw.page_directory(df, ["a"], part_rows=2)
+    assert directory.starts.count() >= 500 and directory.starts.agg(F.max("rows")).first()[0] == 2
+    assert directory.starts.select("folder").distinct().count() <= 8
+    whole = [tuple(r) for r in df.orderBy("a").collect()]
+    for number in (0, 4, 17, 33):
+        assert [tuple(r) for r in directory.page(number, 30).collect()] == whole[number * 30 : number * 30 + 30]
+    monkeypatch.setattr(paging, "FOLDER_ROWS", 50)
+    assert 8 < tw.page_directory(df, ["a"], part_rows=2).starts.select("folder").distinct().count() <= 20
+
+
+def test_page_directory_pages_of_equal_keys(spark):
+    """Where the order does not tell rows apart, pages still hold each row once."""
+    df = spark.range(0, 300).select((F.col("id") % 2).alias("a"), "id")
+    directory = tw.page_directory(df, ["a"], part_rows=7)
+    found = [r for number in range(directory.pages(60)) for r in directory.page(number, 60).collect()]
+    assert sorted(r.id for r in found) == list(range(300)) and [r.a for r in found] == [0] * 150 + [1] * 150
