@@ -14,10 +14,12 @@ a list of what they stand for; codes are as narrow as that list allows.
 Per length:
 
 1. Each run joins adjacent positions and passes on its distinct pairs of phrases with
-   counts, keyed by the two phrases' numbers.
-2. Counts are summed per pair of numbers over all runs. A group's number is the least
-   (run, code) that names it, so that numbers are exact and need no second pass. Per run
-   and frequent group one row is kept, so a phrase weighs no more than its runs.
+   counts, keyed by the two phrases' numbers. Most pairs are rare, so these are by far the
+   most rows; a run's pairs travel in order and compressed, a row per bucket of pairs.
+2. Counts are summed per pair of numbers over all runs, bucket by bucket; buckets follow
+   the number of runs. A group's number is the least (run, code) that names it, so that
+   numbers are exact and need no second pass. Per run the places of its frequent groups
+   are kept, so a phrase weighs no more than its runs.
 3. These rows meet their run again, which keeps the places of the frequent groups.
 
 Phrases of every length, with counts, are then scored at all cuts in exact decimals.
@@ -38,6 +40,8 @@ from .arrays import LOWER, slices, span_hashes, text_bytes
 from .shared import stored
 
 RUN_BYTES = 1 << 22
+#: Runs to a bucket of pairs. A run of usual text has 0.3 million distinct pairs.
+_BUCKET_RUNS = 2
 #: A place in a run, a run in its task, a task: 30, 12 and 21 bits of one number.
 _CODE_BITS, _RUN_BITS = 30, 12
 _LANG = "coalesce(cast({} as string), 'und')"
@@ -71,15 +75,17 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def packed(codes: np.ndarray) -> bytes:
-    """Codes in two bytes where they fit, else in four, compressed; the first byte tells."""
+    """Codes in two bytes where they fit, else in four, like bytes side by side, compressed;
+    the first byte tells."""
     narrow = not len(codes) or codes.max() < 1 << 16
-    raw = codes.astype(np.uint16 if narrow else np.uint32).tobytes()
+    raw = codes.astype("<u2" if narrow else "<u4").view(np.uint8).reshape(len(codes), -1 if len(codes) else 2).T.tobytes()
     return (b"\2" if narrow else b"\4") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     raw = pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint16 if blob[:1] == b"\2" else np.uint32)
+    width = blob[0]
+    return np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T.copy().view(f"<u{width}").ravel()
 
 
 _RUNS = "run long, codes binary, code int, lang string, word string, c long"
@@ -142,30 +148,100 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run += 1
 
 
-def _pairs_of(codes: np.ndarray, known: int) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """Positions where two phrases begin one word apart, and their pairs, coded."""
+def packed_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
+    """Pairs (a, b), ascending, and their counts: steps of a, then like bytes side by side, compressed."""
+    columns = np.stack([np.diff(a, prepend=0), b, c]).astype("<i8")
+    return len(a).to_bytes(8, "little") + pa.compress(columns.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_pairs(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], 24 * n, codec="zstd", asbytes=True), np.uint8)
+    columns = raw.reshape(3, 8, n).transpose(0, 2, 1).copy().view("<i8").reshape(3, n)
+    columns[0] = np.cumsum(columns[0])
+    return columns
+
+
+def _pairs_of(codes: np.ndarray, groups: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Positions where two phrases begin one word apart, the codes of their pairs there, and
+    the distinct pairs (bucket, a, b) in the order of their codes, which is that of the three."""
     at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-    pairs = codes[at].astype(np.int64) * (known + 1) + codes[at + 1]
-    return at, pa.array(pairs, pa.int64()).dictionary_encode()
+    known = len(groups) + 1
+    pairs = pa.array(codes[at].astype(np.int64) * known + codes[at + 1], pa.int64()).dictionary_encode()
+    which = pairs.dictionary.to_numpy()
+    a, b = groups[which // known - 1], groups[which % known - 1]
+    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((b, a, bucket))
+    code = np.empty(len(order), np.int64)
+    code[order] = np.arange(len(order))
+    return at, code[pairs.indices.to_numpy()], bucket[order], a[order], b[order]
+
+
+_PAIRS = "bucket long, at long, pairs binary"
+
+
+def _pairs(buckets: int):
+    """Runs (run, codes, groups) to their distinct pairs by bucket, at: the place of the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob, groups in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                _, code, bucket, a, b = _pairs_of(unpacked(blob), groups.values.to_numpy(), buckets)
+                if not len(code):
+                    continue
+                count = np.bincount(code)
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = [*first[1:], len(bucket)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[first]), pa.array((number << _CODE_BITS) + first),
+                     pa.array([packed_pairs(a[i:j], b[i:j], count[i:j]) for i, j in zip(first, ends)], pa.binary())],
+                    ["bucket", "at", "pairs"],
+                )
 
+    return run
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (run, codes, groups) to their distinct pairs (at, a, b, c)."""
-    for batch in batches:
-        for run, blob, groups in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            groups = groups.values.to_numpy()
-            _, pairs = _pairs_of(unpacked(blob), len(groups))
-            which, count = pairs.dictionary.to_numpy(), np.bincount(pairs.indices.to_numpy(), minlength=len(pairs.dictionary))
-            a, b = groups[which // (len(groups) + 1) - 1], groups[which % (len(groups) + 1) - 1]
-            order = np.lexsort((b, a))
-            at = (run << _CODE_BITS) + order
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(a[order]), pa.array(b[order]), pa.array(count[order].astype(np.int64))], ["at", "a", "b", "c"]
-            )
 
+_FREQUENT_PAIRS = "number long, a long, b long, f long, run long, places binary"
+_FREQUENT_NAMES = ["number", "a", "b", "f", "run", "places"]
+
+
+def _frequent_pairs(support: int):
+    """A bucket's pairs to those that occur often enough (number, a, b, f), and a row (run,
+    places) for each run that has any: their codes and numbers."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by("at")
+        parts = [unpacked_pairs(blob) for blob in bucket["pairs"].to_pylist()]
+        at = np.concatenate([first + np.arange(part.shape[1]) for first, part in zip(bucket["at"].to_pylist(), parts)])
+        a, b, c = np.concatenate(parts, axis=1)
+        del parts
+        order = np.lexsort((b, a))  # keeps the order of places in a pair
+        at, a, b, c = at[order], a[order], b[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        size = np.diff(first, append=len(a))
+        f = np.add.reduceat(c, first)
+        often = f >= support
+        heads = first[often]
+        kept = np.repeat(often, size)
+        place, number = at[kept], np.repeat(at[first], size)[kept]
+        order = np.argsort(place)
+        place, number = place[order], number[order]
+        of_run, code = place >> _CODE_BITS, place & ((1 << _CODE_BITS) - 1)
+        starts = np.flatnonzero(np.diff(of_run, prepend=-1))
+        places = [packed_pairs(code[i:j], number[i:j], np.zeros(j - i, np.int64)) for i, j in zip(starts, [*starts[1:], len(code)])]
+        none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+        return pa.concat_tables([
+            pa.table([pa.array(x) for x in (at[heads], a[heads], b[heads], f[often])] + [none(len(heads)), none(len(heads), pa.binary())], _FREQUENT_NAMES),
+            pa.table([none(len(starts))] * 4 + [pa.array(of_run[starts]), pa.array(places, pa.binary())], _FREQUENT_NAMES),
+        ])
+
+    return run
 
-def _kept_places(joined: bool):
-    """Cogroup of a run with its frequent groups (code, number): the next relation."""
+
+def _kept_places(buckets: int):
+    """Cogroup of a run with its frequent groups: the next relation. Groups are pairs, dealt
+    to ``buckets`` (places), or with 0 of them words (code, number)."""
 
     def run(relation: pa.Table, frequent: pa.Table) -> pa.Table:
         rows = []
@@ -173,17 +249,25 @@ def _kept_places(joined: bool):
             if not frequent.num_rows:
                 continue
             codes = unpacked(blob)
-            if joined:
-                at, pairs = _pairs_of(codes, len(groups.values))
-                old, found = np.zeros(len(codes), np.int64), pairs.indices.to_numpy()
+            if buckets:
+                at, found, pairs, _, _ = _pairs_of(codes, groups.values.to_numpy(), buckets)
+                old = np.zeros(len(codes), np.int64)
                 old[at] = found + 1
-                known = len(pairs.dictionary)
+                known = len(pairs)
             else:
                 old, known = codes.astype(np.int64), int(codes.max(initial=0))
-            new = np.zeros(known + 1, np.uint32)
-            code = frequent["code"].to_numpy()
+            if buckets:
+                code, names, _ = np.concatenate([unpacked_pairs(places) for places in frequent["places"].to_pylist()], axis=1)
+            else:
+                code, names = frequent["code"].to_numpy(), frequent["number"].to_numpy()
+            new = np.zeros(known + 1, np.int64)
             new[code + 1] = np.arange(1, len(code) + 1)
-            rows.append({"run": number, "codes": packed(new[old]), "groups": frequent["number"].to_pylist()})
+            # Numbered as they come: small codes are the common ones.
+            new = new[old]
+            hit = np.flatnonzero(new)
+            coded = pa.array(new[hit]).dictionary_encode()
+            new[hit] = coded.indices.to_numpy() + 1
+            rows.append({"run": number, "codes": packed(new), "groups": names[coded.dictionary.to_numpy() - 1]})
         return pa.Table.from_pylist(rows, schema=pa.schema([("run", pa.int64()), ("codes", pa.binary()), ("groups", pa.list_(pa.int64()))]))
 
     return run
@@ -192,12 +276,9 @@ def _kept_places(joined: bool):
 _RELATION = "run long, codes binary, groups array<long>"
 
 
-def _semi_joined(relation: DataFrame, groups: DataFrame, joined: bool) -> DataFrame:
-    """The relation of the places of frequent groups (at, number); runs without any go."""
-    places = groups.select(
-        F.shiftright("at", _CODE_BITS).alias("run"), F.col("at").bitwiseAND(F.lit((1 << _CODE_BITS) - 1)).cast("int").alias("code"), "number"
-    )
-    return stored(relation.groupBy("run").cogroup(places.groupBy("run")).applyInArrow(_kept_places(joined), _RELATION))
+def _semi_joined(relation: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
+    """The relation of the places of frequent groups; runs without any go."""
+    return stored(relation.groupBy("run").cogroup(places.groupBy("run")).applyInArrow(_kept_places(buckets), _RELATION), compression="zstd")
 
 
 def _frequent(rows: DataFrame, by: list[str], support: int) -> DataFrame:
@@ -223,12 +304,17 @@ def phrase_counts(
 
     found = _frequent(words, ["lang", "word"], support)
     relation = scanned.where("codes is not null").select("run", "codes", F.array().cast("array<long>").alias("groups"))
-    relation = _semi_joined(relation, found, joined=False)
+    places = found.select(
+        F.shiftright("at", _CODE_BITS).alias("run"), F.col("at").bitwiseAND(F.lit((1 << _CODE_BITS) - 1)).cast("int").alias("code"), "number"
+    )
+    relation = _semi_joined(relation, places, 0)
+    buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), relation.count() // _BUCKET_RUNS)
     phrases = stored(found.where("at = number").select("number", "lang", F.col("word").alias("phrase"), "f", F.lit(1).alias("k")))
     all_phrases = phrases
     for k in range(2, longest + 1):
-        found = _frequent(relation.mapInArrow(_pairs, "at long, a long, b long, c long"), ["a", "b"], support)
-        heads = found.where("at = number").select("number", "a", "b", "f")
+        pairs = relation.mapInArrow(_pairs(buckets), _PAIRS).groupBy("bucket")
+        found = stored(pairs.applyInArrow(_frequent_pairs(support), _FREQUENT_PAIRS))
+        heads = found.where("run is null").select("number", "a", "b", "f")
         a = phrases.select(F.col("number").alias("a"), "lang", F.col("phrase").alias("head"))
         b = phrases.select(F.col("number").alias("b"), F.substring_index("phrase", " ", -1).alias("last"))
         phrases = stored(
@@ -236,7 +322,7 @@ def phrase_counts(
         )
         all_phrases = all_phrases.unionAll(phrases)
         if k < longest:
-            relation = _semi_joined(relation, found, joined=True)
+            relation = _semi_joined(relation, found.where("run is not null").select("run", "places"), buckets)
     return all_phrases.select("lang", "phrase", "k", "f"), totals
 
 

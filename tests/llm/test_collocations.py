@@ -100,3 +100,34 @@ def test_ties_go_by_occurrences_then_bytes(spark):
     rows = [("b a", "x")] * 6 + [("a b", "x")] * 6 + [("é z", "x")] * 6 + [("Z z", "x")] * 6
     got = found(spark, rows, support=6)
     assert got == brute(rows, 6) and len(got) == 4
+
+
+def test_packed_pairs_are_small_and_exact():
+    """A run's distinct pairs, most of them rare, take a few bytes each, not a row of numbers."""
+    rng = np.random.default_rng(1)
+    numbers = np.sort(rng.choice(1 << 30, 30_000, replace=False)) + (5 << 42)
+    codes = np.minimum(rng.zipf(1.2, 120_000), 30_000).astype(np.uint32)
+    codes[::9] = 0
+    at, code, bucket, a, b = collocations._pairs_of(codes, numbers, 7)
+    assert sorted(zip(a[code], b[code])) == sorted((numbers[x - 1], numbers[y - 1]) for x, y in zip(codes, codes[1:]) if x and y)
+    assert sorted(set(zip(bucket, a, b))) == list(zip(bucket, a, b)) and set(bucket) == set(range(7))
+    count, size = np.bincount(code), 0
+    for k in range(7):
+        columns = a[bucket == k], b[bucket == k], count[bucket == k]
+        blob = collocations.packed_pairs(*columns)
+        assert np.array_equal(collocations.unpacked_pairs(blob), np.stack(columns))
+        size += len(blob)
+    assert size < 8 * len(a)
+    one = collocations.packed_pairs(a[:1], b[:1], count[:1])
+    assert collocations.unpacked_pairs(one).tolist() == [[a[0]], [b[0]], [count[0]]]
+
+
+def test_pairs_of_many_runs_meet_in_buckets(spark, monkeypatch):
+    """A run passes on a row per bucket, not one per distinct pair; counts add up over runs."""
+    monkeypatch.setattr(collocations, "RUN_BYTES", 300)
+    seen, plain = [], collocations._pairs
+    monkeypatch.setattr(collocations, "_pairs", lambda buckets: seen.append(buckets) or plain(buckets))
+    rows = sentences(3, 50)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    assert sorted(map(tuple, collocations.collocations(df, support=4).collect())) == brute(rows, 4)
+    assert len(seen) == 4 and min(seen) >= 8
